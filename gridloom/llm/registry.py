@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding
 
 QUERIES = {
+    "op3_linear_grouping_packing": packing.query,
     "op6_jump_sharding": sharding.query,
 }
 
