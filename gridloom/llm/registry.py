@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import packing, sharding, tokenfile
 
 QUERIES = {
     "op3_linear_grouping_packing": packing.query,
+    "op8_bit_plane_token_files": tokenfile.query,
     "op6_jump_sharding": sharding.query,
 }
 
