@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, tokenfile
+from . import packing, sharding, simhash, tokenfile
 
 QUERIES = {
     "op3_linear_grouping_packing": packing.query,
     "op8_bit_plane_token_files": tokenfile.query,
     "op6_jump_sharding": sharding.query,
+    "op10_simhash_trie_dedup": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
