@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, simhash, tokenfile
+from . import packing, quality, sharding, simhash, tokenfile
 
 QUERIES = {
+    "op1_kneser_ney_quality": quality.query,
     "op3_linear_grouping_packing": packing.query,
     "op8_bit_plane_token_files": tokenfile.query,
     "op6_jump_sharding": sharding.query,
