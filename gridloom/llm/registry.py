@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, sharding, simhash, tokenfile
+from . import html, packing, quality, secrets, sharding, simhash, tokenfile
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.query,
     "op3_linear_grouping_packing": packing.query,
     "op8_bit_plane_token_files": tokenfile.query,
     "op4_forest_secret_scan": secrets.query,
+    "op5_site_template_removal": html.query,
     "op6_jump_sharding": sharding.query,
     "op10_simhash_trie_dedup": simhash.query,
 }
