@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html, packing, quality, secrets, sharding, simhash, tokenfile
+from . import html, packing, quality, secrets, sharding, simhash, tokenfile, vectors
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.query,
     "op3_linear_grouping_packing": packing.query,
+    "op7_hash_prefix_forest": vectors.query,
     "op8_bit_plane_token_files": tokenfile.query,
     "op4_forest_secret_scan": secrets.query,
     "op5_site_template_removal": html.query,
