@@ -23,6 +23,8 @@ from . import common
 #: A subtree on at least so many different pages of a host, and on this share of them, is a template.
 MIN_PAGES = 5
 MIN_SHARE = 0.02
+#: At most so many template hashes (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_HASHES = 1_000_000
 
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,8 +203,10 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     per_host = pages.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = around.select("host", "hash", "content").distinct().groupBy("host", "hash").count()
     templates = counted.join(per_host, "host").where((F.col("count") >= MIN_PAGES) & (F.col("count") >= MIN_SHARE * F.col("pages"))).select("host", "hash")
-    gone = around.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    joined = pages.join(gone, "row", "left")
+    gone = common.shared_table(around.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")), "gone")
+    size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    # few pages hold templates beside their article: the pages' text then need not be shuffled to meet them
+    joined = pages.join(F.broadcast(gone) if size <= BROADCAST_HASHES else gone, "row", "left")
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["hashes"], F.col("gone"))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
