@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html, packing, quality, secrets, sharding, simhash, tokenfile, vectors
+from . import html, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.query,
+    "op2_lattice_sampling": sampling.query,
     "op3_linear_grouping_packing": packing.query,
     "op7_hash_prefix_forest": vectors.query,
     "op8_bit_plane_token_files": tokenfile.query,
