@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
+from . import counting, html, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_forest_secret_scan": secrets.query,
     "op5_site_template_removal": html.query,
     "op6_jump_sharding": sharding.query,
+    "op9_edit_aware_counts": counting.query,
     "op10_simhash_trie_dedup": simhash.query,
 }
 
