@@ -28,7 +28,7 @@ REPEAT_PERCENT = 50
 #: How far the band reaches beyond the quartiles, in interquartile ranges.
 WIDTH = 4.0
 #: Characters that are worked on together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 300_000
 #: n-grams of the models broadcast together; more languages than fit take a further pass over their own documents.
 MODEL_ROWS = 20_000_000
 _CACHE = 1 << 18
@@ -55,14 +55,14 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed 4-grams of all symbols of all texts, and how many each text has. Three symbols 0 stand before a text."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     sym = _CLASS[np.minimum(codes, 65_535)]
-    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     first = np.ones(len(sym), dtype=bool)
     first[1:] = text_of[1:] != text_of[:-1]
     again = np.zeros(len(sym), dtype=bool)
     again[1:] = (sym[1:] == 1) & (sym[:-1] == 1) & ~first[1:]
     sym, text_of = sym[~again], text_of[~again]
     counts = np.bincount(text_of, minlength=len(texts))
-    place = np.arange(len(sym)) - np.repeat(np.cumsum(counts) - counts, counts)  # position in its text
+    place = np.arange(len(sym), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)  # position in its text
     key = sym.astype(np.int32)
     for back in range(1, ORDER):
         before = np.zeros(len(sym), dtype=np.int32)
