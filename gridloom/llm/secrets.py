@@ -171,9 +171,9 @@ def scan(df: DataFrame, model: RandomForestClassificationModel, key: str = "doc_
     return scored.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), "candidate", "before", score.alias("score"), (score >= THRESHOLD).alias("secret"))
 
 
-def redact(df: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with each secret replaced by ``mark`` and every column kept. Texts are told apart by key and hash, so
-    rows that share a key, or have none, are redacted each by its own findings."""
+def redact(df: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source", mark: str = "[SECRET]", length: str = "n_chars") -> DataFrame:
+    """``df`` with each secret replaced by ``mark`` and every column kept; a column ``length`` follows the text. Texts
+    are told apart by key and hash, so rows that share a key, or have none, are redacted each by its own findings."""
     told = df.withColumn("__hash", F.xxhash64(F.col(text)))
     found = scan(told.select(F.xxhash64(key, "__hash").alias("doc_id"), F.col(text).alias("text"), (F.col(path) if path else F.lit("")).alias("source")), model).where("secret")
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__spans"))
@@ -184,7 +184,11 @@ def redact(df: DataFrame, model: RandomForestClassificationModel, key: str = "do
         lambda acc, s: F.struct(F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("done"), (s["start"] + s["length"]).alias("at")),
         lambda acc: F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(whole)).select(*df.columns)
+    changed = joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(whole))
+    if length in df.columns:
+        new = F.length(text).cast(df.schema[length].dataType)
+        changed = changed.withColumn(length, F.when(F.col("__spans").isNull(), F.col(length)).otherwise(new))
+    return changed.select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
