@@ -2,15 +2,15 @@
 
 Both vocabularies split text into pre-tokens before any merge, and no pre-token crosses the units cut here, so the ids
 of a text are the ids of its units, joined. Natural text repeats its words: each task encodes a unit once and looks it
-up afterwards. The memo holds ``MEMO_UNITS`` units and starts anew when full, so its memory is bounded.
+up afterwards. The memo holds at most ``MEMO_UNITS`` units, the recently used ones, so its memory is bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
+from itertools import chain
 
 MEMO_UNITS = 800_000
 #: Longer units (text without spaces) are encoded but not kept.
@@ -22,14 +22,32 @@ WHITE = "\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+_RARE = re.compile(f"[\0{WHITE.replace(' ', '').replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]")
+
+
 def byte_units(text: str) -> list[str]:
     """Units of the byte-level vocabulary: a run of non-spaces with the one space before it, or white space."""
-    return _UNIT.findall(text)
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
+        return _UNIT.findall(text)
+    # only single spaces and line ends: cutting before each of them gives the same units
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def word_units(text: str) -> list[bytes]:
-    """Units of the word vocabulary, which drops white space: runs without ASCII white space, as UTF-8."""
-    return text.encode("utf-8", "replace").split()
+    """Units of the word vocabulary, which drops white space and case: runs without ASCII white space, as UTF-8."""
+    return text.encode("utf-8", "replace").lower().split()
+
+
+_STOPS = {str: ".,;:!?", bytes: b".,;:!?"}
+
+
+def _ends_in_letter(unit) -> bool:
+    """The unit's last character is a letter of ASCII or Latin-1."""
+    if isinstance(unit, str):
+        last = unit[-1]
+        return last < "\u0100" and last.isalpha()
+    last = unit[-1:]
+    return last.isalpha() or (unit[-2:-1] == b"\xc3" and last not in (b"\x97", b"\xb7"))
 
 
 class UnitEncoder:
@@ -43,25 +61,36 @@ class UnitEncoder:
         self._tokenizer.encode_special_tokens = True
         self._units = units
         self._memo: dict = {}
+        self._old: dict = {}  # the memo before this one; units still in use move over
 
     def _encode(self, units: list) -> list[bytes]:
         texts = [u.decode("utf-8") if isinstance(u, bytes) else u for u in units]
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def lookup(self, lists: list[list]) -> list[list[bytes]]:
-        """The ids of each unit of each list."""
-        memo, extra = self._memo, {}
-        every = set().union(*lists)
-        if new := list(every.difference(memo)):
-            if len(memo) + len(new) > MEMO_UNITS:
-                memo.clear()
-                new = list(every)
-            for u, ids in zip(new, self._encode(new)):
-                (memo if len(u) <= MEMO_CHARS else extra)[u] = ids
-        if extra:
-            return [[memo[u] if u in memo else extra[u] for u in units] for units in lists]
-        return [list(map(memo.__getitem__, units)) for units in lists]
+        """The ids of each unit of each list. The lists' units are few beside the memo's: they are fetched once into a
+        small table that stays in the processor's cache."""
+        local = dict.fromkeys(chain.from_iterable(lists))
+        local = dict(zip(local, map(self._memo.get, local)))
+        if new := [u for u, ids in local.items() if ids is None]:
+            if len(self._memo) + len(new) > MEMO_UNITS // 2:
+                self._old, self._memo = self._memo, {}
+            fresh = {u: ids for u in new if (ids := self._old.get(u)) is not None}
+            new = [u for u in new if u not in fresh]
+            # letters never share a pre-token with the stops after them, so "word," is made of "word" and ","
+            apart = {u: core for u in new if (core := u.rstrip(_STOPS[type(u)])) and len(core) < len(u) and _ends_in_letter(core)}
+            parts = {u for u in new if u not in apart}.union(apart.values(), (u[len(core) :] for u, core in apart.items()))
+            known = {u: ids for u in parts if (ids := local.get(u) or self._memo.get(u) or fresh.get(u)) is not None}
+            parts = list(parts.difference(known))
+            known.update(zip(parts, self._encode(parts)))
+            fresh |= {u: known[u] for u in parts}
+            for u in new:
+                if u in apart:
+                    fresh[u] = known[apart[u]] + known[u[len(apart[u]) :]]
+            local |= fresh
+            self._memo.update((u, ids) for u, ids in fresh.items() if len(u) <= MEMO_CHARS)
+        return [list(map(local.__getitem__, units)) for units in lists]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts; null counts as empty."""
