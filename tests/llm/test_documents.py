@@ -1,0 +1,294 @@
+"""The operators on documents, against brute force on the smallest tables."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from gridloom.llm import counting, packing, quality, sampling, secrets, sharding, simhash, tokenfile
+
+WORD = re.compile("[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return t
+
+
+def ids_of(t, text):
+    return np.array(t.encode(text, add_special_tokens=False).ids + [0], "<u4")
+
+
+def test_quality_counts(spark, sf, texts):
+    rows = quality.query(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        words = WORD.findall(text)
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        often = Counter(windows)
+        inside = {k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(3)}
+        full = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(full) - len(set(full)), len(inside))
+        assert r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
+        assert not (r.base_failed and r.kept)
+    fine = [r for r in rows if not r.base_failed]
+    assert sum(r.kept for r in fine) > 0.85 * len(fine)
+
+
+def test_quality_rejects_noise_both_ways(spark):
+    rng = np.random.default_rng(1)
+    words = "the river runs past small houses where people keep gardens and talk about weather each morning".split()
+    prose = [(k, " ".join(rng.choice(words, 120)) + f" number {k}", "en") for k in range(200)]
+    noise = "".join(rng.choice(list("qxzjkvw#%*019"), 700))
+    dull = " ".join("a" * k for k in range(60, 200))
+    docs = spark.createDataFrame([*prose, (900, " ".join(noise[k : k + 7] for k in range(0, 700, 7)), "en"), (901, dull, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(got[k].kept for k, _, _ in prose)
+    assert not got[900].kept and not got[900].base_failed
+    assert got[900].perplexity > max(got[k].perplexity for k in range(200))
+    assert not got[901].kept
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(0)
+    keys, _ = quality.symbols(["".join(rng.choice(list("abcdef "), 4000)) for _ in range(3)])
+    k, n = np.unique(keys, return_counts=True)
+    model = quality.Model(*quality.estimate(k, n))
+    for context in (int(k[5]) >> 6, int(k[50]) >> 6, 12345):
+        all_next = np.array([(context << 6 & (1 << 24) - 1) | s for s in range(64)], dtype=np.int32)
+        assert np.exp(model.log(all_next)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_packing(spark, sf, texts):
+    t = tokenizer(packing.TOKENIZER)
+    rows = packing.query(spark, sf).collect()
+    want = {}
+    for k, text in texts.items():
+        ids = ids_of(t, text)
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[k, n] = (at, len(part), zlib.crc32(part.tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-sum(r.length for r in rows) // 2048) * 1.01 + 1
+
+
+def test_packing_plan_places_every_piece():
+    rng = np.random.default_rng(5)
+    lengths = Counter(np.clip(rng.lognormal(5.5, 1.1, 20_000), 1, 2048).astype(int).tolist())
+    bins = packing.plan(lengths)
+    used = Counter()
+    for content, n in bins:
+        assert sum(content) <= 2048
+        for x in content:
+            used[x] += n
+    assert used == lengths
+    assert sum(n for _, n in bins) <= 1.01 * sum(k * v for k, v in lengths.items()) / 2048 + 1
+
+
+def test_sharding(spark, sf, texts):
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) & (1 << 64) - 1
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    rows = sharding.query(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = {}
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "key")
+        assert (r.shard, r.grown_shard) == (jump(r.doc_id, 40), jump(r.doc_id, 41))
+        assert r.grown_shard in (r.shard, 40)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_token_files(spark, sf, texts):
+    t = tokenizer(tokenfile.TOKENIZER)
+    rows = {r.doc_id: r for r in tokenfile.query(spark, sf).collect()}
+    at = 0
+    for k in sorted(texts):
+        ids = ids_of(t, texts[k])
+        assert (rows[k].start, rows[k].n_tokens, rows[k].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(rows) == len(texts)
+
+
+@pytest.mark.parametrize("width", [1, 8])
+@pytest.mark.parametrize("n", [0, 1, 7, 64, 1000])
+def test_token_file_round_trip(width, n):
+    ids = np.random.default_rng(n).integers(0, 2**32 if n == 7 else 50_000, n).astype("<u4")
+    data = tokenfile.write_ids(ids, [None, 5], [n, 0], block=64, width=width)
+    file = tokenfile.TokenFile(data)
+    assert (file.ids() == ids).all() and file.keys == [None, 5] and file.counts.tolist() == [n, 0]
+    assert (file.ids(n // 3, n // 2) == ids[n // 3 : n // 2]).all()
+
+
+def test_simhash(spark, sf, texts):
+    def brute(text):
+        low = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+        words = WORD.findall(low)
+        if not words:
+            return 0
+        grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {k: brute(v) for k, v in texts.items()}
+    root = {k: k for k in prints}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.query(spark, sf).collect()}
+    assert got == {k: (prints[k], find(k)) for k in keys}
+
+
+def test_trie_join_finds_all_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 6), replace=False)) for b in base]
+    values = np.unique(np.concatenate([base, np.array(near, dtype=np.uint64)]))
+    n = len(values)
+    a, b = simhash.walk(values, np.array([[0, n, 0, n, 3]]), 0, 3)
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    edges = {(r.a, r.b) for r in simhash.links(table, node_rows=16).collect()}
+    place = {int(v): k for k, v in enumerate(values.view(np.int64))}
+
+    def roots(pairs):
+        least = list(range(n))
+        for _ in range(n):
+            before = list(least)
+            for x, y in pairs:
+                least[x] = least[y] = min(least[x], least[y])
+            if before == least:
+                return least
+
+    brute = [(i, j) for i in range(n) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 3]
+    assert roots(brute) == roots(zip(a.tolist(), b.tolist())) == roots([(place[x], place[y]) for x, y in edges])
+
+
+def test_edit_aware_counts(spark, sf, texts):
+    t = tokenizer(counting.TOKENIZER)
+    size = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    edits = {r.doc_id: r.edits for r in counting.sample_edits(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for r in counting.query(spark, sf).collect():
+        text = texts[r.doc_id]
+        assert r.n_tokens == size(text)
+        for e in edits[r.doc_id]:
+            text = text[: e.start] + e["insert"] + text[e.start + e["delete"] :] if e.start <= len(text) else text + e["insert"]
+        assert (r.n_tokens_after, r.n_chars_after) == (size(text), len(text))
+        assert r.chars_encoded < 3 * 2500 or r.chars_encoded < 3 * len(texts[r.doc_id]) + 200
+
+
+def test_count_tree_random_edits():
+    rng = np.random.default_rng(9)
+    count = counting.counter()
+    pool = ["it's", " don't", "\n\n", "  ", "12", " 345", "...", " wörd", "\t", "a", " the", "漢字", " 'll", "\r\n", "x" * 300]
+    text = "".join(rng.choice(pool, 400))
+    tree = counting.CountTree(text, count)
+    for _ in range(120):
+        at, cut = int(rng.integers(0, len(text) + 1)), int(rng.integers(0, 40))
+        new = "".join(rng.choice(pool, rng.integers(0, 4)))
+        tree.edit(at, cut, new)
+        text = text[:at] + new + text[at + cut :]
+        assert tree.text() == text and tree.n_tokens == count([text])[0]
+
+
+def test_sampling_is_lossless_and_repeats(spark, sf, texts):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in sampling.encode(docs).collect()}
+    again = {r.doc_id: r.ids_crc32 for r in sampling.encode(docs.repartition(5)).collect()}
+    other = {r.doc_id: r.ids_crc32 for r in sampling.encode(docs, seed=8).collect()}
+    for k, text in texts.items():
+        assert rows[k].text_crc32 == zlib.crc32(text.encode()) and rows[k].ids_crc32 == again[k]
+    assert sum(other[k] != rows[k].ids_crc32 for k in texts) > 0.9 * len(texts)
+
+
+def test_sampling_follows_the_lattice():
+    v = sampling.pieces()
+    word = v.words("hello")[0]
+    ways: Counter = Counter()
+
+    def paths(at, ids, w):
+        if at == len(word):
+            ways[tuple(ids)] += w
+            return
+        for k, piece in enumerate(v.bytes):
+            if piece and k not in v.byte_id and word.startswith(piece, at):
+                paths(at + len(piece), [*ids, k], w * v.weight[k])
+
+    paths(0, [], 1.0)
+    total = sum(ways.values())
+    n = 20_000
+    got = Counter(tuple(x.tolist()) for x in v.sample(["hello"] * n, np.arange(n)))
+    assert set(got) <= set(ways)
+    for ids, w in ways.items():
+        assert abs(got[ids] / n - w / total) < 0.02
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_secret_forest_held_out(spark, forest):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    held = secrets.labelled_findings(spark, 9_000).exceptAll(secrets.labelled_findings(spark))
+    scored = forest.transform(secrets._vectors(held)).select("label", vector_to_array("probability")[1].alias("p"))
+    right = scored.agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.97
+
+
+def test_secrets_found_and_redacted(spark, forest):
+    key = "AKIA" + "Q7ZK2MXW4TRB9LPD"
+    hexed = "9f86d081884c7d659a2feaa0c55ad015"
+    rows = [
+        (1, f'set api_key = "{hexed}" in the file', "src1"), (2, f"commit {hexed}c3bf4f1b in the log", "src1"), (3, f"use {key} now and {key} later", None),
+        (4, "plain prose without anything to find", "src1"), (5, None, "src1"), (6, "", "src1"), (None, f"also {key} here", "src1"), (3, "no key in this repeat", "src2"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) as n_chars", "1 as score", "2 as `__key`")
+    out = secrets.redact(docs.drop("__key"), forest).collect()
+    by = {(r.doc_id, r.source): r for r in out}
+    assert len(out) == len(rows)
+    assert by[1, "src1"].text == 'set api_key = "[SECRET]" in the file' and by[1, "src1"].n_chars == len(by[1, "src1"].text)
+    assert by[2, "src1"].text == rows[1][1]
+    assert by[3, None].text == "use [SECRET] now and [SECRET] later"
+    assert by[3, "src2"].text == "no key in this repeat" and by[None, "src1"].text == "also [SECRET] here"
+    assert by[5, "src1"].text is None and by[6, "src1"].text == ""
