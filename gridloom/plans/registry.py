@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import contracts, evidence, frontage, grids, joins, pyramid, raster, scalars, windows
 
+MODULES = (evidence, joins, grids, pyramid, raster, windows, scalars, frontage, contracts)
 FLAGSHIP = "height_evidence"
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: fn for m in MODULES for name, (fn, _) in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
