@@ -2,11 +2,12 @@
 
 The model is a modified Kneser-Ney model (Chen and Goodman, 1999) of 4-grams of symbols. A symbol is a class of
 characters, one of 64, so a language has at most 64**4 n-grams however large the corpus: that bounds every table,
-broadcast and task of the model. Spark counts the n-grams over all documents; one task per language turns its counts
+broadcast and task of the model. Spark counts the n-grams over all documents that pass the base rule and hold few
+marks, so that junk does not teach the model what is usual; one task per language turns its counts
 into sorted hash arrays, which hold the log-probability of each n-gram and the back-off weight of each context.
 
-A document's perplexity is per symbol. A language's band spans the middle half of its documents' log-perplexities,
-widened on either side by ``WIDTH`` times that half's range; documents outside are rejected.
+A document's perplexity is per symbol. A language's band spans the middle half of the log-perplexities of its documents
+that pass the base rule, widened on either side by ``WIDTH`` times that half's range; documents outside are rejected.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ ORDER = 4
 SYMBOLS = 64
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-#: How far the band reaches beyond the quartiles, in interquartile ranges.
+#: Texts with more marks than this share of their characters are not counted for the model; they are judged by it.
+COUNTED_MARKS_PERCENT = 2
+#: How far the band reaches beyond the quartiles, in interquartile ranges; the README has the reject rates.
 WIDTH = 4.0
 #: Characters that are worked on together.
 CHUNK_CHARS = 300_000
@@ -36,15 +39,17 @@ _MARKS = re.compile(r"[#*$%&|<>]")
 
 
 def _classes() -> np.ndarray:
-    """Class of each character below 65,536. 0: outside a document; 1: white space; 2-27: letters, either case; 28: digits;
-    29-36: other ASCII, by code; 37-63: the rest, by code."""
+    """Class of each character below 65,536. 0: outside a document; 1: white space; 2-27: small letters; 28: capitals; 29: digits;
+    30-37: each of the marks; 38-46: other ASCII, by use; 47: other controls; 48-63: the rest, by code."""
     code = np.arange(65_536, dtype=np.uint32)
-    out = (37 + code * 40_503 % 65_536 % 27).astype(np.uint8)
-    out[:128] = 29 + code[:128] % 8
+    out = (48 + code * 40_503 % 65_536 % 16).astype(np.uint8)
+    out[:128] = 47
     out[[9, 10, 11, 12, 13, 32]] = 1
-    for k in range(26):
-        out[[65 + k, 97 + k]] = 2 + k
-    out[48:58] = 28
+    out[97:123] = np.arange(2, 28)
+    out[65:91] = 28
+    out[48:58] = 29
+    for k, same in enumerate([*"#*$%&|<>", ".", ",", ";:", "!?", "'\"`", "-_", "()[]{}", "/\\", "@=+~^"]):
+        out[[ord(x) for x in same]] = 30 + k
     return out
 
 
@@ -89,13 +94,13 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def count_ngrams(df: DataFrame) -> DataFrame:
-    """(lang, key, n) over all texts: each task adds up its own n-grams before the shuffle."""
+    """(lang, key, n) over all texts the model learns from: each task adds up its own n-grams before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
         for batch in batches:
             for lang, group in batch.groupby("lang", sort=False):
-                texts = group["text"].tolist()
+                texts = [t for t in group["text"] if _teaches(t)]
                 for part in _chunks(texts):
                     held.setdefault(lang, []).append(np.unique(symbols(texts[part])[0], return_counts=True))
                     if len(held[lang]) >= 16:
@@ -218,6 +223,16 @@ def counts_of(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - white, len(_MARKS.findall(text)), dup, repeat
 
 
+def _base_failed(n_words, n_repeat_words):
+    """Of numbers or columns."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > REPEAT_PERCENT * n_words)
+
+
+def _teaches(text: str) -> bool:
+    n_words, word_chars, n_symbols, _, n_repeat_words = counts_of(text)
+    return 100 * n_symbols <= COUNTED_MARKS_PERCENT * word_chars and not _base_failed(n_words, n_repeat_words)
+
+
 def _model(counted: DataFrame) -> DataFrame:
     """One row per language: its sorted hash arrays. A language has at most 64**4 counts, so its task is bounded."""
 
@@ -236,13 +251,14 @@ def _scored(df: DataFrame, counted: DataFrame, langs: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models: dict[str, Model] = {}
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
         for batch in batches:
             score = np.full(len(batch), np.nan)
             texts = batch["text"].tolist()
             for lang, at in batch.groupby("lang", sort=False).indices.items():
+                if lang not in arrays.value:
+                    continue  # no text to learn from: no perplexity
                 if lang not in models:
-                    models[lang] = Model(*arrays.value.get(lang, none))
+                    models[lang] = Model(*arrays.value[lang])
                 own = [texts[k] for k in at]
                 for part in _chunks(own):
                     keys, n = symbols(own[part])
@@ -264,7 +280,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     and lang, perplexity, text_hash.
 
     Null text has no words and fails the base rule; null lang is a language of its own. An empty text has no
-    perplexity. Repeated rows are judged alike. Only key, text and lang are read.
+    perplexity, nor has one in a language without a text to learn from. Repeated rows are judged alike. Only key, text and lang are read.
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -286,9 +302,9 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         for names in passes[1:]:
             scored = scored.union(_scored(rows, counted, names))
     scored = common.shared_table(scored, "scores")
-    quarters = scored.groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
+    failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    quarters = scored.groupBy("lang").agg(F.percentile_approx(F.when(~failed, F.col("log_ppl")), F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
     band = quarters.select("lang", (F.col("q")[0] - width * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + width * (F.col("q")[1] - F.col("q")[0])).alias("high"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return scored.join(F.broadcast(band), "lang").select(  # a row per language
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
