@@ -17,11 +17,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A run of key characters with a digit, or three dotted base64 parts; long enough to hold a key.
+#: Group 1 and what follows it: a name with a key word, an assignment, and its value of any length and marks, quoted or
+#: up to white space. Else a known prefix, three dotted base64 parts, or a run of key characters with a digit, long enough
+#: to hold a key; "=" is part of such a run as padding only.
+_KEY = r"(?=[SsTtPpAaCcBb])(?i:secret|token|passw|passphrase|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|signing[_ -]?key|credential|bearer|auth(?!or))"
+_ASSIGNED = _KEY + r"[A-Za-z0-9_-]{0,24}[\"']?(?:\s{0,3}(?:[:=]=?>?)\s{0,3}|(?<=(?i:bearer))\s{1,3})"
+_RUN = (
+    r"(?<![A-Za-z0-9_+/-])((?:AKIA|ASIA)[A-Z0-9]{12,}|gh[opsru]_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{12,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{10,}"
+    r"|eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+    r"|(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?)"
+)
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/=-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-    r"|(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,})"
+    r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]{0,40}?" + _ASSIGNED + r"(?:(?i:bearer|basic|token)\s{1,3})?)"
+    r"(?:(\")([^\"\n\x01]+)(?=\")|(')([^'\n\x01]+)(?=')|([^\s\"'\x01]+?)(?=[,.;)\]}]*(?:[\s\"']|$)))|" + _RUN
 )
+#: Cheaper: any text that holds a candidate.
+_MAY_HOLD = _ASSIGNED + "|" + _RUN
+_CUT = "$1$2$4\x01$3$5$6$7\x01"
 BEFORE, AFTER = 48, 24
 #: A finding at or above this share of trees is a secret.
 THRESHOLD = 0.5
@@ -68,12 +80,15 @@ def features() -> dict[str, Column]:
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         "class_changes": F.regexp_count(c, F.lit(change)) / pairs,
         "vowel_changes": F.regexp_count(F.lower(c), F.lit("(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])")) / pairs,
+        "marks": _share(c, "[A-Za-z0-9]"),
+        "spaces": _share(c, r"\S"),
+        "wrapped": flag(c.rlike(r"^([<{\[(%$].*[>}\])%]|\$\w+)$|[(\[{]")),
         "repeats": F.regexp_count(c, F.lit(r"(.)(?=\1)")) / pairs,
         "covered": 1 - F.length(F.regexp_replace(c, words, "")) / F.length(c),
         "hex_only": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "digits_only": flag(c.rlike("^[0-9]+$")),
         "uuid": flag(c.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")),
-        "known_prefix": flag(c.rlike("^(AKIA|ASIA|ghp_|gho_|glpat-|xox[bp]-|sk_live_|eyJ)")),
+        "known_prefix": flag(c.rlike("^(AKIA|ASIA|gh[opsru]_|glpat-|xox[abprs]-|sk_live_|eyJ)")),
         "key_word": flag(F.col("before").rlike(KEY_WORDS)),
         "key_word_next": flag(F.col("before").rlike(KEY_WORDS + r"[\w-]{0,12}[\"']?\s{0,3}[:= ]{0,3}\s{0,3}[\"']?$")),
         "assigned": flag(F.col("before").rlike(r"[:=]\s{0,3}[\"']?$")),
@@ -90,37 +105,51 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     The text is cut once at its candidates, so a long text costs one pass; texts without one end at the first filter.
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.translate(F.col(text), "\x01\x02", "  ").alias("t"), (F.coalesce(F.col(path), F.lit("")) if path else F.lit("")).alias("path"))
-    parts = rows.where(F.col("t").rlike(CANDIDATE)).select("doc_id", "path", F.split(F.regexp_replace("t", CANDIDATE, "\x01$1\x01"), "\x01").alias("parts"))
+    parts = rows.where(F.col("t").rlike(_MAY_HOLD)).select("doc_id", "path", F.split(F.regexp_replace("t", CANDIDATE, _CUT), "\x01").alias("parts"))
     # parts alternate: text, candidate, text, ...; ends[k] is where part k ends
     ends = F.aggregate(
         "parts", F.array(F.lit(0)).cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p)))
     )
-    spread = parts.withColumn("ends", ends).select("doc_id", "path", "parts", "ends", F.explode(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))).alias("k"))
+    spread = parts.where(F.size("parts") > 1).withColumn("ends", ends).select("doc_id", "path", "parts", "ends", F.explode(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))).alias("k"))
+    near = lambda *steps: F.concat(*[F.coalesce(F.get("parts", F.col("k") + x), F.lit("")) for x in steps])
     return spread.select(
         "doc_id",
         F.element_at("ends", F.col("k") + 1).cast("long").alias("start"),
         F.get("parts", F.col("k")).alias("candidate"),
-        F.right(F.get("parts", F.col("k") - 1), F.lit(BEFORE)).alias("before"),
-        F.left(F.get("parts", F.col("k") + 1), F.lit(AFTER)).alias("after"),
+        F.right(near(-3, -2, -1), F.lit(BEFORE)).alias("before"),
+        F.left(near(1, 2, 3), F.lit(AFTER)).alias("after"),
         "path",
     )
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """Reviewed findings to train on: candidate, before, after, path, label. Made from a rule, alike in every run; a
-    site with reviews of its own hands those to ``train`` instead."""
+    """Reviewed findings to train on: candidate, before, after, path, label. ``rows`` texts made from a rule, alike in
+    every run, and what ``candidates`` finds in them; a site with reviews of its own hands those to ``train`` instead."""
     h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
-    b64 = F.translate(F.base64(F.unhex(h("b"))), "=", "")
+    made = spark.range(rows)
+
+    def named(label: str, column: Column) -> Column:
+        """A column of its own, so that the generated code holds it once."""
+        nonlocal made
+        made = made.withColumn(label, column)
+        return F.col(label)
+
+    b64 = named("b64", F.translate(F.base64(F.unhex(h("b"))), "=", ""))
     pick = lambda salt, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(names))) + 1).cast("int"))
     word = lambda salt: pick(salt, *DICTIONARY)
-    prose = F.concat(word("p1"), F.lit(" "), word("p2"), F.lit(", "), word("p3"), F.lit(" "))
-    digits = F.translate(F.substring(h("d"), 1, 16), "abcdef", "012345")
-    name = pick("n", "token", "secret", "api_key", "password", "AUTH_TOKEN", "access_key", "client_secret", "apiKey", "private_key", "bearer")
-    join = pick("j", ' = "', '="', ": ", "=", ' = ', '": "', ": '", " ")
-    end = F.when(join.contains('"'), F.lit('" ')).when(join.contains("'"), F.lit("' ")).otherwise(F.lit(" "))
+    prose = named("prose", F.concat(word("p1"), F.lit(" "), word("p2"), F.lit(", "), word("p3"), F.lit(" ")))
+    digits = named("digits", F.translate(F.substring(h("d"), 1, 16), "abcdef", "012345"))
+    name = named("name", pick("n", "token", "secret", "api_key", "password", "AUTH_TOKEN", "access_key", "client_secret", "apiKey", "private_key", "bearer"))
+    join = named("join", pick("j", ' = "', '="', ": ", "=", ' = ', '": "', ": '", " "))
+    end = named("end", F.when(join.contains('"'), F.lit('" ')).when(join.contains("'"), F.lit("' ")).otherwise(F.lit(" ")))
     other = pick("o", "commit ", "sha256: ", "md5 = ", "checksum: ", "digest=", "revision ", "etag: \"", "uuid: ", "build ", "integrity=\"")
-    hexes = F.substring(h("x"), 1, F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64), F.lit(24)), (F.pmod("id", F.lit(4)) + 1).cast("int")))
-    keyed = F.concat(prose, name, join)
+    hexes = F.substring(h("x"), 1, F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64), F.lit(24)), (F.pmod(F.xxhash64(F.lit("len"), "id"), F.lit(4)) + 1).cast("int")))
+    keyed = named("keyed", F.concat(prose, name, join))
+    size = lambda salt, low, high: (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(high - low + 1)) + low).cast("int")
+    assign = named("assign", pick("g", ' = "', '="', ": ", "=", '": "', ": '"))
+    stop = named("stop", F.when(assign.contains('"'), F.lit('" ')).when(assign.contains("'"), F.lit("' ")).otherwise(F.lit(" ")))
+    given = named("given", F.concat(prose, name, assign))
+    letters = named("letters", F.translate(h("a"), "0123456789abcdef", "QWXYZKLMPRABCDEF"))
     cases = [
         (hexes, keyed, end, 1),
         (F.left(b64, F.lit(40)), keyed, end, 1),
@@ -138,6 +167,18 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (F.concat(F.lit("your_"), word("a4"), F.lit("_"), word("a5"), F.lit("_here_"), F.pmod("id", F.lit(10))), keyed, end, 0),
         (F.concat(F.lit("x" * 16), F.pmod("id", F.lit(1000))), keyed, end, 0),
         (F.concat(word("a6"), F.lit("/"), word("a7"), F.lit("/"), word("a8"), F.lit("/v"), F.pmod("id", F.lit(40))), F.concat(prose, pick("z", "", "path ", "import ", "token from ")), F.lit(" "), 0),
+        (F.concat(F.lit("AKIA"), F.substring(letters, 1, 16)), F.concat(prose, pick("i", "", "key ", "id=", "use ")), F.lit(" "), 1),
+        (F.translate(F.substring(F.translate(b64, "+/", "!@"), F.lit(1), size("s1", 6, 15)), "AbCd", "!$%#"), given, stop, 1),
+        (F.concat(F.initcap(word("b1")), pick("b2", "", "_", "-", "!", "@"), F.substring(digits, F.lit(1), size("s2", 2, 4)), pick("b3", "!", "$", "#", "%!", "")), given, stop, 1),
+        (F.translate(F.substring(b64, F.lit(3), size("s3", 8, 15)), "+/", "xY"), given, stop, 1),
+        (F.concat(F.lit("eyJ"), F.substring(b64, F.lit(1), size("s4", 3, 12)), F.lit("."), F.substring(h("k"), F.lit(1), size("s5", 4, 14)), F.lit("."), F.substring(h("l"), F.lit(1), size("s6", 4, 14))), F.concat(prose, pick("j1", "", "TOKEN=", "token: ", "use ")), F.lit(" "), 1),
+        (F.concat(F.left(b64, F.lit(40)), pick("e", "=", "==")), given, stop, 1),
+        (word("c1"), given, stop, 0),
+        (F.concat_ws(" ", word("c2"), word("c3"), word("c4")), F.concat(prose, name, pick("g2", ": ", " = ", ": \"")), F.lit(" "), 0),
+        (pick("c5", "None", "null", "true", "false", "required", "optional", "string", "changeme", "***", "undefined", "str,"), given, stop, 0),
+        (F.concat(pick("c6", "${", "<", "{{", "os.environ[", "getenv(", "%("), F.upper(word("c7")), F.lit("_"), F.upper(name), pick("c8", "}", ">", "}}", "]", ")")), given, stop, 0),
+        (F.substring(digits, F.lit(1), size("s7", 1, 5)), F.concat(prose, pick("c9", "max_tokens = ", "tokens: ", "n_tokens=", "token_count: ", "password_length = ")), F.lit(" "), 0),
+        (F.concat(word("d1"), F.lit("."), word("d2"), pick("d3", "()", "", ".json", "_" )), given, stop, 0),
     ]
     kind = F.pmod("id", F.lit(len(cases)))
     chosen = reduce(lambda acc, kv: acc.when(kind == kv[0], F.struct(kv[1][0].alias("candidate"), kv[1][1].alias("before"), kv[1][2].alias("after"), F.lit(kv[1][3]).alias("label"))), enumerate(cases), F)
@@ -145,8 +186,11 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     path = F.when(label == 1, pick("pa", "", "src0", "app/config.py", ".env", "deploy/values.yaml", "lib/client.js")).otherwise(
         pick("pb", "", "src0", "tests/test_api.py", "docs/usage.md", "package-lock.json", "lib/client.js", "examples/demo.py")
     )
-    rows_ = spark.range(rows).withColumn("f", chosen)
-    return rows_.select("f.candidate", F.right("f.before", F.lit(BEFORE)).alias("before"), "f.after", path.alias("path"), label.cast("double").alias("label"))
+    made = made.withColumn("f", chosen).select("id", F.concat("f.before", "f.candidate", "f.after", word("p4")).alias("text"), path.alias("source"), label.alias("label"), F.length("f.before").alias("at"), F.length("f.candidate").alias("size"))
+    made = common.shared_table(made, "labelled")
+    found = candidates(made, "id").join(made.select(F.col("id").alias("doc_id"), "label", "at", "size"), "doc_id")
+    inside = (F.col("start") < F.col("at") + F.col("size")) & (F.col("start") + F.length("candidate") > F.col("at"))
+    return common.shared_table(found.select("candidate", "before", "after", "path", F.when(inside, F.col("label")).otherwise(0).cast("double").alias("label")), "findings")
 
 
 def _vectors(df: DataFrame) -> DataFrame:
