@@ -3,7 +3,7 @@
 Each page is parsed once into text blocks; a block knows the hashes of the container elements around it. A subtree's
 hash covers its tags and text. Spark counts, for each host, on how many different pages a subtree occurs; one that
 recurs on many is a template, and its blocks go. Pages with the same article count as one page, so copies of an
-article never look like a template, and paragraphs, ``article``, ``main`` and ``body`` are never candidates.
+article never look like a template. Containers and paragraphs outside ``article`` and ``main`` are candidates.
 """
 
 from __future__ import annotations
@@ -40,39 +40,53 @@ NEVER = frozenset(
     "progress script search select style svg template textarea title video xmp".split()
 )
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|"
-    r"signup|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|comments?|"
-    r"commentlist|respond|replies|disqus|share|sharing|social|related|recommended|popup|modal|overlay|toolbar|skip-link|pagination|widget)"
-    r"(?:$|[\s_-])"
+#: Class and id tokens, cut at "-" and "_": a token counts if it has a name and, beside names, nothing but places and parts.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe "
+    "signup sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments "
+    "commentlist respond replies disqus share sharing social related recommended popup modal overlay toolbar pagination widget".split()
+)
+_AFFIXES = frozenset(
+    "site page top main global left right bottom primary secondary post posts entry article articles user reader header inner outer mobile desktop sticky fixed "
+    "floating inline area section list item items box bar block wrap wrapper container panel button buttons btn link links icon icons title text form message thread slot unit "
+    "google small large side skip".split()
 )
 _HEADERS = re.compile(r"(?i)(?:^|\s)(?:(?:site|page|top|global|main)[_-]?)?header(?:$|\s)")
 _ROLES = re.compile(r"(?i)^(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu|menubar|toolbar)$")
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*+)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
 )
-_ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+
+
+def _names(value: str) -> bool:
+    """A whole token of a class or id names what is never an article; ``no-sidebar`` or ``social-science`` do not."""
+    for token in value.lower().split():
+        parts = [x for x in re.split("[-_]+", token) if x and not x.isdigit()]
+        if token in ("side-bar", "skip-link") or not _NAMES.isdisjoint(parts) and all(x in _NAMES or x in _AFFIXES for x in parts):
+            return True
+    return False
 
 
 def _dropped(name: str, attrs: str, in_article: int) -> bool:
     """By name or attributes, this element holds nothing of the article."""
     if name in NEVER or (name == "header" and not in_article):
         return True
-    if not attrs or name in ("html", "body", "main", "h1", "p"):
+    if not attrs or name in ("html", "body", "main", "h1"):
         return False
     for which, a, b, c in _ATTR.findall(attrs):
         which, value = which.lower(), a or b or c
-        if which == "hidden" or (which == "aria-hidden" and value == "true"):
+        if which == "hidden" or (which == "aria-hidden" and value.lower() == "true"):
             return True
         if which == "role" and _ROLES.match(value):
             return True
-        if which in ("class", "id") and (_NAMES.search(value) or (not in_article and _HEADERS.search(value))):
+        if which in ("class", "id") and (_names(value) or (not in_article and _HEADERS.search(value))):
             return True
     return False
 
 
 def blocks(page: str) -> list[tuple[str, list[int]]]:
-    """Text blocks in page order, each with the hashes of the containers around it, outermost first.
+    """Text blocks in page order, each with the hashes of the containers (and a paragraph outside articles) around it, outermost first.
 
     White space inside a block is one space; ``br`` counts as white space. If the page has ``article`` or ``main``
     elements with text, only their blocks are given.
@@ -160,7 +174,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
         drops = _dropped(name, attrs, article)
         article += main and not drops
         skip += drops
-        stack.append([name, xxhash.xxh64(name), drops, [] if name in CONTAINER else None, main and not drops])
+        stack.append([name, xxhash.xxh64(name), drops, [] if name in CONTAINER or (name == "p" and not article) else None, main and not drops])
     flush()
     while stack:
         close()

@@ -81,3 +81,20 @@ def test_odd_vectors(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "2 as segment", "3 as score")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vectors.search(frame).orderBy("rank").collect()]
     assert got == [(20, 1, 1, 1.0), (20, 2, 7, 1.0), (20, 3, 2, 0.0)]
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="hidden gems"', 'data-id="menu"', "class='no-sidebar content'", 'class="has-footer with-nav"', "data-role=navigation", 'id="social-science"'])
+def test_wrappers_that_only_look_dropped(attrs):
+    assert [t for t, _ in html.blocks(f"<div {attrs}><p>An article.</p></div>")] == ["An article."]
+
+
+@pytest.mark.parametrize("tag", ["div hidden", "div aria-hidden=true", 'div class="x left-sidebar"', "div id='comments-area'", "div title='a' class=nav", 'p class="advert"', "section role=navigation"])
+def test_elements_that_are_dropped(tag):
+    assert [t for t, _ in html.blocks(f"<{tag}>Gone</{tag.split()[0]}><p>An article.</p>")] == ["An article."]
+
+
+def test_paragraphs_on_every_page_go(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body><p>Closed on Sundays.<div><p>Story {k} of its own.</p></div></body>") for k in range(8)]
+    rows += [(100 + k, f"http://b.example/{k}", f"<article><p>Closed on Sundays.</p><p>Story {k} of its own.</p></article>") for k in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} of its own." for k in range(8)} | {100 + k: f"Closed on Sundays.\nStory {k} of its own." for k in range(8)}
