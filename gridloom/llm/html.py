@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A subtree on at least so many different pages of a host, and on this share of them, is a template.
+#: A subtree on at least so many different pages of a host is a template, however large the host.
 MIN_PAGES = 5
-MIN_SHARE = 0.02
 #: At most so many template hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
@@ -214,9 +213,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     """
     pages = common.shared_table(parse(df, key, url, page).withColumn("row", F.monotonically_increasing_id()), "pages")
     around = pages.select("row", "host", "content", F.explode(F.array_distinct(F.flatten(F.col("blocks.hashes")))).alias("hash"))
-    per_host = pages.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = around.select("host", "hash", "content").distinct().groupBy("host", "hash").count()
-    templates = counted.join(per_host, "host").where((F.col("count") >= MIN_PAGES) & (F.col("count") >= MIN_SHARE * F.col("pages"))).select("host", "hash")
+    templates = counted.where(F.col("count") >= MIN_PAGES).select("host", "hash")
     gone = common.shared_table(around.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")), "gone")
     size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     # few pages hold templates beside their article: the pages' text then need not be shuffled to meet them

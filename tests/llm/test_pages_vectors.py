@@ -98,3 +98,9 @@ def test_paragraphs_on_every_page_go(spark):
     rows += [(100 + k, f"http://b.example/{k}", f"<article><p>Closed on Sundays.</p><p>Story {k} of its own.</p></article>") for k in range(8)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"Story {k} of its own." for k in range(8)} | {100 + k: f"Closed on Sundays.\nStory {k} of its own." for k in range(8)}
+
+
+def test_templates_of_sections_of_a_large_host(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body><div>Section {k % 100} menu</div><div><p>Story {k} of its own.</p></div></body>") for k in range(600)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 600 and all(r.text == f"Story {r.page_id} of its own." for r in got)
