@@ -13,7 +13,7 @@ def test_blocks_of_one_page():
         "<div class='sidebar'>Side</div><form>Mail <input></form><script>if (a < b) {}</script><section id=comments><p>Reader</p></section>"
         "<footer>Foot</footer></body></html>"
     )
-    assert [t for t, _ in html.blocks(page)] == ["A & title", "First linebold é.", "Second line"]
+    assert html.main_text(html.blocks(page)) == ["A & title", "First linebold é.", "Second line"]
 
 
 @pytest.mark.parametrize("page", ["", "   ", "<", "<div", "<!-- open", "</p></div>", "<p title='a>b'", "&#x110000; &bogus;", "<script>never closed"])
@@ -85,12 +85,12 @@ def test_odd_vectors(spark):
 
 @pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="hidden gems"', 'data-id="menu"', "class='no-sidebar content'", 'class="has-footer with-nav"', "data-role=navigation", 'id="social-science"'])
 def test_wrappers_that_only_look_dropped(attrs):
-    assert [t for t, _ in html.blocks(f"<div {attrs}><p>An article.</p></div>")] == ["An article."]
+    assert html.main_text(html.blocks(f"<div {attrs}><p>An article.</p></div>")) == ["An article."]
 
 
 @pytest.mark.parametrize("tag", ["div hidden", "div aria-hidden=true", 'div class="x left-sidebar"', "div id='comments-area'", "div title='a' class=nav", 'p class="advert"', "section role=navigation"])
 def test_elements_that_are_dropped(tag):
-    assert [t for t, _ in html.blocks(f"<{tag}>Gone</{tag.split()[0]}><p>An article.</p>")] == ["An article."]
+    assert html.main_text(html.blocks(f"<{tag}>Gone</{tag.split()[0]}><p>An article.</p>")) == ["An article."]
 
 
 def test_paragraphs_on_every_page_go(spark):
@@ -104,3 +104,33 @@ def test_templates_of_sections_of_a_large_host(spark):
     rows = [(k, f"http://a.example/{k}", f"<body><div>Section {k % 100} menu</div><div><p>Story {k} of its own.</p></div></body>") for k in range(600)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 600 and all(r.text == f"Story {r.page_id} of its own." for r in got)
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'><p>Main text</p></div>", "<article class='post comments-open'>Main text</article>", "<div class='no-comments'>Main text</div>",
+    "<div class=sidebar><p>Main text</p></div>", "<body><h2 class=banner>Main text</h2></body>", "<p>Main <span class=ad>Buy</span>text</p>",
+])
+def test_named_wrappers_of_the_whole_text_stay(page):
+    assert html.main_text(html.blocks(page)) == ["Main text"]
+
+
+def test_a_teaser_is_not_the_article():
+    page = "<h1>Own heading</h1><div>The page's own body is longer than its teaser.</div><article>More news</article>"
+    assert html.main_text(html.blocks(page)) == ["Own heading", "The page's own body is longer than its teaser.", "More news"]
+
+
+def test_templates_against_brute_force(spark, sf):
+    """Per-host counts of subtrees by hand, and the same text whichever way templates reach the pages."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    parsed = {r.page_id: html.blocks(r.html or "", html.host_of(r.url)) for r in frame.collect()}
+    on = {}
+    for found in parsed.values():
+        for h in {h for _, hashes, _, _ in found for h in hashes}:
+            on.setdefault(h, set()).add("\n".join(html.main_text(found)))
+    gone = {h for h, pages in on.items() if len(pages) >= html.MIN_PAGES}
+    pages = html.parse(frame).withColumn("row", html.F.monotonically_increasing_id())
+    assert {r["hash"] for r in html.templates(pages).collect()} == gone and gone
+    want = {k: "\n".join(html.main_text(found, gone)) for k, found in parsed.items()}
+    assert sum(not gone.isdisjoint(hashes) for found in parsed.values() for _, hashes, _, _ in found) > 0
+    assert {r.page_id: r.text for r in html.extract(frame).collect()} == want
+    assert {r.page_id: r.text for r in html.extract(frame, broadcast_hashes=0).collect()} == want
