@@ -6,8 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +13,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local session gets one of its own;
+    a cluster must name one, since executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -71,39 +72,32 @@ def tasks(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def boundaries(df: DataFrame, column: str, parts: int) -> list:
-    """At most ``parts - 1`` ascending cut points of ``column`` from a bounded-memory quantile sketch over all rows."""
-    if parts < 2:
-        return []
-    cuts = df.select(F.percentile_approx(column, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts)).first()[0]
-    return sorted(set(cuts or []))
-
-
-def bucket_of(column: str, cuts: list) -> Column:
-    """Number of cut points at or below ``column`` (null: 0). Arrow batches; the cut points travel with the task."""
-    if not cuts:
-        return F.lit(0)
-    at, low = np.asarray(cuts, dtype="int64"), -(2**63)
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, removed when the session's process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
-    @F.pandas_udf("int")
-    def bucket(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, values.to_numpy("int64"), side="right").astype("int32"))
 
-    return bucket(F.coalesce(F.col(column).cast("long"), F.lit(low)))
+def sorted_table(df: DataFrame, order: list, label: str, rows: int, rows_per_part: int = 20_000, name: str = "__at") -> DataFrame:
+    """``df`` as a written table in ascending ``order``: ``name`` is a row's place, partition * 2**33 + place inside it.
 
+    Rows are dealt to ranges of the whole order and, where that ends in a tie, of their places in ``df``: a value that
+    many rows share is spread as well, and no cut points pass through the driver's code.
+    """
+    parts, by = max(1, -(-rows // rows_per_part)), [*order, F.col("__tie")]
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    return shared_table(tied.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("__tie").withColumn(name, F.monotonically_increasing_id()), label)
 
-def ranked(df: DataFrame, key: str, bucket: str, order: list, name: str) -> DataFrame:
-    """Adds a gapless rank from 0 within ``key``, ordered by ``bucket`` and then ``order``.
 
-    No task ever holds all rows of a key: rows are numbered within (key, bucket), and the buckets' counts, a small
-    table, give where each bucket starts. ``df`` is read twice, so hand in a written table.
-    """
+def ranked(df: DataFrame, key: str, order: list, name: str, rows: int) -> DataFrame:
+    """Adds a gapless rank from 0 within ``key``, in ``order``. No task holds all rows of a key: rows lie in ranges of
+    (key, order), and the ranges' counts, a small table, give where each begins."""
     from pyspark.sql import Window as W
 
-    counts = df.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(key).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(F.col(key).alias("__k"), F.col(bucket).alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
-    own = W.partitionBy(key, bucket).orderBy(*order)
-    numbered = df.withColumn("__r", F.row_number().over(own).cast("long") - 1)
-    joined = numbered.join(starts, (F.col(key) == F.col("__k")) & (F.col(bucket) == F.col("__b")))
-    return joined.withColumn(name, F.col("__r") + F.col("__s")).drop("__k", "__b", "__s", "__r")
+    placed = sorted_table(df, [F.col(key), *order], "ranked", rows).withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col(key).alias("__k"), F.col("__part").alias("__p"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__s"))
+    joined = placed.join(starts, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")))
+    return joined.withColumn(name, F.col("__at") + F.col("__s")).drop("__k", "__p", "__s", "__at", "__part")

@@ -5,7 +5,8 @@ of the corpus, holds all that the plan depends on. The plan is made on that hist
 
 1. large lengths are sorted, cut into groups of equal cardinality, and rounded up to their group's largest;
 2. the few rounded sizes are packed by the configuration programme, solved by column generation;
-3. actual lengths take the places of the rounded ones, longest first;
+3. actual lengths take the places of the rounded ones, longest first; the last place of a configuration goes to the
+   longest large length that the room left by the others allows, so that rounding up wastes no space;
 4. what is left, then the small lengths, go best-fit, largest first, into the remaining space.
 
 Each bin class of the plan says how many sequences hold the same lengths in the same order. Pieces are then numbered
@@ -15,6 +16,7 @@ within their length by a distributed rank, and an interval lookup turns (length,
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,31 +28,30 @@ from . import common
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Lengths above ``capacity // part`` are large. Rounding up costs room, more of it the more lengths count as large; each
-#: bound is planned and the plan with the fewest sequences is kept (1: none is large, all go best-fit).
-LARGE_PARTS = (8, 2, 1)
+#: Lengths above ``capacity // LARGE_PART`` are large.
+LARGE_PART = 8
+#: Room that a sequence of large lengths may leave for small ones, which are a small part of all tokens.
+SLACK = 0
 GROUPS = 48
-BUCKET_ROWS = 2_000
 TOKENIZER = "word_bpe_49k.json"
 
 
 def _price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The configuration of largest value: an unbounded knapsack over whole-number sizes."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        if best[c - 1] > 0:
-            best[c] = best[c - 1]
-        fits = sizes <= c
-        if fits.any():
-            gain = np.where(fits, best[np.maximum(c - sizes, 0)] + values, -1)
-            k = int(gain.argmax())
-            if gain[k] > best[c] + 1e-12:
-                best[c], took[c] = gain[k], k
+    """The configuration of largest value: a knapsack over whole-number sizes, one item more at each layer."""
+    best = np.zeros(capacity + 1)
+    layers = []
+    for _ in range(capacity // int(sizes.min())):
+        now, took = best.copy(), np.full(capacity + 1, -1)
+        for k, (size, value) in enumerate(zip(sizes, values)):
+            with_it = best[: capacity + 1 - size] + value
+            more = with_it > now[size:] + 1e-12
+            now[size:][more] = with_it[more]
+            took[size:][more] = k
+        layers.append(took)
+        best = now
     pattern, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
+    for took in layers[::-1]:
+        if took[c] >= 0:
             pattern[took[c]] += 1
             c -= sizes[took[c]]
     return best[capacity], pattern
@@ -88,13 +89,58 @@ def _grouped(lengths: np.ndarray, counts: np.ndarray, groups: int) -> list[tuple
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[list[int], int]]:
-    """Bin classes: (lengths in order, number of sequences). Every piece of the histogram is in exactly one."""
-    plans = [_plan(histogram, capacity, groups, part) for part in LARGE_PARTS]
-    return min(plans, key=lambda bins: sum(n for _, n in bins))
+def _fill(slots: list[int], times: int, groups_of: dict[int, list[list[int]]], left: dict[int, int], large: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """Puts actual lengths into ``times`` sequences of one configuration. All places but the last take members of their
+    group, longest first; the last takes the longest large length still there that fits, and the place before it the
+    member of its group with which that leaves least room. Ends early where a group has run out, or where more than
+    ``SLACK`` would be left: those lengths go best-fit."""
+    out = []
+    while times:
+        content: list[int] = []
+        taken: dict[int, int] = {}
+
+        def free(length: int) -> int:
+            return left[length] - taken.get(length, 0)
+
+        def take(length: int) -> None:
+            content.append(length)
+            taken[length] = taken.get(length, 0) + 1
+
+        for size in slots[:-2]:
+            members = groups_of[size]
+            while members and not left[members[0]]:  # all of them are in sequences
+                members.pop(0)
+            length = next((x for x in members if free(x) > 0), None)
+            if length is None:
+                return out
+            take(length)
+        best = None
+        for first in groups_of[slots[-2]] if len(slots) > 1 else [0]:
+            if first and free(first) <= 0:
+                continue
+            room = capacity - sum(content) - first
+            k = bisect_right(large, room) - 1
+            while k >= 0 and free(large[k]) <= (large[k] == first):
+                k -= 1
+            if k >= 0 and (best is None or room - large[k] < best[0]):
+                best = room - large[k], first, large[k]
+                if not best[0]:
+                    break
+        if best is None or best[0] > SLACK:
+            return out
+        for length in best[1:]:
+            if length:
+                take(length)
+        n = min(times, *(left[x] // m for x, m in taken.items()))
+        for x, m in taken.items():
+            left[x] -= m * n
+        out.append((content, n))
+        times -= n
+    return out
 
 
-def _plan(histogram: dict[int, int], capacity: int, groups: int, part: int) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[list[int], int]]:
+    """Bin classes: (lengths in order, number of sequences). Every piece of the histogram is in exactly one."""
     left = {int(k): int(v) for k, v in histogram.items() if v}
     if any(k < 1 or k > capacity for k in left):
         raise ValueError("a piece is longer than a sequence, or empty")
@@ -102,42 +148,19 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, part: int) -> l
     if capacity in left:
         done.append(([capacity], left.pop(capacity)))
     open_bins: list[tuple[list[int], int]] = []
-    large = np.array(sorted(k for k in left if k > capacity // part), dtype=np.int64)
-    if len(large) > 1:
-        groups_of: dict[int, list[list[int]]] = {}
+    large = np.array(sorted(k for k in left if k > capacity // LARGE_PART), dtype=np.int64)
+    if len(large):
+        grouped: dict[int, list[list[int]]] = {}
         for size, members in _grouped(large, np.array([left[int(k)] for k in large]), groups):
-            groups_of.setdefault(size, []).extend(members)
-        sizes = np.array(sorted(groups_of), dtype=np.int64)
-        demand = np.array([sum(n for _, n in groups_of[int(s)]) for s in sizes], dtype=float)
-        for pattern, times in configurations(sizes, demand, capacity):
+            grouped.setdefault(size, []).extend(members)
+        sizes = np.array(sorted(grouped), dtype=np.int64)
+        demand = np.array([sum(n for _, n in grouped[int(s)]) for s in sizes], dtype=float)
+        groups_of = {size: [x for x, _ in members] for size, members in grouped.items()}
+        # the fullest configurations first: there the last place has the least choice
+        found = sorted(configurations(sizes, demand, capacity), key=lambda c: -int(c[0] @ sizes))
+        for pattern, times in found:
             slots = [int(s) for s, n in zip(sizes, pattern) for _ in range(n)][::-1]
-            runs = []
-            for size in slots:
-                members, need, run = groups_of[size], times, []
-                while need and members:
-                    n = min(need, members[0][1])
-                    run.append([members[0][0], n])
-                    members[0][1] -= n
-                    need -= n
-                    if not members[0][1]:
-                        members.pop(0)
-                runs.append(run)
-            for run in runs:
-                for length, n in run:
-                    left[length] -= n
-            at = 0
-            while at < times:
-                heads = [run[0] for run in runs if run]
-                if not heads:
-                    break
-                n = min(times - at, *(h[1] for h in heads))
-                open_bins.append(([h[0] for h in heads], n))
-                for run in runs:
-                    if run:
-                        run[0][1] -= n
-                        if not run[0][1]:
-                            run.pop(0)
-                at += n
+            open_bins += _fill(slots, times, groups_of, left, large.tolist(), capacity)
     rooms: dict[int, list[tuple[list[int], int]]] = {}
     for content, n in open_bins:
         rooms.setdefault(capacity - sum(content), []).append((content, n))
@@ -187,9 +210,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     if not histogram:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     table = spark.sparkContext.broadcast(_lookup(plan(histogram, capacity)))  # bounded by capacity, not by rows
-    buckets = -(-max(histogram.values()) // max(BUCKET_ROWS, sum(histogram.values()) // 100_000))
-    salted = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    numbered = common.ranked(salted, length, "__bucket", list(order), "__rank").drop("__bucket")
+    numbered = common.ranked(pieces, length, [F.col(c) for c in order], "__rank", sum(histogram.values()))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:

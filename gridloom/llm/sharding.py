@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS = 40
-#: Rows numbered together in one sort; more buckets, not larger ones, as the input grows.
-BUCKET_ROWS = 20_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -56,15 +54,8 @@ def shard_documents(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", te
         F.crc32(common.text_or_empty(text).cast("binary")).alias("text_crc32"),
     )
     rows = common.shared_table(wide, "shards")
-    parts = int(min(10_000, rows.count() // (BUCKET_ROWS * shards) + 1)) * 4
-    placed = rows.select(
-        "*",
-        F.lit("key").alias("law"),
-        jump_shard(F.col("doc_id"), shards).alias("shard"),
-        jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        common.bucket_of("doc_id", common.boundaries(rows, "doc_id", parts)).alias("__bucket"),
-    )
-    out = common.ranked(placed, "shard", "__bucket", [F.col("doc_id").asc_nulls_first(), "text_crc32", "size"], "slot")
+    placed = rows.select("*", F.lit("key").alias("law"), jump_shard(F.col("doc_id"), shards).alias("shard"), jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"))
+    out = common.ranked(placed, "shard", [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")], "slot", rows.count())
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

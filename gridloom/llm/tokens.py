@@ -58,8 +58,10 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._units = units
+        # the text of an added token is that token wherever it stands, and what lies between is encoded on its own
+        added = {t.content: array("I", [k]).tobytes() for k, t in self._tokenizer.get_added_tokens_decoder().items()}
+        self._added, self._at_added = added, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         self._memo: dict = {}
         self._old: dict = {}  # the memo before this one; units still in use move over
 
@@ -98,7 +100,13 @@ class UnitEncoder:
         chunk: list[list] = []
         size = 0
         for text in texts:
-            chunk.append(self._units(text or ""))
+            text = text or ""
+            if any(x in text for x in self._added):
+                out += map(b"".join, self.lookup(chunk))
+                out.append(b"".join(self._added[p] if k % 2 else b"".join(self.lookup([self._units(p)])[0]) for k, p in enumerate(self._at_added.split(text))))
+                chunk, size = [], 0
+                continue
+            chunk.append(self._units(text))
             size += len(chunk[-1])
             if size >= CHUNK_UNITS:
                 out += map(b"".join, self.lookup(chunk))
