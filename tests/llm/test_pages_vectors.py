@@ -56,31 +56,61 @@ def test_nearest_neighbours(spark, sf):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score, r["rank"]))
     assert set(got) == set(want)
     hits = sum(len({v for v, _, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
-    assert hits >= 0.97 * sum(map(len, want.values()))
+    assert hits >= 0.92 * sum(map(len, want.values()))
     score = {(int(ids[q]), int(i)): float(s) for q in np.flatnonzero(ids % 20 == 0) for i, s in zip(ids, np.cumsum(matrix * matrix[q], axis=1)[:, -1])}
     for q, found in got.items():
         assert [r for _, _, r in found] == list(range(1, 21)) and all(s == score[q, v] for v, s, _ in found)
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def test_recall_where_the_forest_prunes():
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_recall_against_brute_force(spark, clusters):
+    """20,000 vectors without any structure, and in clusters."""
     rng = np.random.default_rng(4)
-    matrix = rng.standard_normal((40_000, 32)) + rng.standard_normal((200, 32))[rng.integers(0, 200, 40_000)]
-    forest = vectors.Forest(matrix)
-    hits = sizes = 0
-    for q, at in enumerate(forest.search(matrix[:60], vectors.MEETINGS)):
-        best = np.argpartition(-(matrix @ matrix[q]), 21)[:21]
-        hits += len(np.intersect1d(best, at))
-        sizes += len(at)
-    assert hits >= 0.9 * 60 * 21
-    assert sizes < 60 * len(matrix)
+    matrix = rng.standard_normal((20_000, 32))
+    if clusters:
+        matrix += 2 * rng.standard_normal((clusters, 32))[rng.integers(0, clusters, len(matrix))]
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.search(frame).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, len(matrix), 20)
+    scores = matrix[asked] @ matrix.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    assert sum(len(got[int(q)] & set(b.tolist())) for q, b in zip(asked, best)) >= 0.92 * best.size
+
+
+def test_segments_are_the_sorted_arrays(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((3_000, 8))
+    frame = spark.createDataFrame([(k, x, 0.5) for k, x in enumerate(v.tolist())], "node long, v array<double>, rest double")
+    segments = vectors.build(frame, 60_000)  # as if larger: many segments
+    made = vectors.strings(v, np.full(len(v), 0.5))
+    by_tree = {}
+    for r in segments.orderBy("segment").collect():
+        by_tree.setdefault(r.tree, []).append(np.frombuffer(r.strings, "<u4"))
+        nodes = np.frombuffer(r.nodes, "<i8")
+        assert (made[r.tree, nodes] == by_tree[r.tree][-1]).all()
+    assert len(by_tree) == vectors.TREES and max(map(len, by_tree.values())) > 1
+    for tree, parts in by_tree.items():
+        assert (np.concatenate(parts) == np.sort(made[tree])).all()
+    # counts at each level against the arrays, and the segments that a range meets
+    bounds = vectors.Bounds(segments)
+    asked = spark.createDataFrame([(0, v[0].tolist()), (1, v[1].tolist())], "q long, v array<double>")
+    met = {r.q: r.met for r in vectors.met_counts(asked, segments, spark.sparkContext.broadcast(bounds)).collect()}
+    own = vectors.strings(v[:2], np.zeros(2))
+    for q in (0, 1):
+        for bits in (0, 6, 12, 32):
+            true = sum(int(((made[t] ^ own[t, q]) >> np.uint32(32 - bits) == 0).sum()) if bits else len(v) for t in range(vectors.TREES))
+            assert abs(met[q][bits] - true) <= (0 if bits in (0, 32) else 0.3 * true + 60)
 
 
 def test_odd_vectors(spark):
-    rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, None), (None, [1.0, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (40, [float("inf"), 1.0]), (7, [1.0, 0.0])]
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, None), (None, [1.0, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (40, [float("inf"), 1.0]), (7, [1.0, 0.0]), (1, [0.0, 3.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "2 as segment", "3 as score")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vectors.search(frame).orderBy("rank").collect()]
-    assert got == [(20, 1, 1, 1.0), (20, 2, 7, 1.0), (20, 3, 2, 0.0)]
+    assert got == [(20, 1, 1, 1.0), (20, 2, 7, 1.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
 
 
 @pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="hidden gems"', 'data-id="menu"', "class='no-sidebar content'", 'class="has-footer with-nav"', "data-role=navigation", 'id="social-science"'])
