@@ -72,6 +72,45 @@ def tasks(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows (a key and a digest each) that are broadcast at most; more meet the table by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table, broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def among(df: DataFrame, key: str, digest: Column, rows: DataFrame, how: str) -> DataFrame:
+    """``df`` joined (left_semi or left_anti) with ``rows``, a written table of doc_id and text_hash. A null key is a key."""
+    one, two = unused(df, "__key"), unused(df, "__digest")
+    there = bounded(rows.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two)))
+    return df.join(there, F.col(key).cast("long").eqNullSafe(F.col(one)) & (digest == F.col(two)), how)
+
+
+def one_of_each(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The row of ``df`` with the smallest key (then text hash) of each group. ``found``: doc_id, text_hash and root, which
+    names the group, of all rows with a key. Rows that are equal in key and text count once; rows without a key stay."""
+    found = shared_table(found, "groups")
+    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    gone = shared_table(found.join(least, "root").where(F.struct("doc_id", "text_hash") != F.col("least")).select("doc_id", "text_hash").distinct(), "gone")
+    again = shared_table(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "again")
+    digest = F.xxhash64(text_or_empty(text))
+    kept = among(df, key, digest, gone, "left_anti")
+    if not again.count():
+        return kept
+    repeated = among(kept, key, digest, again, "left_semi").withColumn(name := unused(df, "__digest"), digest)
+    return among(kept, key, digest, again, "left_anti").unionByName(repeated.dropDuplicates([key, name]).drop(name))
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder, removed when the session's process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

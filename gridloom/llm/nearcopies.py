@@ -1,7 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates share a band of MinHash values; every candidate pair of two components is confirmed by the exact similarity
-of the texts. With 32 bands of 4 values a pair at 0.8 shares none with probability (1 - 0.8**4)**32, 5 in 10**8.
+SimHash alone cannot name them: fingerprints of two such texts differ in about ten of 64 bits, and a trie join with so
+wide a budget prunes nothing. So the trie join of ``simhash`` finds the closest texts, in its budget of three bits, and
+bands of MinHash values find the rest: with 32 bands of 4 values a pair at 0.8 shares none with probability
+(1 - 0.8**4)**32, 5 in 10**8. Every candidate pair of two components is confirmed by the exact similarity of the texts.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import components
 
 WORDS = 5
@@ -54,8 +56,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def majority(values: np.ndarray) -> int:
+    """SimHash fingerprint of these shingles; none: 0."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(values), CHUNK):
+        ones += np.unpackbits(values[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(values)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 def _sketches(rows: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), s (digest of the set of shingles), n (size of the set), bands."""
+    """doc_id, h (of the text), s (digest of the set of shingles), n (size of the set), fp (its fingerprint), bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,10 +75,11 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 "h": batch["h"],
                 "s": np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64),
                 "n": [len(x) for x in sets],
+                "fp": [majority(x) for x in sets],
                 "bands": [bands(x) for x in sets],
             })
 
-    return rows.mapInPandas(run, "doc_id long, h long, s long, n long, bands array<long>")
+    return rows.mapInPandas(run, "doc_id long, h long, s long, n long, fp long, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -92,23 +103,25 @@ def _alike_in_size(pairs: DataFrame) -> DataFrame:
     return pairs.where(SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb")).select("a", "b").distinct()
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, component_id (smallest doc_id reachable over similar texts).
-
-    Null and empty texts have no words and are alike. Texts with the same shingles are one node. A first round confirms
-    each node of a band against the band's least node; the second confirms all pairs of nodes that share a band and are
-    not in one component yet, so that a large group of near copies does not cost all its pairs.
-    """
+def _groups(df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, text_hash, root (the smallest node reachable) and component_id of each row."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
     sketches = common.shared_table(_sketches(rows), "sketches")
-    nodes = sketches.groupBy("s").agg(F.min("doc_id").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"))
+    nodes = sketches.groupBy("s").agg(F.min("doc_id").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"))
     nodes = common.shared_table(nodes, "nodes")
     # a node alone in a band has no pair there
     every = sketches.select("s", "n", F.posexplode("bands").alias("place", "band")).drop("place").distinct()
     heads = every.groupBy("band").agg(F.min(F.struct("s", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = common.shared_table(every.join(heads, "band").select("band", "s", "n", "head"), "bands")
-    first = _alike_in_size(met.where("s <> head.s").select(F.col("s").alias("a"), F.col("head.s").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb")))
-    needed = met.select("s").distinct().join(nodes.select("s", "h"), "s")
+    # nodes of one fingerprint are paired with the first of them, and so are those of two that the trie join links
+    prints = common.shared_table(nodes.groupBy("fp").agg(F.min(F.struct("s", "n")).alias("head")), "prints")
+    linked = simhash.links(prints.select("fp"))
+    first_of = lambda side: prints.select(F.col("fp").alias(side), F.col("head").alias(f"h{side}"))
+    near = linked.join(first_of("a"), "a").join(first_of("b"), "b").select("ha", "hb").union(nodes.join(prints, "fp").where("s <> head.s").select(F.struct("s", "n"), "head"))
+    near = near.union(met.where("s <> head.s").select(F.struct("s", "n"), "head"))
+    first = _alike_in_size(near.select(F.greatest("ha.s", "hb.s").alias("a"), F.least("ha.s", "hb.s").alias("b"), F.col("ha.n").alias("na"), F.col("hb.n").alias("nb")))
+    first = common.shared_table(first, "first")
+    needed = met.select("s").union(first.select("a")).union(first.select("b")).distinct().join(nodes.select("s", "h"), "s")
     texts = common.shared_table(rows.join(needed, "h").select("s", "text").dropDuplicates(["s"]), "texts")
     links = common.shared_table(_confirmed(first, texts), "links")
     roots = components(links).withColumnRenamed("node", "s")
@@ -121,12 +134,20 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = links.union(common.shared_table(_confirmed(second, texts), "links"))
     named = nodes.join(components(links).withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("root", "s").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sketches.select("doc_id", "s").join(named.select("s", "root").join(smallest, "root").select("s", "component_id"), "s").select("doc_id", "component_id")
+    return sketches.select("doc_id", F.col("h").alias("text_hash"), "s").join(named.select("s", "root").join(smallest, "root"), "s").select("doc_id", "text_hash", "root", "component_id")
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, component_id (smallest doc_id reachable over similar texts).
+
+    Null and empty texts have no words and are alike. Texts with the same shingles are one node. A first round confirms
+    each node against the least node of its fingerprint and of its bands, and the pairs of fingerprints that the trie
+    join links; the second confirms all pairs of nodes that share a band and are not in one component yet, so that a
+    large group of near copies does not cost all its pairs.
+    """
+    return _groups(df, key, text).select("doc_id", "component_id")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keeps the row with the smallest key of each component, once. Rows with a null key cannot be named and stay."""
-    found = groups(df.where(F.col(key).isNotNull()), key, text)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = df.join(keep, F.col(key) == F.col("__keep"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(key).isNull()))
+    """Keeps the row with the smallest key of each component; see ``common.one_of_each`` for rows that repeat a key."""
+    return common.one_of_each(df, _groups(df.where(F.col(key).isNotNull()), key, text), key, text)

@@ -4,12 +4,16 @@ Two nodes of the trie are walked down together. Each step where they take differ
 Hamming budget, and a pair of nodes is dropped when the budget is spent. Sorted fingerprints are the trie: a node is
 a range, and its children are split where the next bit turns to one. A task walks all pairs of subtrees dealt to it
 at once, level by level, in arrays.
+
+Tasks get subtrees of four tries. If two fingerprints differ in at most three bits, one of four blocks of their bits is
+equal; each trie reads another block first, so only nodes below one value of that block need be walked, and each
+fingerprint is copied four times however many there are. A node that very many share is cut again, by blocks of the
+bits that follow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,8 +31,12 @@ BUDGET = 3
 LEAF_PAIRS = 16
 #: Node pairs (and leaf pairs) walked at once; more wait their turn.
 FRONTIER = 2_000_000
-#: Fingerprints below one top node, about; beyond it the tries are cut a level deeper.
+#: Fingerprints below one node that are walked in one task; a larger node is cut by the blocks of its other bits.
 NODE_ROWS = 1 << 18
+#: Times that a node can be cut. What is left then shares at least 43 bits, so it holds at most 2**21 fingerprints.
+CUTS = 4
+#: Large nodes are broadcast up to so many; there are at most ``4 / NODE_ROWS`` of them for each fingerprint.
+BROADCAST_NODES = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -49,14 +57,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a signed long."""
+    """doc_id, text_hash (null text counts as empty) and fp, the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": prints})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": prints})
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,37 +142,55 @@ def walk(values: np.ndarray, pairs: np.ndarray, depth: int, budget: int) -> tupl
     return _forest(np.concatenate(found_a), np.concatenate(found_b), len(values))
 
 
+def _turned(fixed: int, by: int):
+    """``rot`` with its bits after the first ``fixed`` turned to the left by ``by``."""
+    if not by:
+        return F.col("rot")
+    mask = F.lit(-1 if not fixed else (1 << (64 - fixed)) - 1).cast("long")
+    rest = F.col("rot").bitwiseAND(mask)
+    turned = F.shiftleft(rest, by).bitwiseAND(mask).bitwiseOR(F.shiftrightunsigned(rest, 64 - fixed - by))
+    return F.col("rot").bitwiseAND(F.bitwise_not(mask)).bitwiseOR(turned)
+
+
+def _cut(rows: DataFrame, fixed: int, budget: int) -> tuple[DataFrame, int]:
+    """Copies of ``rows`` (node, rot, fp), whose nodes share ``fixed`` bits, one for each block of the bits that follow:
+    the bits are turned so that the block comes next, and rows with the same block share a node. Also: bits shared now."""
+    ends = [(64 - fixed) * k // (budget + 1) for k in range(budget + 2)]
+    copies = F.array(*[F.struct(F.lit(k).alias("k"), _turned(fixed, ends[k]).alias("rot"), F.lit(64 - fixed - ends[k + 1] + ends[k]).alias("free")) for k in range(budget + 1)])
+    moved = rows.select("node", "fp", F.explode(copies).alias("c")).select("node", "fp", "c.*")
+    shared = F.call_function("shiftrightunsigned", F.col("rot"), F.col("free"))
+    return moved.select(F.xxhash64("node", "k", shared).alias("node"), "rot", "fp"), fixed + min(b - a for a, b in zip(ends, ends[1:]))
+
+
 def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that join the same components as all pairs within
-    ``budget`` bits. Each fingerprint goes to the pairs of top nodes whose prefixes are within the budget."""
-    depth = 4
-    while distinct.count() >> depth > node_rows and depth < 20:
-        depth += 1
-    masks = [sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(depth), r)]
-    top = F.shiftrightunsigned("fp", 64 - depth)
-    dealt = (
-        distinct.select("fp", top.alias("p"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-        .select("fp", (F.least("p", F.col("p").bitwiseXOR(F.col("mask"))) * (1 << depth) + F.greatest("p", F.col("p").bitwiseXOR(F.col("mask")))).alias("pair"))
-        .repartition(common.tasks(distinct) * 4, "pair")
-        .sortWithinPartitions("pair")
-    )
-
-    def join(pair: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        values = fp.view(np.uint64)
-        order = np.lexsort((values, pair))
-        pair, values = pair[order], values[order]
-        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        ends = np.concatenate([starts[1:], [len(pair)]])
-        rows = []
-        for s, e in zip(starts, ends):
-            p, q = int(pair[s]) >> depth, int(pair[s]) & (1 << depth) - 1
-            if p == q:
-                rows.append((s, e, s, e, budget))
-            elif (m := s + int(np.searchsorted(values[s:e] >> np.uint64(64 - depth), q))) not in (s, e):
-                rows.append((s, m, m, e, budget - (p ^ q).bit_count()))
-        a, b = walk(values, np.array(rows, dtype=np.int64).reshape(-1, 5), depth, budget)
-        signed = values.view(np.int64)
-        return pd.DataFrame({"a": signed[a], "b": signed[b]})
+    ``budget`` bits. ``distinct`` is read once for each cut, so hand in a written table."""
+    dealt, fixed = _cut(distinct.select(F.lit(0).cast("long").alias("node"), F.col("fp").alias("rot"), "fp"), 0, budget)
+    ready = None
+    if distinct.count() > node_rows:
+        for _ in range(CUTS - 1):
+            large = common.shared_table(dealt.groupBy("node").count().where(F.col("count") > node_rows).select("node"), "large")
+            n = large.count()
+            if not n:
+                break
+            dealt = common.shared_table(dealt, "nodes")
+            large = F.broadcast(large) if n <= BROADCAST_NODES else large
+            small = dealt.join(large, "node", "left_anti")
+            ready = small if ready is None else ready.union(small)
+            dealt, fixed = _cut(dealt.join(large, "node", "left_semi"), fixed, budget)
+    whole = dealt if ready is None else ready.union(dealt)
+    whole = whole.repartition(common.tasks(distinct) * 4, "node").sortWithinPartitions("node")
+
+    def join(node: np.ndarray, rot: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        values = rot.view(np.uint64)
+        order = np.lexsort((values, node))
+        node, values, fp = node[order], values[order], fp[order]
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        ends = np.concatenate([starts[1:], [len(node)]])
+        some = ends - starts > 1
+        pairs = np.stack([starts[some], ends[some], starts[some], ends[some], np.full(some.sum(), budget)], axis=1)
+        a, b = walk(values, pairs, 0, budget)
+        return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -171,18 +198,28 @@ def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS)
         for batch in batches:
             held.append(batch)
             size += len(batch)
-            last = batch["pair"].iloc[-1]
-            if size >= 4 * node_rows and held[0]["pair"].iloc[0] != last:
-                whole = pd.concat(held)
-                ready = whole["pair"] != last  # the last pair of nodes may go on in the next batch
-                yield join(whole["pair"][ready].to_numpy("int64"), whole["fp"][ready].to_numpy("int64"))
-                held = [whole[~ready]]
+            last = batch["node"].iloc[-1]
+            if size >= node_rows and held[0]["node"].iloc[0] != last:
+                rows = pd.concat(held)
+                done = rows["node"] != last  # the last node may go on in the next batch
+                yield join(*(rows.loc[done, c].to_numpy("int64") for c in ("node", "rot", "fp")))
+                held = [rows[~done]]
                 size = len(held[0])
         if size:
-            whole = pd.concat(held)
-            yield join(whole["pair"].to_numpy("int64"), whole["fp"].to_numpy("int64"))
+            rows = pd.concat(held)
+            yield join(*(rows[c].to_numpy("int64") for c in ("node", "rot", "fp")))
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return whole.mapInPandas(run, "a long, b long")
+
+
+def _groups(df: DataFrame, key: str, text: str, words: int, budget: int) -> DataFrame:
+    """doc_id, text_hash, fp, root (the smallest fingerprint reachable) and component_id of each row."""
+    prints = common.shared_table(fingerprints(df, key, text, words), "fingerprints")
+    classes = common.shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("fp"), budget)).withColumnRenamed("node", "fp")
+    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.select("fp", "root").join(smallest, "root"), "fp")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, budget: int = BUDGET) -> DataFrame:
@@ -191,21 +228,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     Null and empty texts have no words and fingerprint zero, linked like any other. Rows that repeat stay. A null
     doc_id takes part but is never a component's id (null if the component has no other). Only key and text are read.
     """
-    prints = common.shared_table(fingerprints(df, key, text, words), "fingerprints")
-    classes = common.shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), budget)).withColumnRenamed("node", "fp")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _groups(df, key, text, words, budget)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keeps the row with the smallest key of each component, once. Rows with a null key cannot be named and stay."""
-    groups = near_duplicates(df.where(F.col(key).isNotNull()), key, text)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = df.join(keep, F.col(key) == F.col("__keep"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(key).isNull()))
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """Keeps the row with the smallest key of each component; see ``common.one_of_each`` for rows that repeat a key."""
+    return common.one_of_each(df, _groups(df.where(F.col(key).isNotNull()), key, text, words, budget), key, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,8 @@ def test_trie_join_finds_all_links(spark):
     n = len(values)
     a, b = simhash.walk(values, np.array([[0, n, 0, n, 3]]), 0, 3)
     table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    edges = {(r.a, r.b) for r in simhash.links(table, node_rows=16).collect()}
+    edges = {(r.a, r.b) for rows in (1 << 18, 16, 2) for r in simhash.links(table, node_rows=rows).collect()}
+    few = {(r.a, r.b) for r in simhash.links(table, node_rows=2).collect()}
     place = {int(v): k for k, v in enumerate(values.view(np.int64))}
 
     def roots(pairs):
@@ -199,7 +200,27 @@ def test_trie_join_finds_all_links(spark):
                 return least
 
     brute = [(i, j) for i in range(n) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 3]
-    assert roots(brute) == roots(zip(a.tolist(), b.tolist())) == roots([(place[x], place[y]) for x, y in edges])
+    assert roots(brute) == roots(zip(a.tolist(), b.tolist())) == roots([(place[x], place[y]) for x, y in edges]) == roots([(place[x], place[y]) for x, y in few])
+
+
+def test_large_nodes_are_cut(spark):
+    """Fingerprints that share their first blocks: nodes are cut again and again, and no link is lost."""
+    rng = np.random.default_rng(6)
+    low = np.unique(rng.integers(0, 2**20, 1500))
+    values = np.unique(np.concatenate([low, low ^ (1 << 40), low ^ (1 << 62)]).astype(np.uint64))
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    n = len(values)
+    place = {int(v): k for k, v in enumerate(values.view(np.int64))}
+
+    def roots(a, b):
+        return dict(zip(*(x.tolist() for x in simhash._forest(np.asarray(a), np.asarray(b), n))))
+
+    want = roots(*simhash.walk(values, np.array([[0, n, 0, n, 3]]), 0, 3))
+    i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3)
+    assert want == roots(i, j)
+    for rows in (1 << 18, 50):
+        found = simhash.links(table, node_rows=rows).collect()
+        assert roots([place[r.a] for r in found], [place[r.b] for r in found]) == want
 
 
 def test_edit_aware_counts(spark, sf, texts):

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from gridloom.llm import common, nearcopies
+from gridloom.llm import common, nearcopies, simhash
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -48,3 +48,12 @@ def test_links_beyond_the_first_of_a_band(spark):
     assert len(set(want.values())) == 4  # 1 to 4 are a chain, 1 and 4 are not alike themselves
     assert {r.doc_id: r.component_id for r in got if r.doc_id} == want and len(got) == len(texts) + 2
     assert sorted(r.doc_id or 0 for r in nearcopies.one_of_each(frame).collect()) == [0, 1, 5, 6, 8]
+
+
+def test_rows_of_one_key_and_other_texts_stay(spark):
+    rows = [(1, "one text of its own"), (1, "quite another text"), (1, "one text of its own"), (2, "One text of its own"), (None, "one text of its own"), (3, None), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __key", "2 as __digest")
+    for keep in (nearcopies.one_of_each, simhash.one_of_each):
+        got = keep(frame)
+        assert got.columns == frame.columns
+        assert sorted(((r.doc_id or 0), (r.text or "").lower()) for r in got.collect()) == [(0, rows[0][1]), (1, rows[0][1]), (1, rows[1][1]), (3, "")]
