@@ -1,80 +1,92 @@
 """Quality rules: word and line counts, and a perplexity band for each language.
 
-The model is a modified Kneser-Ney model (Chen and Goodman, 1999) of 4-grams of symbols. A symbol is a class of
-characters, one of 64, so a language has at most 64**4 n-grams however large the corpus: that bounds every table,
-broadcast and task of the model. Spark counts the n-grams over all documents that pass the base rule and hold few
-marks, so that junk does not teach the model what is usual; one task per language turns its counts
-into sorted hash arrays, which hold the log-probability of each n-gram and the back-off weight of each context.
-
-A document's perplexity is per symbol. A language's band spans the middle half of the log-perplexities of its documents
-that pass the base rule, widened on either side by ``WIDTH`` times that half's range; documents outside are rejected.
+The model is a modified Kneser-Ney model (Chen and Goodman, 1999) of n-grams of characters, order 5: every character
+counts as it is, with its case and its marks; a run of white space is one space. Spark counts the n-grams over all
+documents that pass the base rule and hold few marks, so that junk does not teach the model what is usual, and estimates
+all orders by grouping and joining the n-gram tables. The log-probability of every n-gram that any document holds ends in
+sorted hash arrays, dealt to ranges of the hash in the shared folder; tasks open the ranges that they need.
+
+A document's perplexity is per character. A language's band spans the middle half of the log-perplexities of its
+documents that pass the base rule, widened on either side by ``WIDTH`` times that half's range; documents outside are
+rejected.
 """
 
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 4
-SYMBOLS = 64
+ORDER = 5
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: Texts with more marks than this share of their characters are not counted for the model; they are judged by it.
 COUNTED_MARKS_PERCENT = 2
 #: How far the band reaches beyond the quartiles, in interquartile ranges; the README has the reject rates.
-WIDTH = 4.0
-#: Characters that are worked on together.
+WIDTH = 6.0
+#: Characters that are worked on together, and different n-grams that a task holds before it hands them on.
 CHUNK_CHARS = 300_000
-#: n-grams of the models broadcast together; more languages than fit take a further pass over their own documents.
-MODEL_ROWS = 20_000_000
-_CACHE = 1 << 18
+HELD_GRAMS = 1_000_000
+#: n-grams in one sorted hash array, and arrays that a process keeps open.
+SHARD_ROWS = 1_000_000
+OPEN_SHARDS = 12
+_CACHE = 1 << 19
 _MARKS = re.compile(r"[#*$%&|<>]")
+#: Stands before a text; no text holds these two code points once ``codes_of`` is done.
+_BEGIN, _NULL = 0x10FFFF, 0xFFFF
+_WHITE = np.zeros(0x110000, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B)]] = True
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _classes() -> np.ndarray:
-    """Class of each character below 65,536. 0: outside a document; 1: white space; 2-27: small letters; 28: capitals; 29: digits;
-    30-37: each of the marks; 38-46: other ASCII, by use; 47: other controls; 48-63: the rest, by code."""
-    code = np.arange(65_536, dtype=np.uint32)
-    out = (48 + code * 40_503 % 65_536 % 16).astype(np.uint8)
-    out[:128] = 47
-    out[[9, 10, 11, 12, 13, 32]] = 1
-    out[97:123] = np.arange(2, 28)
-    out[65:91] = 28
-    out[48:58] = 29
-    for k, same in enumerate([*"#*$%&|<>", ".", ",", ";:", "!?", "'\"`", "-_", "()[]{}", "/\\", "@=+~^"]):
-        out[[ord(x) for x in same]] = 30 + k
-    return out
-
-
-_CLASS = _classes()
-
-
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams of all symbols of all texts, and how many each text has. Three symbols 0 stand before a text."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    sym = _CLASS[np.minimum(codes, 65_535)]
-    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    first = np.ones(len(sym), dtype=bool)
-    first[1:] = text_of[1:] != text_of[:-1]
-    again = np.zeros(len(sym), dtype=bool)
-    again[1:] = (sym[1:] == 1) & (sym[:-1] == 1) & ~first[1:]
-    sym, text_of = sym[~again], text_of[~again]
-    counts = np.bincount(text_of, minlength=len(texts))
-    place = np.arange(len(sym), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)  # position in its text
-    key = sym.astype(np.int32)
-    for back in range(1, ORDER):
-        before = np.zeros(len(sym), dtype=np.int32)
-        before[back:] = sym[:-back]
-        before[place < back] = 0
-        key |= before << np.int32(6 * back)
-    return key, counts
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each after ORDER - 1 marks of its beginning, and how many characters each text has."""
+    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    white = _WHITE[raw]
+    again = np.zeros(len(raw), dtype=bool)
+    again[1:] = white[1:] & white[:-1] & (text_of[1:] == text_of[:-1])
+    code = np.where(white, np.uint32(32), raw)
+    code = np.where((code == 0) | (code == _BEGIN), np.uint32(_NULL), code)[~again]
+    counts = np.bincount(text_of[~again], minlength=len(texts))
+    out = np.full(len(code) + (ORDER - 1) * len(texts), _BEGIN, dtype=np.uint32)
+    place = np.arange(len(code)) + np.repeat((ORDER - 1) * np.arange(1, len(texts) + 1), counts)
+    out[place] = code
+    return out, counts
+
+
+def grams(texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the n-gram that ends at each character, characters of each text, where each n-gram begins in the codes, and
+    the codes; ``salt`` is the language's."""
+    codes, counts = codes_of(texts)
+    if not len(codes):
+        return np.zeros(0, np.uint64), counts, np.zeros(0, np.int64), codes
+    with np.errstate(over="ignore"):
+        h = np.full(len(codes) - ORDER + 1, salt, dtype=np.uint64)
+        for k in range(ORDER):
+            h = (h + codes[k : len(codes) - ORDER + 1 + k]) * _TIMES
+            h ^= h >> np.uint64(29)
+    at = np.arange(int(counts.sum())) + np.repeat((ORDER - 1) * np.arange(len(texts)), counts)  # where the n-gram begins
+    return _mixed(h[at]), counts, at, codes
+
+
+def salt_of(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang)
 
 
 def _chunks(texts: list[str]) -> Iterator[slice]:
@@ -88,116 +100,177 @@ def _chunks(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+class _Counts:
+    """Different n-grams of one language in one task: hash, codes, and how often texts that teach hold them."""
+
+    def __init__(self):
+        self._parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, texts: list[str], salt: int, weight: int) -> None:
+        for part in _chunks(texts):
+            h, _, at, codes = grams(texts[part], salt)
+            keys, first, n = np.unique(h, return_index=True, return_counts=True)
+            begin = at[first]
+            self._parts.append((keys, codes[begin[:, None] + np.arange(ORDER)], n * weight))
+            self.size += len(keys)
+            if len(self._parts) >= 12:
+                self._parts = [self._merged()]
+                self.size = len(self._parts[0][0])
+
+    def _merged(self) -> tuple:
+        keys, first, at = np.unique(np.concatenate([p[0] for p in self._parts]), return_index=True, return_inverse=True)
+        n = np.bincount(at, np.concatenate([p[2] for p in self._parts]), len(keys)).astype(np.int64)
+        return keys, np.concatenate([p[1] for p in self._parts])[first], n
+
+    def rows(self, lang: str) -> Iterator[pd.DataFrame]:
+        if not self._parts:
+            return
+        keys, codes, n = self._merged()
+        for k in range(0, len(keys), 50_000):
+            part = slice(k, k + 50_000)
+            text = np.ascontiguousarray(codes[part].astype("<u4")).view(f"<U{ORDER}").ravel()
+            yield pd.DataFrame({"lang": lang, "gram": text.astype(object), "h": keys[part].view(np.int64), "n": n[part]})
 
 
 def count_ngrams(df: DataFrame) -> DataFrame:
-    """(lang, key, n) over all texts the model learns from: each task adds up its own n-grams before the shuffle."""
+    """(lang, gram, h, n) for every n-gram of every text; n counts the texts that the model learns from. Each task adds
+    up its own n-grams before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
+        held: dict[str, _Counts] = {}
         for batch in batches:
             for lang, group in batch.groupby("lang", sort=False):
-                texts = [t for t in group["text"] if _teaches(t)]
-                for part in _chunks(texts):
-                    held.setdefault(lang, []).append(np.unique(symbols(texts[part])[0], return_counts=True))
-                    if len(held[lang]) >= 16:
-                        held[lang] = [_merge(held[lang])]
-        for lang, parts in held.items():
-            keys, n = _merge(parts)
-            yield pd.DataFrame({"lang": lang, "key": keys, "n": n})
+                teach = [_teaches(t) for t in group["text"]]
+                counts = held.setdefault(lang, _Counts())
+                counts.add([t for t, x in zip(group["text"], teach) if x], salt_of(lang), 1)
+                counts.add([t for t, x in zip(group["text"], teach) if not x], salt_of(lang), 0)
+            if sum(c.size for c in held.values()) > HELD_GRAMS:
+                for lang, counts in held.items():
+                    yield from counts.rows(lang)
+                held = {}
+        for lang, counts in held.items():
+            yield from counts.rows(lang)
 
-    return df.mapInPandas(run, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return df.mapInPandas(run, "lang string, gram string, h long, n long").groupBy("lang", "gram").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
 
 
-def _hash(keys: np.ndarray, kind: int) -> np.ndarray:
-    """A 64-bit hash of an n-gram's (kind: its order) or a context's (kind: 8 + its order) packed symbols."""
-    x = keys.astype(np.uint64) + np.uint64((kind + 1) << 32)
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def estimate(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hash array and values of the modified Kneser-Ney model of these 4-gram counts.
+def estimate(counted: DataFrame) -> DataFrame:
+    """(h, logp): natural log-probability of the last character of each n-gram of ``counted``, a written table.
 
     Lower orders count distinct left neighbours, or occurrences where the n-gram begins a document. A discount that the
-    counts of counts leave undefined falls back to half its count.
+    counts of counts leave undefined falls back to half its count. The lowest order shares its rest evenly among all
+    characters of the language and one more, so n-grams that no taught text holds have a probability as well. A language
+    without a taught text has no rows.
     """
-    levels = [(np.asarray(keys, dtype=np.int64), np.asarray(counts, dtype=np.float64))]
-    for order in range(ORDER - 1, 0, -1):
-        above, n = levels[-1]
-        low, at = np.unique(above & ((1 << 6 * order) - 1), return_inverse=True)
-        begins = (low >> 6 * (order - 1)) == 0
-        levels.append((low, np.where(begins, np.bincount(at, n, len(low)), np.bincount(at, minlength=len(low)))))
-    hashes, values = [], []
-    lower_keys, lower = np.arange(SYMBOLS), np.full(SYMBOLS, 1 / SYMBOLS)
-    for order, (key, n) in zip(range(1, ORDER + 1), levels[::-1]):
-        t = [float((n == k).sum()) for k in (1, 2, 3, 4)]
-        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.0
-        d = np.array([0.0] + [k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] and t[k] else k / 2 for k in (1, 2, 3)])
-        d = np.where((d[:] > 0) & (d < np.arange(4)), d, np.arange(4) / 2)
-        context, at = np.unique(key >> 6, return_inverse=True)
-        total = np.bincount(at, n)
-        cut = d[np.minimum(n, 3).astype(int)]
-        back = np.bincount(at, cut) / total
-        low = lower[np.searchsorted(lower_keys, key & ((1 << 6 * (order - 1)) - 1) if order > 1 else key)]
-        p = (n - cut) / total[at] + back[at] * low
-        hashes += [_hash(key, order), _hash(context, 8 + order)]
-        values += [np.log(p), np.log(back)]
-        lower_keys, lower = key, p
-    hashes, values = np.concatenate(hashes), np.concatenate(values).astype(np.float32)
-    order = np.argsort(hashes)
-    return hashes[order], values[order]
+    begin = chr(_BEGIN)
+    levels = {ORDER: counted.select("lang", "gram", "n")}
+    for k in range(ORDER - 1, 0, -1):
+        low = F.substring("gram", 2, k)
+        seen, times = F.sum((F.col("n") > 0).cast("long")), F.sum("n")
+        made = levels[k + 1].groupBy("lang", low.alias("g")).agg(seen.alias("seen"), times.alias("times"))
+        levels[k] = common.shared_table(made.select("lang", F.col("g").alias("gram"), F.when(F.col("g").startswith(begin), F.col("times")).otherwise(F.col("seen")).alias("n")), f"grams{k}")
+    lower = None
+    for k in range(1, ORDER + 1):
+        t = levels[k].groupBy("lang").agg(*[F.count_if(F.col("n") == x).cast("double").alias(f"t{x}") for x in (1, 2, 3, 4)], F.count(F.lit(1)).alias("kinds"))
+        y = F.when(F.col("t1") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(F.lit(0.0))
+        d = [F.when((F.col(f"t{x}") > 0) & (F.col(f"t{x + 1}") > 0), x - (x + 1) * y * F.col(f"t{x + 1}") / F.col(f"t{x}")).otherwise(F.lit(x / 2)) for x in (1, 2, 3)]
+        t = t.select("lang", "kinds", *[F.when((v > 0) & (v < x), v).otherwise(F.lit(x / 2)).alias(f"d{x}") for x, v in zip((1, 2, 3), d)])
+        cut = F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).when(F.col("n") == 1, F.col("d1")).otherwise(F.lit(0.0))
+        t = common.shared_table(t, "discounts")
+        own = levels[k].join(common.bounded(t), "lang").select("lang", "gram", "n", "kinds", cut.alias("cut"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"))
+        contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
+        joined = own.join(contexts, ["lang", "context"])
+        if lower is None:
+            joined = joined.where("total > 0").withColumn("low", 1 / (F.col("kinds") + 1))
+        else:
+            joined = joined.join(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("low")), ["lang", "rest"])
+        p = F.when(F.col("total") > 0, (F.col("n") - F.col("cut") + F.col("mass") * F.col("low")) / F.col("total")).otherwise(F.col("low"))
+        lower = joined.select("lang", "gram", p.alias("p"))
+        if k == 3:
+            lower = common.shared_table(lower, "lower")  # the plan so far ends here
+    return counted.select("lang", "gram", "h").join(lower, ["lang", "gram"]).select("h", F.log("p").alias("logp"))
+
+
+def hash_arrays(logs: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The model as sorted hash arrays: low and high hash, hashes and values as binary, one row for each range."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = [b for b in batches if len(b)]
+        if whole:
+            t = pd.concat(whole)
+            h = t["h"].to_numpy("<i8")
+            yield pd.DataFrame({"low": [h[0]], "high": [h[-1]], "hashes": [h.tobytes()], "values": [t["logp"].to_numpy("<f4").tobytes()]})
+
+    dealt = logs.repartitionByRange(rows // shard_rows + 1, "h").sortWithinPartitions("h")
+    return common.shared_table(dealt.mapInPandas(pack, "low long, high long, hashes binary, values binary"), "hash-arrays")
 
 
 class Model:
-    """Looks n-grams up in one language's sorted hash arrays; a small direct-mapped cache keeps the frequent ones."""
-
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        self._hashes, self._values = hashes, values
-        self._key, self._value = np.full(_CACHE, -1, dtype=np.int32), np.zeros(_CACHE, dtype=np.float32)
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Values, NaN where the model has none."""
-        if not len(self._hashes):
-            return np.full(len(hashes), np.nan, dtype=np.float32)
-        at = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
-        return np.where(self._hashes[at] == hashes, self._values[at], np.float32(np.nan))
-
-    def _log(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        open_ = np.arange(len(keys))
-        for order in range(ORDER, 0, -1):
-            own = keys[open_] & ((1 << 6 * order) - 1)
-            found = self._find(_hash(own, order))
-            hit = ~np.isnan(found)
-            out[open_[hit]] += found[hit]
-            open_, own = open_[~hit], own[~hit]
-            if not len(open_):
-                return out
-            out[open_] += np.nan_to_num(self._find(_hash(own >> 6, 8 + order)))
-        out[open_] -= np.log(SYMBOLS)
+    """Looks n-grams up in sorted hash arrays. ``shards``: (low, high, path of a Parquet file, row in it), ascending. A process
+    keeps ``OPEN_SHARDS`` of them, the recently used ones, and a direct-mapped cache of frequent n-grams."""
+
+    def __init__(self, shards: list[tuple[int, int, str, int]]):
+        self._shards = shards
+        self._lows = np.array([s[0] for s in shards], dtype=np.int64)
+        self._open: OrderedDict = OrderedDict()
+        self._key, self._value = np.zeros(_CACHE, dtype=np.int64), np.full(_CACHE, np.nan, dtype=np.float32)
+
+    def _arrays(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self._open:
+            import pyarrow.parquet as pq
+            from pyarrow import fs
+
+            _, _, path, row = self._shards[k]
+            store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            found = pq.read_table(inner, filesystem=store, columns=["hashes", "values"])
+            self._open[k] = np.frombuffer(found["hashes"][row].as_py(), "<i8"), np.frombuffer(found["values"][row].as_py(), "<f4")
+            if len(self._open) > OPEN_SHARDS:
+                self._open.popitem(last=False)
+        self._open.move_to_end(k)
+        return self._open[k]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of ascending keys, NaN where the model has none."""
+        out = np.full(len(keys), np.nan, dtype=np.float32)
+        if not self._shards:
+            return out
+        home = np.maximum(np.searchsorted(self._lows, keys, side="right") - 1, 0)
+        for k in np.unique(home):
+            part = slice(*np.searchsorted(home, [k, k + 1]))
+            hashes, values = self._arrays(int(k))
+            at = np.minimum(np.searchsorted(hashes, keys[part]), len(hashes) - 1)
+            out[part] = np.where(hashes[at] == keys[part], values[at], np.float32(np.nan))
         return out
 
     def log(self, keys: np.ndarray) -> np.ndarray:
-        """Natural log-probability of the last symbol of each packed 4-gram."""
-        slot = (keys ^ (keys >> 7)) & (_CACHE - 1)
+        """Natural log-probability for each n-gram's hash."""
+        keys = keys.view(np.int64)
+        slot = keys & (_CACHE - 1)
         out = self._value[slot]
-        miss = np.flatnonzero(self._key[slot] != keys)
+        miss = np.flatnonzero((self._key[slot] != keys) | np.isnan(out))
         if len(miss):
             new, back = np.unique(keys[miss], return_inverse=True)
-            found = self._log(new.astype(np.int64)).astype(np.float32)
+            found = self._find(new)
             out[miss] = found[back]
-            slots = (new ^ (new >> 7)) & (_CACHE - 1)
-            self._value[slots], self._key[slots] = found, new
-            self._value[slots] = self._log(self._key[slots].astype(np.int64)) if len(np.unique(slots)) < len(slots) else found
+            slots = new & (_CACHE - 1)
+            last = np.unique(slots[::-1], return_index=True)[1]
+            pick = len(slots) - 1 - last
+            self._key[slots[pick]], self._value[slots[pick]] = new[pick], found[pick]
         return out
 
 
+_models: dict[tuple, Model] = {}
+
+
+def model_of(shards: list[tuple[int, int, str, int]]) -> Model:
+    """This process's model of these arrays; it holds one at a time."""
+    if tuple(shards) not in _models:
+        _models.clear()
+        _models[tuple(shards)] = Model(shards)
+    return _models[tuple(shards)]
+
+
 def counts_of(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Words are runs without ASCII white space."""
     raw = text.encode("utf-8", "replace")
@@ -233,90 +306,64 @@ def _teaches(text: str) -> bool:
     return 100 * n_symbols <= COUNTED_MARKS_PERCENT * word_chars and not _base_failed(n_words, n_repeat_words)
 
 
-def _model(counted: DataFrame) -> DataFrame:
-    """One row per language: its sorted hash arrays. A language has at most 64**4 counts, so its task is bounded."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        hashes, values = estimate(group["key"].to_numpy(), group["n"].to_numpy())
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "hashes": [hashes.tobytes()], "values": [values.tobytes()]})
-
-    return counted.groupBy("lang").applyInPandas(run, "lang string, hashes binary, values binary")
-
-
-def _scored(df: DataFrame, counted: DataFrame, langs: list[str]) -> DataFrame:
-    spark = df.sparkSession
-    rows = _model(counted.where(F.col("lang").isin(langs))).collect()
-    arrays = spark.sparkContext.broadcast({r[0]: (np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.float32)) for r in rows})
+def score(df: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Counts and log-perplexity of each row of doc_id, text, lang and text_hash."""
+    found = arrays.select("low", "high", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    shards = [(r.low, r.high, r.path, r.row) for r in found.orderBy("low", "high").collect()]  # one short row for each array
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models: dict[str, Model] = {}
+        model = model_of(shards)
         for batch in batches:
-            score = np.full(len(batch), np.nan)
+            out = np.full(len(batch), np.nan)
             texts = batch["text"].tolist()
             for lang, at in batch.groupby("lang", sort=False).indices.items():
-                if lang not in arrays.value:
-                    continue  # no text to learn from: no perplexity
-                if lang not in models:
-                    models[lang] = Model(*arrays.value[lang])
                 own = [texts[k] for k in at]
                 for part in _chunks(own):
-                    keys, n = symbols(own[part])
-                    ends = np.concatenate([[0], np.cumsum(models[lang].log(keys), dtype=np.float64)])
+                    h, n, _, _ = grams(own[part], salt_of(lang))
+                    ends = np.concatenate([[0], np.cumsum(model.log(h), dtype=np.float64)])
                     stop = np.cumsum(n)
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        score[at[part]] = -(ends[stop] - ends[stop - n]) / n
+                        out[at[part]] = -(ends[stop] - ends[stop - n]) / n
             base = np.array([counts_of(t) for t in texts], dtype=np.int64).reshape(-1, 5)
-            out = {"doc_id": batch["doc_id"].astype("Int64"), "lang": batch["lang"], "text_hash": batch["text_hash"]}
-            out |= {name: base[:, k] for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-            yield pd.DataFrame(out | {"log_ppl": pd.array(score, dtype="Float64")})
+            made = {"doc_id": batch["doc_id"].astype("Int64"), "lang": batch["lang"], "text_hash": batch["text_hash"]}
+            made |= {name: base[:, k] for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
+            yield pd.DataFrame(made | {"log_ppl": pd.array(out, dtype="Float64")})
 
     schema = "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
-    return df.where(F.col("lang").isin(langs)).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    and lang, perplexity, text_hash.
+    and lang, perplexity, text_hash (of lang and text).
 
     Null text has no words and fails the base rule; null lang is a language of its own. An empty text has no
     perplexity, nor has one in a language without a text to learn from. Repeated rows are judged alike. Only key, text and lang are read.
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.withColumn("text_hash", _digest("text", "lang"))
     counted = common.shared_table(count_ngrams(rows.select("lang", "text")), "ngrams")
-    sizes = {r[0]: r[1] for r in counted.groupBy("lang").count().collect()}  # one row per language
-    every = sorted({r[0] for r in rows.select("lang").distinct().collect()})
-    passes: list[list[str]] = []
-    room = 0
-    for name in every:
-        if not passes or sizes.get(name, 0) > room:
-            passes.append([])
-            room = MODEL_ROWS
-        passes[-1].append(name)
-        room -= sizes.get(name, 0)
-    if not passes:
-        scored = _scored(rows, counted, [])
-    else:
-        scored = _scored(rows, counted, passes[0])
-        for names in passes[1:]:
-            scored = scored.union(_scored(rows, counted, names))
-    scored = common.shared_table(scored, "scores")
+    arrays = hash_arrays(estimate(counted), counted.count())
+    scored = common.shared_table(score(rows, arrays), "scores")
     failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    quarters = scored.groupBy("lang").agg(F.percentile_approx(F.when(~failed, F.col("log_ppl")), F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
-    band = quarters.select("lang", (F.col("q")[0] - width * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + width * (F.col("q")[1] - F.col("q")[0])).alias("high"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return scored.join(F.broadcast(band), "lang").select(  # a row per language
+    quarters = scored.groupBy("lang").agg(F.percentile_approx(F.when(~failed & ~F.isnan("log_ppl"), F.col("log_ppl")), F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
+    reach = width * (F.col("q")[1] - F.col("q")[0])
+    band = common.shared_table(quarters.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high")), "bands")
+    inside = F.coalesce(F.isnan("log_ppl") | F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
+    return scored.join(common.bounded(band), "lang").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & inside).alias("kept"), "lang", F.exp("log_ppl").alias("perplexity"), "text_hash",
     )
 
 
+def _digest(text: str, lang: str):
+    return F.xxhash64(common.text_or_empty(text), F.coalesce(F.col(lang), F.lit("")))
+
+
 def keep_good(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose text is kept, with all their columns. The few rejected rows are anti-joined by key and text."""
-    bad = judge(df, key, text, lang).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lang").alias("__lang")).distinct()
-    same = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(common.text_or_empty(text)) == F.col("__hash"))
-    return df.join(bad, same & (F.coalesce(F.col(lang), F.lit("")) == F.col("__lang")), "left_anti")
+    """The rows whose text is kept, with all their columns. Rejected rows are told by key, text and language."""
+    bad = common.shared_table(judge(df, key, text, lang).where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "rejected")
+    return common.among(df, key, _digest(text, lang), bad, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,14 +63,59 @@ def test_quality_rejects_noise_both_ways(spark):
     assert not got[901].kept
 
 
-def test_kneser_ney_sums_to_one():
+def brute_kneser_ney(taught, every, order):
+    """Log-probability of every n-gram of ``every`` from the n-grams of ``taught`` (texts of one language), from the book."""
+    cut = lambda text: [("\U0010ffff" * (order - 1) + text)[k : k + order] for k in range(len(text))]
+    counts = {order: Counter(g for t in taught for g in cut(t))}
+    for k in range(order - 1, 0, -1):
+        above = counts[k + 1]
+        counts[k] = Counter()
+        for g, n in above.items():
+            counts[k][g[1:]] += n if g[1] == "\U0010ffff" else 1
+    kinds = {g[-1] for t in every for g in cut(t)}
+    discount = {}
+    for k, table in counts.items():
+        t = [sum(n == x for n in table.values()) for x in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0
+        d = [0, *(x - (x + 1) * y * t[x] / t[x - 1] if t[x - 1] and t[x] else x / 2 for x in (1, 2, 3))]
+        discount[k] = [v if 0 < v < x else x / 2 for x, v in enumerate(d)]
+    followers = {}
+    for k, table in counts.items():
+        for g, n in table.items():
+            total, mass = followers.get((k, g[:-1]), (0, 0.0))
+            followers[k, g[:-1]] = total + n, mass + discount[k][min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        low = p(g[1:]) if k > 1 else 1 / (len(kinds) + 1)
+        total, mass = followers.get((k, g[:-1]), (0, 0))
+        n = counts[k][g]
+        return (n - discount[k][min(n, 3)] + mass * low) / total if total else low
+
+    return {g: np.log(p(g)) for t in every for g in cut(t)}, p, kinds
+
+
+def test_kneser_ney_against_brute_force(spark):
     rng = np.random.default_rng(0)
-    keys, _ = quality.symbols(["".join(rng.choice(list("abcdef "), 4000)) for _ in range(3)])
-    k, n = np.unique(keys, return_counts=True)
-    model = quality.Model(*quality.estimate(k, n))
-    for context in (int(k[5]) >> 6, int(k[50]) >> 6, 12345):
-        all_next = np.array([(context << 6 & (1 << 24) - 1) | s for s in range(64)], dtype=np.int32)
-        assert np.exp(model.log(all_next)).sum() == pytest.approx(1, abs=1e-3)
+    words = ["river", "small", "houses", "Where", "people", "keep", "the", "of", "and"]
+    taught = [" ".join(rng.choice(words, 70)) + f" {k}." for k in range(12)]
+    junk = [" ".join(w + "$$$" for w in rng.choice(words, 60)), "short text"]
+    docs = spark.createDataFrame([(t, "en") for t in taught + junk], "text string, lang string")
+    counted = quality.common.shared_table(quality.count_ngrams(docs.repartition(3)), "test")
+    logs = {r.h: r.logp for r in quality.estimate(counted).collect()}
+    want, p, kinds = brute_kneser_ney(taught, taught + junk, quality.ORDER)
+    got = {r.gram: logs[r.h] for r in counted.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    for context in ("rive", " the", "zzzz"):
+        assert sum(p(context + c) for c in kinds) + p(context + "\u4e00") == pytest.approx(1)
+    # scores come from the sorted arrays, many of them
+    arrays = quality.hash_arrays(quality.estimate(counted), len(got), shard_rows=40)
+    assert arrays.count() > 3
+    rows = docs.selectExpr("1L as doc_id", "text", "lang", "xxhash64(text, lang) as text_hash")
+    cut = lambda text: [("\U0010ffff" * 4 + text)[k : k + 5] for k in range(len(text))]
+    scores = sorted(r.log_ppl for r in quality.score(rows, arrays).collect())
+    assert scores == pytest.approx(sorted(-np.mean([want[g] for g in cut(t)]) for t in taught + junk), abs=1e-4)
 
 
 def test_packing(spark, sf, texts):
