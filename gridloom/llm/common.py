@@ -111,6 +111,26 @@ def one_of_each(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFra
     return among(kept, key, digest, again, "left_anti").unionByName(repeated.dropDuplicates([key, name]).drop(name))
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a smaller ``order``, a column of different whole numbers. Sums are
+    taken within runs of 4,096 numbers and then over the runs, so no task orders all rows. ``df`` is a written table."""
+    from pyspark.sql import Window as W
+
+    run = F.shiftright(F.col(order).cast("long"), 12)
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = df.groupBy(run.alias("__run")).agg(F.sum(value).alias("__sum"))
+    starts = runs.select("__run", before(W.orderBy("__run"), "__sum").alias("__start"))
+    inside = df.withColumn("__run", run).withColumn("__own", before(W.partitionBy("__run").orderBy(order), value))
+    return inside.join(starts, "__run").withColumn(name, F.col("__own") + F.col("__start")).drop("__run", "__own", "__start")
+
+
+def open_store(uri: str):
+    """The file system of a path in the shared folder, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder, removed when the session's process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

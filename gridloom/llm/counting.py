@@ -4,11 +4,16 @@ A document is kept as a segment tree: its leaves are runs of whole pre-token uni
 each inner node holds the sums of characters and tokens below it. An edit finds the leaves it touches by descending
 the sums, re-encodes those leaves with one neighbouring leaf on either side, and updates the sums on the way up. Leaves
 end only where the units of the tokenizer end whatever comes next, so the counts always equal those of the whole text.
+
+Trees are kept: ``build_trees`` encodes the texts once and gives a table of leaves with their counts, to be written.
+``apply_edits`` reads such a table, encodes nothing but the regions of the edits, and gives the table of the new trees,
+which the next edits start from.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +27,8 @@ from .tokens import WHITE, encoder
 TOKENIZER = "byte_bpe_50k.json"
 #: A leaf ends at the first safe place after so many characters.
 LEAF_CHARS = 256
+#: Edited documents whose edits are broadcast at most.
+BROADCAST_EDITED = 100_000
 #: A safe place: after a character that is not white space, before white space. A unit ends there in any context.
 _CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
@@ -33,6 +40,18 @@ class CountTree:
         self._count = count  # texts -> token counts
         self._build(self._leaves(text))
 
+    @classmethod
+    def kept(cls, leaves: list[str], tokens: list[int], count) -> CountTree:
+        """The tree of stored leaves and counts; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree._count = count
+        tree._build(leaves, tokens)
+        return tree
+
+    def counts(self) -> list[int]:
+        """Token counts of the leaves."""
+        return self._tokens[self._size : self._size + len(self.leaves)].tolist()
+
     @staticmethod
     def _leaves(text: str) -> list[str]:
         out, start = [], 0
@@ -129,57 +148,93 @@ def counter(tokenizer: str = TOKENIZER):
     return count
 
 
-def count_with_edits(docs: DataFrame, edits: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens before, n_tokens_after all edits, chars_encoded again, n_chars_after,
-    n_edits and text_crc32_after.
+TREES = "doc_id long, row long, leaves array<string>, tokens array<int>"
 
-    ``edits``: key, seq, start, delete, insert; a document's edits apply in the order of seq, start and insert, each to
-    the text left by those before it. Places beyond the text are cut to it; null insert is empty, other nulls are 0.
-    Null text counts as empty; rows with a null key have no edits; rows that repeat a key are edited alike.
-    """
-    grouped = edits.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__k")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.coalesce("start", F.lit(0)).cast("long").alias("start"),
-            F.coalesce("delete", F.lit(0)).cast("long").alias("delete"), F.coalesce("insert", F.lit("")).alias("insert"),
-        ))).alias("edits")
-    )
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
-    return _counted(rows.join(grouped, F.col("doc_id") == F.col("__k"), "left").select("doc_id", "text", "edits"), tokenizer)
 
+def build_trees(docs: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The tree of each row of ``docs``: doc_id, row (a number of its own), leaves (their texts) and tokens (their counts).
+    Null text counts as empty. Write the table before it is read twice."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(tokenizer)
+        for batch in batches:
+            leaves = [CountTree._leaves(t) for t in batch["text"]]
+            flat = count([x for part in leaves for x in part])
+            ends = np.cumsum([0, *map(len, leaves)])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "leaves": leaves, "tokens": [flat[a:b] for a, b in zip(ends, ends[1:])]})
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInPandas(run, TREES)
 
-def _counted(rows: DataFrame, tokenizer: str) -> DataFrame:
-    import zlib
+
+def apply_edits(trees: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The trees after their edits. ``trees``: a table of ``build_trees`` with a column edits, an array of (seq, start, delete,
+    insert) or null. Besides the new tree: n_tokens before, n_tokens_after, n_edits, chars_encoded again, n_chars_after and
+    text_crc32_after."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text, edits in zip(batch["doc_id"], batch["text"], batch["edits"]):
-                tree = CountTree(text, count)
+            for doc_id, row, leaves, tokens, edits in batch[["doc_id", "row", "leaves", "tokens", "edits"]].itertuples(index=False):
+                tree = CountTree.kept(list(leaves), list(tokens), count)
                 before, again = tree.n_tokens, 0
                 edits = [] if edits is None else list(edits)
                 for e in edits:
                     again += tree.edit(int(e["start"]), int(e["delete"]), e["insert"])
-                out.append((doc_id, before, tree.n_tokens, len(edits), again, tree.n_chars, zlib.crc32(tree.text().encode("utf-8", "replace"))))
-            names = ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "chars_encoded", "n_chars_after", "text_crc32_after"]
+                crc = 0
+                for leaf in tree.leaves:
+                    crc = zlib.crc32(leaf.encode("utf-8", "replace"), crc)
+                out.append((doc_id, row, tree.leaves, tree.counts(), before, tree.n_tokens, len(edits), again, tree.n_chars, crc))
+            names = ["doc_id", "row", "leaves", "tokens", "n_tokens", "n_tokens_after", "n_edits", "chars_encoded", "n_chars_after", "text_crc32_after"]
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, n_tokens_after long, n_edits long, chars_encoded long, n_chars_after long, text_crc32_after long")
+    more = "n_tokens long, n_tokens_after long, n_edits long, chars_encoded long, n_chars_after long, text_crc32_after long"
+    return trees.select("doc_id", "row", "leaves", "tokens", "edits").mapInPandas(run, f"{TREES}, {more}")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``trees`` with the edits of their documents, of which there are few beside the documents: only trees with edits are
+    touched by them, and where the edits are few enough to broadcast no tree is shuffled.
+
+    ``edits``: key, seq, start, delete, insert; a document's edits apply in the order of seq, start and insert, each to
+    the text left by those before it. Places beyond the text are cut to it; null insert is empty, other nulls are 0.
+    Rows with a null key have no edits; rows that repeat a key are edited alike.
+    """
+    grouped = edits.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__k")).agg(
+        F.array_sort(F.collect_list(F.struct(
+            F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.coalesce("start", F.lit(0)).cast("long").alias("start"),
+            F.coalesce("delete", F.lit(0)).cast("long").alias("delete"), F.coalesce("insert", F.lit("")).alias("insert"),
+        ))).alias("edits")
+    )
+    grouped = common.shared_table(grouped, "edits")
+    return trees.join(common.bounded(grouped, BROADCAST_EDITED), F.col("doc_id") == F.col("__k"), "left").drop("__k")
+
+
+RESULT = ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "chars_encoded", "n_chars_after", "text_crc32_after"]
+
+
+def count_with_edits(docs: DataFrame, edits: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens before, n_tokens_after all edits, n_edits, chars_encoded again,
+    n_chars_after and text_crc32_after. Trees are built and written, then edited; see ``with_edits`` for the edits."""
+    trees = common.shared_table(build_trees(docs, tokenizer, key, text), "trees")
+    return apply_edits(with_edits(trees, edits, key), tokenizer).select(RESULT)
 
 
-def sample_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Three edits for each document from a rule on its key and length: a word changed, a passage cut, a line put in."""
-    n = F.length(common.text_or_empty(text))
-    spot = lambda salt: F.pmod(F.xxhash64(F.lit(salt), key), n + 1)
+def sample_edits(trees: DataFrame) -> DataFrame:
+    """``trees`` with three edits each from a rule on key and length: a word changed, a passage cut, a line put in."""
+    n = F.aggregate(F.transform("leaves", lambda x: F.length(x)), F.lit(0), lambda acc, x: acc + x)
+    spot = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.col("__n") + 1)
     one = lambda seq, start, delete, insert: F.struct(F.lit(seq).alias("seq"), start.alias("start"), F.lit(delete).cast("long").alias("delete"), insert.alias("insert"))
     made = F.array(
         one(1, spot("word"), 4, F.lit("edited")),
         one(2, spot("cut"), 120, F.lit("")),
-        one(3, spot("line"), 0, F.concat(F.lit("\nnote "), F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit(": it's new.\n"))),
+        one(3, spot("line"), 0, F.concat(F.lit("\nnote "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(": it's new.\n"))),
     )
-    return docs.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"), made.alias("edits"))
+    return trees.withColumn("__n", n).withColumn("edits", made).drop("__n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all documents before and after ``sample_edits``, which come with their documents and need no join."""
-    return _counted(sample_edits(common.documents(spark, sf_dir)), TOKENIZER)
+    """Counts of all documents from their kept trees, before and after ``sample_edits``."""
+    trees = common.shared_table(build_trees(common.documents(spark, sf_dir)), "trees")
+    return apply_edits(sample_edits(trees)).select(RESULT)

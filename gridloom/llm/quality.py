@@ -219,10 +219,9 @@ class Model:
     def _arrays(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self._open:
             import pyarrow.parquet as pq
-            from pyarrow import fs
 
             _, _, path, row = self._shards[k]
-            store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            store, inner = common.open_store(path)
             found = pq.read_table(inner, filesystem=store, columns=["hashes", "values"])
             self._open[k] = np.frombuffer(found["hashes"][row].as_py(), "<i8"), np.frombuffer(found["values"][row].as_py(), "<f4")
             if len(self._open) > OPEN_SHARDS:

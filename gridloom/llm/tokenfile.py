@@ -9,19 +9,24 @@ Layout, little-endian: ``GLTP``, u8 version, u8 plane width in bits (1 or 8), u1
 u64 start of the index; the blocks; the index: per block u64 start, u32 ids, u32 mask of stored planes, u32 mask of
 compressed planes, then one u32 size for each stored plane; at last the documents: zstandard of their int64 keys and
 int64 id counts, and a null mask.
+
+Texts are encoded where they are read. Their ids, packed to two bytes where they fit, are dealt to ranges of the key, and
+each range becomes a file in the shared folder. The table of files names those whose task came to its end, so a task that
+was lost, or ran twice, leaves no file in it.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,8 +34,8 @@ from .tokens import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK = 65_536
-#: Text bytes that go into one file, about.
-FILE_BYTES = 8 << 20
+#: ids that go into one file, about.
+FILE_IDS = 2 << 20
 _HEAD = struct.Struct("<4sBBHIQQQ")
 
 
@@ -69,32 +74,44 @@ def write_ids(ids: np.ndarray, keys: list[int | None], counts: list[int], block:
 
 
 class TokenFile:
-    """Reads one file; ``ids(start, stop)`` decodes the touched blocks only."""
+    """Reads one file, given as bytes or as an open file that can seek. ``ids(start, stop)`` reads and decodes the blocks
+    it touches only; ``bytes_read`` counts what was read."""
 
-    def __init__(self, data: bytes):
-        magic, version, self.width, _, self.block, self.n_ids, self.n_docs, at = _HEAD.unpack_from(data)
+    def __init__(self, source):
+        self._source, self.bytes_read = source, 0
+        size = len(source) if isinstance(source, bytes) else source.size()
+        magic, version, self.width, _, self.block, self.n_ids, self.n_docs, at = _HEAD.unpack(self._read(0, _HEAD.size))
         if magic != b"GLTP" or version != 1:
             raise ValueError("not a token file of this version")
-        self._data, self._index = data, []
+        tail, base = self._read(at, size - at), 0
+        self._index = []
         for _ in range(-(-self.n_ids // self.block)):
-            begun, n, stored, pressed = struct.unpack_from("<QIII", data, at)
-            sizes = struct.unpack_from(f"<{stored.bit_count()}I", data, at + 20)
+            begun, n, stored, pressed = struct.unpack_from("<QIII", tail, base)
+            sizes = struct.unpack_from(f"<{stored.bit_count()}I", tail, base + 20)
             self._index.append((begun, n, stored, pressed, sizes))
-            at += 20 + 4 * len(sizes)
-        docs = zstandard.ZstdDecompressor().decompress(data[at:], max_output_size=17 * self.n_docs + 1)
+            base += 20 + 4 * len(sizes)
+        docs = zstandard.ZstdDecompressor().decompress(tail[base:], max_output_size=17 * self.n_docs + 1)
         keys, counts = (np.frombuffer(docs, "<i8", self.n_docs, 8 * self.n_docs * k) for k in (0, 1))
         missing = docs[16 * self.n_docs :]
         self.keys = [None if m else int(k) for k, m in zip(keys, missing)]
         self.counts = counts
 
+    def _read(self, at: int, size: int) -> bytes:
+        self.bytes_read += size
+        if isinstance(self._source, bytes):
+            return self._source[at : at + size]
+        self._source.seek(at)
+        return self._source.read(size)
+
     def _block(self, k: int) -> np.ndarray:
         at, n, stored, pressed, sizes = self._index[k]
+        data, at = self._read(at, sum(sizes)), 0
         whole = zstandard.ZstdDecompressor()
         wide = np.uint16 if stored < 1 << (16 // self.width) else np.uint32
         out = np.zeros(n, dtype=wide)
         planes = [p for p in range(32 // self.width) if stored >> p & 1]
         for p, size in zip(planes, sizes):
-            raw = self._data[at : at + size]
+            raw = data[at : at + size]
             at += size
             if pressed >> p & 1:
                 raw = whole.decompress(raw, max_output_size=n + 1)
@@ -113,30 +130,62 @@ class TokenFile:
         return found[start - first * self.block : stop - first * self.block]
 
 
-def write_token_files(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, key: str = "doc_id", text: str = "text", block: int = BLOCK, width: int = 1, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Encode every text and write the ids: one row per file, in a shared table with columns file_no, n_ids, n_docs
-    and ``file`` (the file's bytes). Files and documents follow ascending keys, null keys first.
+def encoded(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n (ids with the end id), wide (four bytes an id, else two) and ids."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            packed, wide = [], []
+            for x in encoder(tokenizer).encode(batch["text"].tolist()):
+                ids = np.frombuffer(x + tail, "<u4")
+                wide.append(bool(len(ids)) and int(ids.max()) > 65_535)
+                packed.append(x + tail if wide[-1] else ids.astype("<u2").tobytes())
+            n = [len(x) // (4 if w else 2) for x, w in zip(packed, wide)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "wide": wide, "ids": packed})
 
-    Null text counts as empty and leaves its end id alone. Rows that repeat a key stay, ordered by text. Only key and
-    text are read. The text is shuffled once, into key ranges of about ``file_bytes``.
-    """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(min(100_000, size // file_bytes + 1))
-    cuts = common.boundaries(rows, "doc_id", parts)
+    return rows.mapInPandas(run, "doc_id long, n long, wide boolean, ids binary")
 
-    def write(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "text"], na_position="first", kind="stable")
-        tail = np.array([end_id], "<u4").tobytes()
-        packed = [x + tail for x in encoder(tokenizer).encode(group["text"].tolist())]
-        ids = np.frombuffer(b"".join(packed), "<u4")
-        keys = [None if pd.isna(k) else int(k) for k in group["doc_id"]]
-        file = write_ids(ids, keys, [len(x) // 4 for x in packed], block, width)
-        return pd.DataFrame({"file_no": [group["file_no"].iloc[0]], "n_ids": [len(ids)], "n_docs": [len(keys)], "file": [file]})
 
-    placed = rows.withColumn("file_no", common.bucket_of("doc_id", cuts))
-    files = placed.groupBy("file_no").applyInPandas(write, "file_no int, n_ids long, n_docs long, file binary")
-    return common.shared_table(files, "token-files")
+def write_token_files(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, key: str = "doc_id", text: str = "text", block: int = BLOCK, width: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode every text and write the ids into files of about ``file_ids`` ids. Returns the table of files, in the order
+    of file_no: file_no, path, n_ids, n_docs. Files and documents follow ascending keys, null keys first.
+
+    Null text counts as empty and leaves its end id alone. Rows that repeat a key stay, ordered by a hash of their ids;
+    however many they are, they are spread over files. Only key and text are read.
+    """
+    rows = common.shared_table(encoded(df, tokenizer, end_id, key, text), "encoded")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    folder = common.new_folder(df.sparkSession, "token-files")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: list[int | None] = []
+        counts: list[int] = []
+        ids: list[np.ndarray] = []
+        for batch in batches:
+            keys += [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
+            counts += batch["n"].tolist()
+            ids += [np.frombuffer(x, "<u4" if w else "<u2").astype("<u4") for x, w in zip(batch["ids"], batch["wide"])]
+        if not keys:
+            return
+        number = TaskContext.get().partitionId()
+        path = f"{folder}/part-{number:08d}-{uuid.uuid4().hex}.gltp"
+        store, inner = common.open_store(path)
+        store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(inner) as out:
+            out.write(write_ids(np.concatenate(ids), keys, counts, block, width))
+        yield pd.DataFrame({"file_no": [number], "path": [path], "n_ids": [sum(counts)], "n_docs": [len(keys)]})
+
+    by = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("tie")]
+    dealt = rows.withColumns({"h": F.xxhash64("ids"), "tie": F.monotonically_increasing_id()}).repartitionByRange(total // file_ids + 1, *by)
+    files = dealt.sortWithinPartitions(*by).select("doc_id", "n", "wide", "ids").mapInPandas(write, "file_no int, path string, n_ids long, n_docs long")
+    return common.shared_table(files, "files")
+
+
+def _opened(path: str):
+    store, inner = common.open_store(path)
+    return store.open_input_file(inner)
 
 
 def read_documents(files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -145,23 +194,40 @@ def read_documents(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, data in zip(batch["file_no"], batch["file"]):
-                file = TokenFile(bytes(data))
-                packed = memoryview(file.ids().tobytes())
+            for path, begin in zip(batch["path"], batch["begin"]):
+                with _opened(path) as source:
+                    file = TokenFile(source)
+                    packed = memoryview(file.ids().tobytes())
                 ends = np.cumsum(file.counts)
                 starts = ends - file.counts
-                out = {"file_no": number, "doc_id": pd.array(file.keys, dtype="Int64"), "at": starts, "n_tokens": file.counts}
+                out = {"doc_id": pd.array(file.keys, dtype="Int64"), "start": starts + begin, "n_tokens": file.counts}
                 out["ids_crc32"] = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(starts, ends)]
                 if with_ids:
                     out["ids"] = [np.frombuffer(packed[4 * a : 4 * b], "<u4").astype("int32") for a, b in zip(starts, ends)]
                 yield pd.DataFrame(out)
 
-    schema = "file_no int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    found = files.select("file_no", "file").mapInPandas(read, schema)
-    before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # one short row per file, not per document
-    begins = files.select("file_no", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("__begin"))
-    joined = found.join(begins, "file_no")
-    return joined.select("doc_id", (F.col("at") + F.col("__begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    placed = common.running_total(files, "file_no", "n_ids", "begin")
+    return placed.select("path", "begin").repartition(max(1, files.count()), "path").mapInPandas(read, schema)
+
+
+def read_ranges(files: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """The ids of ranges of places (start, stop) in the whole sequence of ids: at, part (place of its first id) and ids.
+    Only the files and blocks that a range touches are read; ``bytes_read`` says how much of the file that was."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, begin, at, start, stop in batch[["path", "begin", "at", "start", "stop"]].itertuples(index=False):
+                with _opened(path) as source:
+                    file = TokenFile(source)
+                    first = max(start - begin, 0)
+                    ids = file.ids(first, min(stop - begin, file.n_ids))
+                yield pd.DataFrame({"at": [at], "part": [begin + first], "ids": [ids.astype("int32")], "bytes_read": [file.bytes_read]})
+
+    asked = files.sparkSession.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(ranges)], "at int, start long, stop long")
+    placed = common.running_total(files, "file_no", "n_ids", "begin")
+    touched = placed.join(F.broadcast(asked), (F.col("begin") < F.col("stop")) & (F.col("begin") + F.col("n_ids") > F.col("start")))
+    return touched.mapInPandas(read, "at int, part long, ids array<int>, bytes_read long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

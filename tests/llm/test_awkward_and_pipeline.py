@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import common, counting, html, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
+from gridloom.llm import common, counting, html, nearcopies, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
 
 LONG = "the quick brown fox jumps over 17 lazy dogs. " * 3000
 ROWS = [(5, "some words here", "en"), (5, "some words here", "en"), (None, "some words here", "en"), (7, None, None), (7, "", "en"), (8, LONG, "en"), (9, "x" * 50_000, "de"), (10, "\n\n \t", None), (-3, "É漢字 \x01\x02   <b>", "fr")]
@@ -24,7 +24,7 @@ OPERATORS = {
     "packing": packing.pack_documents,
     "sharding": sharding.shard_documents,
     "token files": lambda d: tokenfile.read_documents(tokenfile.write_token_files(d)),
-    "counts": lambda d: counting.count_with_edits(d, counting.sample_edits(d).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.explode("edits").alias("e")).select("doc_id", "e.*")),
+    "counts": lambda d: counting.count_with_edits(d, counting.sample_edits(counting.build_trees(d)).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.explode("edits").alias("e")).select("doc_id", "e.*")),
     "simhash": simhash.near_duplicates,
 }
 
@@ -58,10 +58,18 @@ def test_one_of_each(odd):
 
 
 def test_ranks_are_gapless(spark):
-    rows = spark.range(1000).selectExpr("id % 3 as k", "id % 7 as b", "id % 2 as v")
-    got = common.ranked(rows, "k", "b", ["v"], "at").collect()
-    for k in range(3):
-        assert sorted(r["at"] for r in got if r.k == k) == list(range(sum(r.k == k for r in got)))
+    rows = spark.range(100_000).selectExpr("if(id % 3 = 0, id % 7, 9) as k", "id % 2 as v")  # two thirds share a key
+    got = common.ranked(rows, "k", [F.col("v")], "at", 100_000).toPandas()
+    for _, g in got.groupby("k"):
+        assert (g.sort_values("at")["at"].to_numpy() == range(len(g))).all() and g.sort_values("at")["v"].is_monotonic_increasing
+
+
+def test_running_totals(spark):
+    rows = common.shared_table(spark.range(20_000).selectExpr("cast(id * 3 as int) as n", "id % 5 as v"), "test")
+    at = 0
+    for r in common.running_total(rows, "n", "v", "before").orderBy("n").collect():
+        assert r.before == at
+        at += r.v
 
 
 def test_pipeline(spark, sf):
@@ -76,8 +84,7 @@ def test_pipeline(spark, sf):
     assert counts[0] == judged.where("kept").count()
     before = {r.doc_id for r in docs.collect()}
     good = quality.keep_good(docs)
-    groups = simhash.near_duplicates(good)
-    assert counts[1] == groups.select("component_id").distinct().count()
+    assert counts[1] == nearcopies.groups(good).select("component_id").distinct().count()
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in now.collect()} <= before
 

@@ -22,9 +22,7 @@ def tokenizer(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def ids_of(t, text):
@@ -185,6 +183,34 @@ def test_token_files(spark, sf, texts):
     assert len(rows) == len(texts)
 
 
+def test_token_ranges_read_a_part(spark, sf, texts):
+    t = tokenizer(tokenfile.TOKENIZER)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    files = tokenfile.write_token_files(docs, block=256, file_ids=40_000)
+    paths = [r.path for r in files.orderBy("file_no").collect()]
+    assert len(paths) > 2 and all(p.endswith(".gltp") for p in paths)
+    whole = np.concatenate([ids_of(t, texts[k]) for k in sorted(texts)])
+    size = {p: len(open(p.removeprefix("file:").replace("//", "/"), "rb").read()) for p in paths}
+    ranges = [(0, 10), (39_000, 90_000), (len(whole) - 5, len(whole) + 100)]
+    got = {}
+    for r in tokenfile.read_ranges(files, ranges).orderBy("at", "part").collect():
+        got[r["at"]] = got.get(r["at"], []) + list(r.ids)
+        assert r["at"] == 1 or r.bytes_read < 0.5 * min(size.values())
+    assert all(got[k] == whole[a:b].tolist() for k, (a, b) in enumerate(ranges))
+
+
+def test_added_tokens_in_a_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gridloom.llm.tokens import encoder
+
+    texts = ["plain", "a <|endoftext|> b", "<|endoftext|>", "<|startoftext|><|endoftext|>x", "<|end", "ends with <|endoftext|>"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(name).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("width", [1, 8])
 @pytest.mark.parametrize("n", [0, 1, 7, 64, 1000])
 def test_token_file_round_trip(width, n):
@@ -271,7 +297,10 @@ def test_large_nodes_are_cut(spark):
 def test_edit_aware_counts(spark, sf, texts):
     t = tokenizer(counting.TOKENIZER)
     size = lambda s: len(t.encode(s, add_special_tokens=False).ids)
-    edits = {r.doc_id: r.edits for r in counting.sample_edits(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trees = quality.common.shared_table(counting.build_trees(docs), "trees")
+    assert {r.doc_id: "".join(r.leaves) for r in trees.collect()} == texts
+    edits = {r.doc_id: r.edits for r in counting.sample_edits(trees).collect()}
     for r in counting.query(spark, sf).collect():
         text = texts[r.doc_id]
         assert r.n_tokens == size(text)
@@ -281,6 +310,24 @@ def test_edit_aware_counts(spark, sf, texts):
         assert r.chars_encoded < 3 * 2500 or r.chars_encoded < 3 * len(texts[r.doc_id]) + 200
 
 
+def test_kept_trees_take_edits_again(spark, sf, texts):
+    """Two rounds of edits, the second on the written trees of the first, encode only what they touch."""
+    t = tokenizer(counting.TOKENIZER)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trees = quality.common.shared_table(counting.build_trees(docs), "trees")
+    now = dict(texts)
+    for at, new in ((5, "first "), (9, " 2nd")):
+        keys = sorted(texts)[::3]
+        edits = spark.createDataFrame([(k, 1, at, 2, new) for k in keys] + [(None, 1, 0, 9, "x")], "doc_id long, seq int, start int, delete int, insert string")
+        trees = quality.common.shared_table(counting.apply_edits(counting.with_edits(trees, edits)), "trees")
+        for k in keys:
+            now[k] = now[k][:at] + new + now[k][at + 2 :]
+    rows = trees.collect()
+    assert {r.doc_id: "".join(r.leaves) for r in rows} == now
+    assert all(sum(r.tokens) == r.n_tokens_after == len(t.encode(now[r.doc_id], add_special_tokens=False).ids) for r in rows)
+    assert all((r.chars_encoded == 0) == (r.n_edits == 0) for r in rows) and max(r.chars_encoded for r in rows) < 5_000
+
+
 def test_count_tree_random_edits():
     rng = np.random.default_rng(9)
     count = counting.counter()
