@@ -35,9 +35,9 @@ WIDTH = 6.0
 #: Characters that are worked on together, and different n-grams that a task holds before it hands them on.
 CHUNK_CHARS = 300_000
 HELD_GRAMS = 1_000_000
-#: n-grams in one sorted hash array, and arrays that a process keeps open.
+#: n-grams in one sorted hash array, and in all arrays that a process keeps open.
 SHARD_ROWS = 1_000_000
-OPEN_SHARDS = 12
+OPEN_ROWS = 8_000_000
 _CACHE = 1 << 19
 _MARKS = re.compile(r"[#*$%&|<>]")
 #: Stands before a text; no text holds these two code points once ``codes_of`` is done.
@@ -208,24 +208,30 @@ def hash_arrays(logs: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> Dat
 
 class Model:
     """Looks n-grams up in sorted hash arrays. ``shards``: (low, high, path of a Parquet file, row in it), ascending. A process
-    keeps ``OPEN_SHARDS`` of them, the recently used ones, and a direct-mapped cache of frequent n-grams."""
+    keeps the recently used ones, of ``OPEN_ROWS`` n-grams together, and a direct-mapped cache of frequent n-grams."""
 
     def __init__(self, shards: list[tuple[int, int, str, int]]):
         self._shards = shards
         self._lows = np.array([s[0] for s in shards], dtype=np.int64)
         self._open: OrderedDict = OrderedDict()
+        self._rows = 0
         self._key, self._value = np.zeros(_CACHE, dtype=np.int64), np.full(_CACHE, np.nan, dtype=np.float32)
 
     def _arrays(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self._open:
+            import pyarrow as pa
             import pyarrow.parquet as pq
 
             _, _, path, row = self._shards[k]
             store, inner = common.open_store(path)
-            found = pq.read_table(inner, filesystem=store, columns=["hashes", "values"])
+            with store.open_input_file(inner) as source:
+                found = pq.ParquetFile(source, memory_map=False).read(columns=["hashes", "values"], use_threads=False)
             self._open[k] = np.frombuffer(found["hashes"][row].as_py(), "<i8"), np.frombuffer(found["values"][row].as_py(), "<f4")
-            if len(self._open) > OPEN_SHARDS:
-                self._open.popitem(last=False)
+            self._rows += len(self._open[k][0])
+            while self._rows > OPEN_ROWS and len(self._open) > 1:
+                self._rows -= len(self._open.popitem(last=False)[1][0])
+            del found
+            pa.default_memory_pool().release_unused()
         self._open.move_to_end(k)
         return self._open[k]
 
