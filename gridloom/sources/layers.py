@@ -60,6 +60,30 @@ def houses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lot_id, ring and height: groups of five lots of six sorts, so that every kind of building context occurs. Sorts: row,
+    pair, single narrow house, hall, single wide house, tower. In every other row one house is much taller."""
+    k = F.col("p_partkey")
+    group, i = div(k, 5), k % 5
+    sort = group % 6
+    x = (group % 40) * 200 + F.when(sort == 0, i * 5).when((sort == 1) & (i < 2), i * 5).otherwise(i * 40)
+    y = div(group, 40) * 60
+    wide = F.when(sort <= 2, 5).when(sort == 3, 30).otherwise(12)
+    deep = F.when(sort <= 2, 16).when(sort == 3, 20).otherwise(15)
+    height = F.when((sort == 0) & (i == 4) & (div(group, 6) % 2 == 1), 15).when(sort == 5, 25).otherwise(9)
+    return table(spark, sf_dir, "part", "p_partkey").select(
+        k.alias("lot_id"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + wide).cast("double").alias("x1"), (y + deep).cast("double").alias("y1"), height.cast("double").alias("height")
+    )
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """zone_id, cx, cy, rx, ry: diamonds (a ring of four corners) over the buildings; they overlap each other."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier", "s_suppkey").select(
+        k.alias("zone_id"), (k * 37 % 1000 * 16 + 0.3).cast("double").alias("cx"), (div(k * 7, 50) % 4 * 32 + 9.7).cast("double").alias("cy"), (k % 5 * 20 + 30.1).cast("double").alias("rx"), (k % 3 * 10 + 20.9).cast("double").alias("ry")
+    )
+
+
 def cells(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     """row, col, value: samples on a grid that grows in rows."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -87,6 +111,10 @@ SQL = {
         ((c_custkey*3%1000)*16+c_custkey%4*3+4+c_custkey%7)::DOUBLE AS mx1, ((c_custkey*3//1000)*32+c_custkey%5+4+c_custkey%8)::DOUBLE AS my1, (4+(c_custkey%50)*0.25)::DOUBLE AS mesh_height FROM customer)""",
     "houses": """houses AS (SELECT p_partkey AS building_id, ((p_partkey%5)*5+(p_partkey//5)%200*40+CASE WHEN p_partkey%7=0 THEN 2 ELSE 0 END)::DOUBLE AS min_x, ((p_partkey//1000)*40)::DOUBLE AS min_y,
         ((p_partkey%5)*5+(p_partkey//5)%200*40+5)::DOUBLE AS max_x, ((p_partkey//1000)*40+16)::DOUBLE AS max_y, (6+p_partkey%3)::DOUBLE AS height FROM part)""",
+    "lots": """l0 AS (SELECT p_partkey AS lot_id, p_partkey//5 AS g, p_partkey%5 AS i, p_partkey//5%6 AS sort FROM part),
+        lots AS (SELECT lot_id, g, i, sort, (g%40*200 + CASE WHEN sort=0 OR (sort=1 AND i<2) THEN i*5 ELSE i*40 END)::DOUBLE AS x0, (g//40*60)::DOUBLE AS y0, CASE WHEN sort<=2 THEN 5 WHEN sort=3 THEN 30 ELSE 12 END AS wide,
+        CASE WHEN sort<=2 THEN 16 WHEN sort=3 THEN 20 ELSE 15 END AS deep, (CASE WHEN sort=0 AND i=4 AND g//6%2=1 THEN 15 WHEN sort=5 THEN 25 ELSE 9 END)::DOUBLE AS height FROM l0)""",
+    "zones": """zones AS (SELECT s_suppkey AS zone_id, (s_suppkey*37%1000*16+0.3)::DOUBLE AS cx, (s_suppkey*7//50%4*32+9.7)::DOUBLE AS cy, (s_suppkey%5*20+30.1)::DOUBLE AS rx, (s_suppkey%3*10+20.9)::DOUBLE AS ry FROM supplier)""",
     "cells": """cells AS (SELECT o_orderkey//256 AS "row", o_custkey*7%64 AS col, ((o_orderkey*31+o_custkey)%400*0.25)::DOUBLE AS value FROM orders)""",
     "tiles": """tiles AS (SELECT 8 AS z, p_partkey*5%256 AS x, p_partkey*11%256 AS y, max(p_partkey*7919%65521) AS value FROM part WHERE p_partkey%3<>0 GROUP BY ALL)""",
 }
