@@ -38,6 +38,8 @@ BEFORE, AFTER = 48, 24
 #: A finding at or above this share of trees is a secret.
 THRESHOLD = 0.5
 LABELLED = 6_000
+#: Texts with secrets whose places are broadcast at most; more meet their texts by a shuffle.
+BROADCAST_TEXTS = 100_000
 TREES, DEPTH, SEED = 24, 7, 11
 
 #: Words that random keys do not hold, and words beside keys or beside other long strings.
@@ -217,22 +219,23 @@ def scan(df: DataFrame, model: RandomForestClassificationModel, key: str = "doc_
 
 def redact(df: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source", mark: str = "[SECRET]", length: str = "n_chars") -> DataFrame:
     """``df`` with each secret replaced by ``mark`` and every column kept; a column ``length`` follows the text. Texts
-    are told apart by key and hash, so rows that share a key, or have none, are redacted each by its own findings."""
-    told = df.withColumn("__hash", F.xxhash64(F.col(text)))
-    found = scan(told.select(F.xxhash64(key, "__hash").alias("doc_id"), F.col(text).alias("text"), (F.col(path) if path else F.lit("")).alias("source")), model).where("secret")
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__spans"))
-    joined = told.withColumn("__key", F.xxhash64(key, "__hash")).join(spans.withColumnRenamed("doc_id", "__key"), "__key", "left")
+    are told apart by key and hash, so rows that share a key, or have none, are redacted each by its own findings. Only
+    the findings travel: where they are few enough to broadcast, no text is shuffled."""
+    told = F.xxhash64(F.col(key), F.xxhash64(F.col(text)))
+    found = scan(df.select(told.alias("doc_id"), F.col(text).alias("text"), (F.col(path) if path else F.lit("")).alias("source")), model).where("secret")
+    name, at = common.unused(df, "__key"), common.unused(df, "__spans")
+    spans = found.groupBy(F.col("doc_id").alias(name)).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias(at))
+    joined = df.join(common.bounded(common.shared_table(spans, "spans"), BROADCAST_TEXTS), told == F.col(name), "left")
     whole = F.aggregate(
-        "__spans",
+        at,
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("done"), (s["start"] + s["length"]).alias("at")),
         lambda acc: F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    changed = joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(whole))
+    new = F.when(F.col(at).isNull(), F.col(text)).otherwise(whole)
     if length in df.columns:
-        new = F.length(text).cast(df.schema[length].dataType)
-        changed = changed.withColumn(length, F.when(F.col("__spans").isNull(), F.col(length)).otherwise(new))
-    return changed.select(*df.columns)
+        joined = joined.withColumn(length, F.when(F.col(at).isNull(), F.col(length)).otherwise(F.length(whole).cast(df.schema[length].dataType)))
+    return joined.withColumn(text, new).select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,13 +136,14 @@ def encoded(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, key: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            packed, wide = [], []
-            for x in encoder(tokenizer).encode(batch["text"].tolist()):
-                ids = np.frombuffer(x + tail, "<u4")
-                wide.append(bool(len(ids)) and int(ids.max()) > 65_535)
-                packed.append(x + tail if wide[-1] else ids.astype("<u2").tobytes())
-            n = [len(x) // (4 if w else 2) for x, w in zip(packed, wide)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "wide": wide, "ids": packed})
+            packed = encoder(tokenizer).encode(batch["text"].tolist())
+            n = np.array([len(x) // 4 + 1 for x in packed], dtype=np.int64)
+            flat = np.frombuffer(tail.join([*packed, b""]), "<u4")
+            wide = bool(len(flat)) and int(flat.max()) > 65_535
+            size = 4 if wide else 2
+            whole = memoryview(flat.tobytes() if wide else flat.astype("<u2").tobytes())
+            ends = size * np.cumsum(n)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "wide": wide, "ids": [bytes(whole[e - size * k : e]) for e, k in zip(ends.tolist(), n.tolist())]})
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n long, wide boolean, ids binary")
