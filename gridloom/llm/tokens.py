@@ -12,7 +12,7 @@ import re
 from array import array
 from itertools import chain
 
-MEMO_UNITS = 800_000
+MEMO_UNITS = 2_000_000
 #: Longer units (text without spaces) are encoded but not kept.
 MEMO_CHARS = 64
 #: Units looked up together.
