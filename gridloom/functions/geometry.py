@@ -81,26 +81,32 @@ def view_depth(view: Column, x: Column, y: Column, height: Column) -> Column:
     return isometric(view, x, y, F.lit(0.0))[1] + height
 
 
-def geodetic_to_ecef(lon: Column, lat: Column, height: Column) -> tuple[Column, Column, Column]:
+def earth_centred(lon: Column, lat: Column, height: Column) -> tuple[Column, Column, Column]:
+    """x, y, z of a place above the ellipsoid, from its parametric (reduced) latitude."""
+    polar = WGS84_A * (1 - WGS84_F)
+    phi, lam = F.radians(lat), F.radians(lon)
+    reduced = F.atan2(polar * F.sin(phi), WGS84_A * F.cos(phi))
+    out = WGS84_A * F.cos(reduced) + height * F.cos(phi)
+    return out * F.cos(lam), out * F.sin(lam), polar * F.sin(reduced) + height * F.sin(phi)
+
+
+def from_earth_centred(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Longitude, latitude and height by Bowring's closed form (1976), within a nanodegree near the ground."""
+    polar = WGS84_A * (1 - WGS84_F)
+    e2, second = WGS84_F * (2 - WGS84_F), (WGS84_A / polar) ** 2 - 1
+    out = F.hypot(x, y)
+    reduced = F.atan2(z * WGS84_A, out * polar)
+    phi = F.atan2(z + second * polar * F.pow(F.sin(reduced), 3), out - e2 * WGS84_A * F.pow(F.cos(reduced), 3))
+    height = out * F.cos(phi) + z * F.sin(phi) - WGS84_A * F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
+    return F.degrees(F.atan2(y, x)), F.degrees(phi), height
+
+
+def tangent_offset(lon: float, lat: float, east: Column, north: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of offsets in metres on the plane that touches the ellipsoid at a place."""
     e2 = WGS84_F * (2 - WGS84_F)
-    lam, phi = F.radians(lon), F.radians(lat)
-    n = F.lit(WGS84_A) / F.sqrt(1 - F.pow(F.sin(phi), 2) * e2)
-    return (n + height) * F.cos(phi) * F.cos(lam), (n + height) * F.cos(phi) * F.sin(lam), (n * (1 - e2) + height) * F.sin(phi)
-
-
-def ecef_to_geodetic(x: Column, y: Column, z: Column, rounds: int = 7) -> tuple[Column, Column, Column]:
-    """Fixed number of rounds of the latitude iteration."""
-    e2 = WGS84_F * (2 - WGS84_F)
-    p = F.sqrt(x * x + y * y)
-    start = F.atan2(z, p * (1 - e2))
-
-    def step(phi: Column, _: Column) -> Column:
-        n = F.lit(WGS84_A) / F.sqrt(1 - F.pow(F.sin(phi), 2) * e2)
-        return F.atan2(z + n * e2 * F.sin(phi), p)
-
-    phi = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
-    n = F.lit(WGS84_A) / F.sqrt(1 - F.pow(F.sin(phi), 2) * e2)
-    return F.degrees(F.atan2(y, x)), F.degrees(phi), p / F.cos(phi) - n
+    w = 1 - e2 * sin(radians(lat)) ** 2
+    prime, meridian = WGS84_A / sqrt(w), WGS84_A * (1 - e2) / w**1.5
+    return F.lit(lon) + F.degrees(east / (prime * cos(radians(lat)))), F.lit(lat) + F.degrees(north / meridian)
 
 
 # rings -----------------------------------------------------------------------------------------------------------------

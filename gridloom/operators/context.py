@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as g
-from .graph import connected_components
+from .graph import checkpoint, connected_components
 from .spatial import bucket_join
 
 # Limits of the footprint profile in metres and square metres, and of party edges.
@@ -30,33 +30,33 @@ def profile(buildings: DataFrame, ring: str = "ring", height: str = "height") ->
     return sized.withColumns({"row": fits(ROW_AREA, ROW_WIDTH, ROW_DEPTH, ROW_HEIGHT), "family": fits(FAMILY_AREA, FAMILY_WIDTH, FAMILY_DEPTH, FAMILY_HEIGHT)})
 
 
-def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Length that segment cd shares with the parallel segment ab beside it; null if it is not parallel, or too far."""
-    ux, uy = b["x"] - a["x"], b["y"] - a["y"]
-    length = F.sqrt(ux * ux + uy * uy)
-    ux, uy = ux / length, uy / length
-    vx, vy = d["x"] - c["x"], d["y"] - c["y"]
-    across = F.abs(ux * vx + uy * vy) / F.sqrt(vx * vx + vy * vy)
-    away = lambda p: F.abs((p["y"] - a["y"]) * ux - (p["x"] - a["x"]) * uy)
-    along = lambda p: (p["x"] - a["x"]) * ux + (p["y"] - a["y"]) * uy
-    shared = F.least(length, F.greatest(along(c), along(d))) - F.greatest(F.lit(0.0), F.least(along(c), along(d)))
-    return F.when((across >= PARALLEL) & (away(c) <= EDGE_GAP) & (away(d) <= EDGE_GAP), shared)
+def _measured(ring: str) -> Column:
+    """Edges with their direction and length: a, b, ux, uy, size."""
+    size = lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2))
+    sized = F.transform(g.ring_edges(F.col(ring)), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), size(e).alias("size")))
+    return F.transform(sized, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), ((e["b"]["x"] - e["a"]["x"]) / e["size"]).alias("ux"), ((e["b"]["y"] - e["a"]["y"]) / e["size"]).alias("uy"), e["size"].alias("size")))
+
+
+def _overlap(e: Column, f: Column) -> Column:
+    """Length that edge f shares with the parallel edge e beside it; null if it is not parallel, or too far."""
+    away = lambda p: F.abs((p["y"] - e["a"]["y"]) * e["ux"] - (p["x"] - e["a"]["x"]) * e["uy"])
+    along = lambda p: (p["x"] - e["a"]["x"]) * e["ux"] + (p["y"] - e["a"]["y"]) * e["uy"]
+    shared = F.least(e["size"], F.greatest(along(f["a"]), along(f["b"]))) - F.greatest(F.lit(0.0), F.least(along(f["a"]), along(f["b"])))
+    return F.when((F.abs(e["ux"] * f["ux"] + e["uy"] * f["uy"]) >= PARALLEL) & (away(f["a"]) <= EDGE_GAP) & (away(f["b"]) <= EDGE_GAP), shared)
 
 
 def party_edges(profiled: DataFrame, key: str, cell: float, ring: str = "ring", height: str = "height") -> DataFrame:
-    """Pairs of facing edges of two buildings: a < b, edge_a, edge_b, and whether they join a row or a family."""
+    """Pairs of facing edges of two buildings: a < b, edge_a, edge_b, and whether they join a row or a family. Boxes and edges
+    are written before the join, so that their expressions are not planned again in each of its conditions."""
     box = ("min_x", "min_y", "max_x", "max_y")
-    side = profiled.withColumns({**g.ring_box(F.col(ring)), "edges": g.ring_edges(F.col(ring))})
-    right = side.select(*[F.col(c).alias(f"o_{c}") for c in (key, *box, "edges", "depth", "row", "family", height)])
+    side = checkpoint(profiled.withColumns({**g.ring_box(F.col(ring)), "edges": _measured(ring)}).select(key, *box, "edges", "depth", "row", "family", F.col(height).alias("h")))
+    right = side.select(*[F.col(c).alias(f"o_{c}") for c in side.columns])
     met = bucket_join(side, right, box, tuple(f"o_{c}" for c in box), cell, EDGE_GAP, F.col(key) < F.col(f"o_{key}"))
     left_edges = met.select("*", F.posexplode("edges").alias("edge_a", "ea"))
-    pairs = left_edges.select("*", F.posexplode("o_edges").alias("edge_b", "eb"))
-    size = lambda e: F.sqrt(F.pow(F.col(e)["b"]["x"] - F.col(e)["a"]["x"], 2) + F.pow(F.col(e)["b"]["y"] - F.col(e)["a"]["y"], 2))
-    pairs = pairs.withColumns({"shared": _overlap(F.col("ea.a"), F.col("ea.b"), F.col("eb.a"), F.col("eb.b")), "la": size("ea"), "lb": size("eb")})
-    pairs = pairs.where((F.col("shared") > 0) & (F.col("shared") >= LEAST_OVERLAP) & (F.col("shared") >= OVERLAP_SHARE * F.least("la", "lb")))
-    other = F.col(f"o_{height}")
-    alike = (F.abs(F.col(height) - other) <= 4.5) | (F.least(F.col(height), other) >= 0.7 * F.greatest(F.col(height), other))
-    family = F.col("family") & F.col("o_family") & (F.col("la") >= 0.6 * F.col("depth")) & (F.col("lb") >= 0.6 * F.col("o_depth")) & alike
+    pairs = left_edges.select("*", F.posexplode("o_edges").alias("edge_b", "eb")).withColumn("shared", _overlap(F.col("ea"), F.col("eb")))
+    pairs = pairs.where((F.col("shared") > 0) & (F.col("shared") >= LEAST_OVERLAP) & (F.col("shared") >= OVERLAP_SHARE * F.least("ea.size", "eb.size")))
+    alike = (F.abs(F.col("h") - F.col("o_h")) <= 4.5) | (F.least("h", "o_h") >= 0.7 * F.greatest("h", "o_h"))
+    family = F.col("family") & F.col("o_family") & (F.col("ea.size") >= 0.6 * F.col("depth")) & (F.col("eb.size") >= 0.6 * F.col("o_depth")) & alike
     return pairs.select(F.col(key).alias("a"), F.col(f"o_{key}").alias("b"), "edge_a", "edge_b", family.alias("joins_family"), (family & F.col("row") & F.col("o_row")).alias("joins_row"))
 
 
@@ -100,15 +100,15 @@ def contexts(buildings: DataFrame, key: str, cell: float, ring: str = "ring", he
     """key, component and family (smallest key of the run and of the family), size, family_size, mask (a bit for each
     party edge), kind (rowhouse, twin, rowhouse_like, warehouse, detached, generic, in this order) and seed (of the run, else
     of the family, else the building's own). A run is a row of houses on the ground, so its seeds fit one row."""
-    sized = profile(buildings, ring, height)
-    pairs = party_edges(sized, key, cell, ring, height)
+    sized = checkpoint(profile(buildings, ring, height))
+    pairs = checkpoint(party_edges(sized, key, cell, ring, height))  # read four times below
     bit = lambda e: F.expr(f"shiftleft(1L, {e})")
     both = pairs.select(F.col("a").alias(key), bit("edge_a").alias("m")).union(pairs.select("b", bit("edge_b")))
     masks = both.groupBy(key).agg(F.bit_or("m").alias("mask"))
-    seeds = sized.select(key, "area", "row", "family", F.col(height).alias("h"), building_seeds(sized, ring, height).alias("own"))
+    seeds = checkpoint(sized.select(key, "area", "row", "family", F.col(height).alias("h"), building_seeds(sized, ring, height).alias("own")))
     out = seeds.withColumnRenamed("family", "is_family")
     for name, joins in (("component", "joins_row"), ("family", "joins_family")):
-        parts = connected_components(sized, pairs.where(joins).select("a", "b").distinct(), key).withColumnRenamed("component", name)
+        parts = connected_components(seeds, pairs.where(joins).select("a", "b").distinct(), key).withColumnRenamed("component", name)
         sizes = parts.join(seeds.select(key, "own"), key).groupBy(name).agg(F.count(F.lit(1)).alias(f"{name}_size"), F.collect_list("own").alias("__s"))
         sizes = sizes.select(name, f"{name}_size", F.when(F.col(f"{name}_size") >= 2, group_seed("__s")).alias(f"{name}_seed"))
         out = out.join(parts, key).join(sizes, name)

@@ -81,10 +81,12 @@ def enforce(violations: DataFrame) -> None:
         raise ContractError("; ".join(f"{r.rule}: {r.subject} {r.detail}" for r in found))
 
 
-def table_digest(df: DataFrame, key: str, columns: list[str], parts: int = 256) -> DataFrame:
-    """One digest of a table in key order: rows are digested in ``parts`` ordered ranges of the key's hash, and these few
-    digests together, so no task holds all rows' digests."""
+def table_digest(df: DataFrame, key: str, columns: list[str], span: int = 4096) -> DataFrame:
+    """One digest of a table in the order of its key, a unique whole number. Rows are digested in runs of ``span`` keys, these
+    in runs of ``span``, and the few digests of those together, so no task holds more than a run."""
     row = F.sha2(F.to_json(F.struct(key, *columns), {"ignoreNullFields": "false"}), 256)
-    each = df.select(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts)).alias("part"), F.col(key).alias("k"), row.alias("d"))
-    piece = each.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return piece.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda s: s["d"]), ""), 256).alias("digest"), F.sum("n").alias("rows"))
+    level = df.select(F.col(key).alias("k"), row.alias("d"), F.lit(1).cast("long").alias("n"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]), ""), 256)
+    for _ in range(2):
+        level = level.groupBy(F.floor(F.col("k") / span).alias("k")).agg(joined.alias("d"), F.sum("n").alias("n"))
+    return level.agg(joined.alias("digest"), F.sum("n").alias("rows"))

@@ -1,45 +1,36 @@
-"""Party walls, connected components and building context."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spatial import Box, bucket_join
 
-
-def party_edges(houses: DataFrame, key: str, box: Box, cell: float, gap: float = 0.823, least: float = 2.438, share: float = 0.6) -> DataFrame:
-    """Pairs of boxes with facing edges: (a, b, edge_a, edge_b). Edges are 0 south, 1 east, 2 north, 3 west; they must be
-    within ``gap`` and overlap by ``least`` and by ``share`` of the shorter edge. Each pair comes once for each side."""
-    other: Box = tuple(f"__o_{c}" for c in box)
-    right = houses.select(F.col(key).alias("__other"), *[F.col(c).alias(o) for c, o in zip(box, other)])
-    met = bucket_join(houses, right, box, other, cell, gap, F.col(key) != F.col("__other"))
-    a, b = [F.col(c) for c in box], [F.col(c) for c in other]
-
-    def facing(d: Column, lo: int, hi: int) -> Column:
-        over = F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo])
-        short = F.least(a[hi] - a[lo], b[hi] - b[lo])
-        return (F.abs(d) <= gap) & (over >= least) & (over >= share * short)
-
-    edge = F.when(facing(b[0] - a[2], 1, 3), 1).when(facing(a[0] - b[2], 1, 3), 3).when(facing(b[1] - a[3], 0, 2), 2).when(facing(a[1] - b[3], 0, 2), 0)
-    found = met.withColumn("edge", edge).where("edge is not null")
-    return found.select(F.col(key).alias("a"), F.col("__other").alias("b"), "edge")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session without one gets its own, a cluster must name it."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+def checkpoint(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 100) -> DataFrame:
     """(key, component): the smallest key reachable over undirected ``edges`` (a, b). Large-star and small-star steps, each
     ended by a reliable checkpoint; nothing is collected but a count and a checksum."""
-    now = _checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = None
     for _ in range(rounds):
         seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -52,20 +43,5 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str, rounds: i
         large = now.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = _checkpoint(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
+        now = checkpoint(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
     raise RuntimeError("components did not settle")
-
-
-def building_context(houses: DataFrame, edges: DataFrame, key: str, box: Box) -> DataFrame:
-    """key, component, size, mask (bit per party edge) and kind, in this order: rowhouse from 3, twin of 2, then by profile."""
-    parts = connected_components(houses, edges, key)
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    masks = edges.groupBy(F.col("a").alias(key)).agg(F.bit_or(F.expr("shiftleft(1, cast(edge as int))")).alias("mask"))
-    width, depth = F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])
-    area, long = width * depth, F.greatest(width, depth)
-    kind = (
-        F.when(F.col("size") >= 3, "rowhouse").when(F.col("size") == 2, "twin").when((area / long <= 7.5) & (long >= 9), "rowhouse_like")
-        .when(area >= 1200, "warehouse").when(area.between(40, 320), "detached").otherwise("generic")
-    )
-    joined = houses.join(parts, key).join(sizes, "component").join(masks, key, "left")
-    return joined.select(key, "component", "size", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"), kind.alias("kind"))

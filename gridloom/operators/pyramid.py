@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpoint
 from .spatial import Box
 
 
@@ -35,10 +36,12 @@ def pyramid(leaves: DataFrame, to_level: int = 0, from_level: int = 8) -> DataFr
 
 
 def roll_up_dirty(stored: DataFrame, changed: DataFrame, from_level: int = 8, to_level: int = 0, value: str = "value") -> DataFrame:
-    """Stored pyramid with changed leaves (z, x, y, value; null: gone) and only their ancestors computed anew."""
+    """Stored pyramid, a written table, with changed leaves (z, x, y, value; null: gone) and only their ancestors computed
+    anew. Each level is written before the next is made from it."""
     keys = ["z", "x", "y"]
     whole = stored.select(*keys, value)
-    level = whole.where(F.col("z") == from_level).join(changed.select(*keys), keys, "left_anti").unionByName(changed.where(F.col(value).isNotNull()).select(*keys, value))
+    changed = checkpoint(changed.select(*keys, value))
+    level = checkpoint(whole.where(F.col("z") == from_level).join(changed.select(*keys), keys, "left_anti").unionByName(changed.where(F.col(value).isNotNull())))
     out, dirty = level, changed.select(*keys).distinct()
     for z in range(from_level, to_level, -1):
         dirty = parents(dirty)
@@ -46,7 +49,7 @@ def roll_up_dirty(stored: DataFrame, changed: DataFrame, from_level: int = 8, to
         touched = stale.join(dirty.select(F.col("x").alias("__x"), F.col("y").alias("__y")), ["__x", "__y"], "left_semi").select(*keys, value)
         fresh = roll_up(touched, value=value)
         kept = whole.where(F.col("z") == z - 1).join(dirty, keys, "left_anti")
-        level = kept.unionByName(fresh)
+        level = checkpoint(kept.unionByName(fresh))
         out = out.unionByName(level)
     return out
 

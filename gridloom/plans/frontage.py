@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import windows as O
 from ..sources import layers as L
 
+BLOCK = 100
 _NAMES = ["n. Broad Street", "MARKET ST.", "South 5th Avenue", "Spruce  Lane", "Unnamed"]
 _LABELS = ["N BROAD ST", "MARKET ST", "S 5TH AVE", "SPRUCE LN"]
 
@@ -30,9 +31,13 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frontage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every address with its outcome: unparsed, unmatched, ambiguous or accepted with its segment. The join's key is the
-    street's label; ranges are residual predicates."""
-    parsed = addresses(spark, sf_dir).withColumn("p", text.address(F.col("said")))
-    met = parsed.where("p is not null").join(streets(spark, sf_dir), (F.col("p.label") == F.col("label")) & text.range_fits(F.col("a"), F.col("b"), F.col("p.first"), F.col("p.last")))
+    street's label, the parity and a block of ``BLOCK`` numbers: a segment is dealt to its blocks, an address lies in the
+    block of its first number, so that a long street is no single key. Addresses are parsed once, before a shuffle."""
+    parsed = addresses(spark, sf_dir).withColumn("p", text.address(F.col("said"))).repartition("c_custkey")
+    numbers = parsed.where("p is not null").withColumns({"block": F.floor(F.col("p.first") / BLOCK), "odd": F.col("p.first") % 2})
+    dealt = streets(spark, sf_dir).select("*", (F.col("a") % 2).alias("odd"), F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor(F.col("b") / BLOCK))).alias("block"))
+    numbers = numbers.withColumn("label", F.col("p.label"))
+    met = numbers.join(dealt, ["label", "block", "odd"]).where(text.range_fits(F.col("a"), F.col("b"), F.col("p.first"), F.col("p.last")))
     won = O.clear_winner(met, ["c_custkey"], "s_suppkey", "away", 1.0)
     outcome = F.when(F.col("p").isNull(), "unparsed").when(F.col("status").isNull(), "unmatched").otherwise(F.col("status"))
     return parsed.join(won, "c_custkey", "left").select("c_custkey", F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("p.label").alias("label"), "s_suppkey", outcome.alias("outcome"))

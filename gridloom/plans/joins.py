@@ -102,14 +102,14 @@ PLAN_MANIFEST = """WITH a AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_p
 
 
 def gap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected source rectangles with the number and the ids of the footprints that they touch."""
+    """Rejected source rectangles with the number of footprints that they touch, the first and the last of them."""
     gaps = L.table(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", *[e.cast("double").alias(n) for n, e in (("gx0", F.col("s_suppkey") * 97 % 900 * 16), ("gy0", F.lit(0)), ("gx1", F.col("s_suppkey") * 97 % 900 * 16 + 60), ("gy1", F.lit(40)))])
     met = S.bucket_join(L.buildings(spark, sf_dir), gaps, BOX, ("gx0", "gy0", "gx1", "gy1"), CELL)
-    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("footprints"), F.array_join(F.array_sort(F.collect_set("building_id")), ",").alias("ids"))
+    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("footprints"), F.min("building_id").alias("first"), F.max("building_id").alias("last"))
 
 
 GAP_COUNTS = L.ctes("buildings") + """, g AS (SELECT s_suppkey, s_suppkey*97%900*16 AS gx0, 0 AS gy0, s_suppkey*97%900*16+60 AS gx1, 40 AS gy1 FROM supplier)
-    SELECT s_suppkey, count(*) AS footprints, string_agg(building_id::VARCHAR, ',' ORDER BY building_id) AS ids FROM buildings JOIN g ON min_x<=gx1 AND gx0<=max_x AND min_y<=gy1 AND gy0<=max_y GROUP BY s_suppkey"""
+    SELECT s_suppkey, count(*) AS footprints, min(building_id) AS first, max(building_id) AS last FROM buildings JOIN g ON min_x<=gx1 AND gx0<=max_x AND min_y<=gy1 AND gy0<=max_y GROUP BY s_suppkey"""
 
 QUERIES = {
     "point_in_smallest": (point_in_smallest, POINT_IN_SMALLEST),

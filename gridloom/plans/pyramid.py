@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import pyramid as P
+from ..operators.graph import checkpoint
 from ..sources import layers as L
 
 LEVELS = 4
@@ -29,7 +30,7 @@ def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as a pyramid built anew over the changed leaves."""
-    return P.roll_up_dirty(tile_pyramid(spark, sf_dir), changed(spark, sf_dir), 8, 8 - LEVELS)
+    return P.roll_up_dirty(checkpoint(tile_pyramid(spark, sf_dir)), changed(spark, sf_dir), 8, 8 - LEVELS)
 
 
 INCREMENTAL = L.ctes("tiles") + """, now AS (SELECT x, y, CASE WHEN (x*256+y)%13=0 THEN value+400 ELSE value END AS value FROM tiles WHERE NOT ((x*256+y)%13=0 AND (x*256+y)%2=1))""" + _pyramid_sql("now")

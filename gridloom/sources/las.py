@@ -43,7 +43,9 @@ def parse_header(data: bytes) -> Header:
     if version >= (1, 4):
         if len(data) < 375:
             raise ValueError("the header is cut off")
-        (count,) = struct.unpack_from("<Q", data, 247)
+        count = struct.unpack_from("<Q", data, 247)[0] or count
+    if kind > 10 or not count:
+        raise ValueError("no points, or of an unknown format")
     if width < (20 if kind < 6 else 30):
         raise ValueError("records are shorter than their format")
     return Header(version, start, kind, width, count, struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTS = "remark string, elements array<struct<type:string,id:long,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
-FEATURES = "type string, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+FEATURES = "type string, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
 
 def building_parts(spark: SparkSession, path: str) -> DataFrame:
@@ -20,10 +20,16 @@ def building_parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def polygons(spark: SparkSession, path: str) -> DataFrame:
-    """properties and ring (the outer one, not closed) of GeoJSON polygons."""
-    whole = spark.read.schema(FEATURES).json(path, multiLine=True, mode="FAILFAST").select(F.explode("features").alias("f"))
-    outer = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return whole.where("f.geometry.type = 'Polygon'").select(F.col("f.properties").alias("properties"), F.slice(outer, F.lit(1), F.size(outer) - 1).alias("ring"))
+    """properties, ring (the outer one, not closed) and holes of GeoJSON polygons, each part of a MultiPolygon a row. A
+    collection without features fails."""
+    whole = spark.read.schema(FEATURES).json(path, multiLine=True, mode="FAILFAST")
+    some = F.when(F.size("features") > 0, F.col("features")).otherwise(F.raise_error(F.lit("the collection has no features")))
+    shapes = whole.select(F.explode(some).alias("f")).where("f.geometry.type in ('Polygon', 'MultiPolygon')")
+    rings = "array<array<array<double>>>"
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", rings))).otherwise(F.from_json("f.geometry.coordinates", f"array<{rings}>"))
+    open_ring = lambda r: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    each = shapes.select(F.col("f.properties").alias("properties"), F.explode(parts).alias("part"))
+    return each.select("properties", open_ring(F.col("part")[0]).alias("ring"), F.transform(F.slice("part", F.lit(2), F.size("part")), open_ring).alias("holes"))
 
 
 def links(pages: DataFrame, html: str = "html") -> Column:
@@ -31,9 +37,9 @@ def links(pages: DataFrame, html: str = "html") -> Column:
 
 
 def listing(pages: DataFrame, keys: list[str], suffix: str, html: str = "html") -> DataFrame:
-    """Distinct names with a suffix that a directory page links to, sorted by name within the page."""
-    each = pages.select(*keys, F.explode(links(pages, html)).alias("name"))
-    return each.where(F.lower("name").endswith(suffix)).distinct()
+    """Distinct names with a suffix that a directory page links to, and their place (from 0) in the page's sorted list."""
+    names = F.array_sort(F.array_distinct(F.filter(links(pages, html), lambda n: F.lower(n).endswith(suffix))))
+    return pages.select(*keys, F.posexplode(names).alias("place", "name"))
 
 
 def tile_bounds(name: Column, unit: float = 100.0, size: float = 2_640.0) -> Column:
