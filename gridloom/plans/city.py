@@ -253,8 +253,29 @@ SELECTED_TILES = L.ctes("zones") + """, t AS (SELECT o_orderkey AS k, floor(o_to
     f AS (SELECT *, EXISTS (SELECT 1 FROM zones WHERE x0<=cx+rx AND cx-rx<=x0+8 AND y0<=cy+ry AND cy-ry<=y0+8) AS s FROM t)
     SELECT k%10 AS part, count(*) AS tiles, sum(bytes)::BIGINT AS bytes, count(*) FILTER (s) AS selected, coalesce(sum(bytes) FILTER (s), 0)::BIGINT AS selected_bytes FROM f GROUP BY 1"""
 
+
+def smallest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mesh's centre in the smallest zone whose ring holds it, ties to the smaller id; the others are left out."""
+    middle = L.meshes(spark, sf_dir).select("mesh_id", ((F.col("mx0") + F.col("mx1")) / 2).alias("x"), ((F.col("my0") + F.col("my1")) / 2).alias("y"))
+    met = S.bucket_join(middle, zones(spark, sf_dir), S.point_box(), ZONE, CELL, refine=g.in_ring(F.col("x"), F.col("y"), F.col("zone")))
+    best = F.min(F.struct(F.round(g.ring_area(F.col("zone")), 6).alias("area"), "zone_id"))
+    return met.groupBy("mesh_id").agg(best.alias("b")).select("mesh_id", "b.zone_id", "b.area")
+
+
+SMALLEST_ZONE = L.ctes("meshes", "zones") + """, h AS (SELECT mesh_id, zone_id, round(2*rx*ry, 6) AS area FROM meshes JOIN zones ON abs((mx0+mx1)/2-cx)/rx + abs((my0+my1)/2-cy)/ry < 1)
+    SELECT mesh_id, arg_min(zone_id, (area, zone_id)) AS zone_id, min(area) AS area FROM h GROUP BY mesh_id"""
+
+
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each zone beside the share it must not fall below, and whether it passes."""
+    percent = F.round(100.0 * F.col("seen") / F.col("buildings"), 2)
+    return area_coverage(spark, sf_dir).select("zone_id", percent.alias("percent"), (F.col("zone_id") % 5 * 10).alias("least"), (percent >= F.col("zone_id") % 5 * 10).alias("passes"))
+
+
 QUERIES = {
     "area_coverage": (area_coverage, AREA_COVERAGE),
+    "smallest_zone": (smallest_zone, SMALLEST_ZONE),
+    "coverage_gate": (coverage_gate, f"SELECT zone_id, round(100.0*seen/buildings, 2)::DOUBLE AS percent, zone_id%5*10 AS least, round(100.0*seen/buildings, 2)>=zone_id%5*10 AS passes FROM ({AREA_COVERAGE})"),
     "ring_evidence": (ring_evidence, RING_EVIDENCE),
     "building_kinds": (building_kinds, _KINDS + " SELECT lot_id, component, family, size, mask, kind FROM kinds"),
     "kind_audit": (kind_audit, KIND_AUDIT),

@@ -61,19 +61,20 @@ NEAREST_MESHES = L.ctes("buildings", "meshes") + """
 
 
 def sequence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one user's frames at most three places apart: frames are numbered, then each is dealt to its later places,
-    so that the range becomes an equality."""
+    """Pairs of one user's frames at most ten places apart and of one segment, some frames excluded: frames are numbered, then
+    each is dealt to its later places, so that the range becomes an equality."""
     from pyspark.sql import Window as W
 
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    frames = L.table(spark, sf_dir, "events", "event_id", "user_id", "ts").withColumn("seq", F.row_number().over(order))
-    ahead = frames.select("user_id", F.col("event_id").alias("left_id"), F.explode(F.array(*[F.struct((F.col("seq") + k).alias("seq"), F.lit(k).alias("gap")) for k in (1, 2, 3)])).alias("n"))
-    right = frames.select("user_id", F.col("event_id").alias("right_id"), "seq")
-    return ahead.select("user_id", "left_id", "n.seq", "n.gap").join(right, ["user_id", "seq"]).select("user_id", "left_id", "right_id", "gap")
+    numbered = L.table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").withColumn("seq", F.row_number().over(order))
+    frames = numbered.where("event_id % 50 <> 7").withColumn("segment", F.floor(F.col("seq") / 40))
+    ahead = frames.select("user_id", "segment", F.col("event_id").alias("left_id"), F.explode(F.array(*[F.struct((F.col("seq") + k).alias("seq"), F.lit(k).alias("gap")) for k in range(1, 11)])).alias("n"))
+    right = frames.select("user_id", "segment", F.col("event_id").alias("right_id"), "seq")
+    return ahead.select("user_id", "segment", "left_id", "n.seq", "n.gap").join(right, ["user_id", "segment", "seq"]).select("user_id", "left_id", "right_id", "gap")
 
 
-SEQUENCE_PAIRS = """WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)
-    SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id, (b.seq-a.seq)::INT AS gap FROM f a JOIN f b ON a.user_id=b.user_id AND b.seq BETWEEN a.seq+1 AND a.seq+3"""
+SEQUENCE_PAIRS = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), f AS (SELECT *, seq//40 AS segment FROM n WHERE event_id%50<>7)
+    SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id, (b.seq-a.seq)::INT AS gap FROM f a JOIN f b ON a.user_id=b.user_id AND a.segment=b.segment AND b.seq BETWEEN a.seq+1 AND a.seq+10"""
 
 
 def area_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,17 @@ def enclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.outside_fill(cells, ["tile"], 16, 16).groupBy("tile").agg(F.count(F.lit(1)).alias("cells"))
 
 
+LABELS = """WITH RECURSIVE b AS (SELECT n_regionkey AS view, n_name AS name, n_nationkey%3 AS rank, (n_nationkey*7%20)::DOUBLE AS x0, (n_nationkey*5%9)::DOUBLE AS y0 FROM nation),
+    l AS (SELECT view, name, x0, y0, x0+6 AS x1, y0+2 AS y1, row_number() OVER (PARTITION BY view ORDER BY rank, name) AS i FROM b),
+    s AS (SELECT DISTINCT view, 0::BIGINT AS i, []::STRUCT(name VARCHAR, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS p FROM l
+        UNION ALL SELECT l.view, l.i, CASE WHEN len(p)<3 AND len(list_filter(p, lambda q: q.name=l.name OR NOT (l.x1<=q.x0 OR q.x1<=l.x0 OR l.y1<=q.y0 OR q.y1<=l.y0)))=0
+            THEN list_append(p, {'name': l.name, 'x0': l.x0, 'y0': l.y0, 'x1': l.x1, 'y1': l.y1}) ELSE p END FROM s JOIN l ON l.view=s.view AND l.i=s.i+1),
+    e AS (SELECT view, arg_max(p, i) AS p FROM s GROUP BY view), u AS (SELECT view, unnest(p) AS q, unnest(range(1, len(p)+1)) AS place FROM e) SELECT view, q.name AS name, place FROM u"""
+ENCLOSED = """WITH RECURSIVE f AS (SELECT DISTINCT l_orderkey//512 AS tile, l_orderkey%16 AS r, l_partkey%16 AS c FROM lineitem WHERE l_partkey*7%256>=64), t AS (SELECT DISTINCT tile FROM f),
+    grid AS (SELECT tile, r, c FROM t, range(-1, 17) a(r), range(-1, 17) b(c)), free AS (SELECT * FROM grid ANTI JOIN f USING (tile, r, c)),
+    reach AS (SELECT tile, -1::BIGINT AS r, -1::BIGINT AS c FROM t UNION SELECT free.tile, free.r, free.c FROM reach JOIN free ON free.tile=reach.tile AND ((free.r=reach.r AND abs(free.c-reach.c)=1) OR (free.c=reach.c AND abs(free.r-reach.r)=1)))
+    SELECT tile, count(*) AS cells FROM grid ANTI JOIN reach USING (tile, r, c) WHERE r BETWEEN 0 AND 15 AND c BETWEEN 0 AND 15 GROUP BY tile"""
+
 QUERIES = {
     "depth_composite": (depth_composite, DEPTH),
     "layer_composite": (layer_composite, LAYERS),
@@ -126,6 +137,6 @@ QUERIES = {
     "pixel_difference": (pixel_difference, DIFFERENCE),
     "water_bands": (water_bands, BANDS),
     "block_memo": (block_memo, MEMO),
-    "place_labels": (labels, None),
-    "outside_fill": (enclosed, None),
+    "place_labels": (labels, LABELS),
+    "outside_fill": (enclosed, ENCLOSED),
 }
