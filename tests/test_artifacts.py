@@ -48,7 +48,7 @@ def test_scene_leaves(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"nodes": nodes}))
     pages = spark.read.schema("nodes array<struct<index:long,mesh:struct<id:long>,children:array<long>>>").json(str(tmp_path / "p.json"))
     leaves = artifacts.scene_leaves(pages)
-    assert sorted(r.index for r in leaves.collect()) == [1, 2]
+    assert sorted(r["index"] for r in leaves.collect()) == [1, 2]
     artifacts.require_contiguous(leaves)
     for bad in (leaves.where("index = 2"), leaves.union(leaves), leaves.limit(0)):
         with pytest.raises(contracts.ContractError):
