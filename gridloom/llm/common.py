@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+_held: dict = {}
+
+
+def held(name: tuple, make):
+    """The one large object (a model, an encoder with its memo) that this Python process keeps for its next tasks. Another
+    name makes room first, so stages that follow each other in one process do not add up."""
+    if name not in _held:
+        make_room()
+        _held[name] = make()
+    return _held[name]
+
+
+def make_room() -> None:
+    _held.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local session gets one of its own;
     a cluster must name one, since executors do not see each other's disks."""

@@ -68,6 +68,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
     """doc_id, h (of the text), s (digest of the set of shingles), n (size of the set), fp (its fingerprint), bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.make_room()
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
             yield pd.DataFrame({

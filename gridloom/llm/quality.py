@@ -34,7 +34,7 @@ COUNTED_MARKS_PERCENT = 2
 WIDTH = 6.0
 #: Characters that are worked on together, and different n-grams that a task holds before it hands them on.
 CHUNK_CHARS = 300_000
-HELD_GRAMS = 1_000_000
+HELD_GRAMS = 600_000
 #: n-grams in one sorted hash array, and in all arrays that a process keeps open.
 SHARD_ROWS = 1_000_000
 OPEN_ROWS = 8_000_000
@@ -138,6 +138,7 @@ def count_ngrams(df: DataFrame) -> DataFrame:
     up its own n-grams before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.make_room()
         held: dict[str, _Counts] = {}
         for batch in batches:
             for lang, group in batch.groupby("lang", sort=False):
@@ -265,17 +266,6 @@ class Model:
         return out
 
 
-_models: dict[tuple, Model] = {}
-
-
-def model_of(shards: list[tuple[int, int, str, int]]) -> Model:
-    """This process's model of these arrays; it holds one at a time."""
-    if tuple(shards) not in _models:
-        _models.clear()
-        _models[tuple(shards)] = Model(shards)
-    return _models[tuple(shards)]
-
-
 def counts_of(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Words are runs without ASCII white space."""
     raw = text.encode("utf-8", "replace")
@@ -317,7 +307,7 @@ def score(df: DataFrame, arrays: DataFrame) -> DataFrame:
     shards = [(r.low, r.high, r.path, r.row) for r in found.orderBy("low", "high").collect()]  # one short row for each array
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_of(shards)
+        model = common.held(("model", *shards), lambda: Model(shards))
         for batch in batches:
             out = np.full(len(batch), np.nan)
             texts = batch["text"].tolist()

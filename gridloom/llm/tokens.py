@@ -12,6 +12,8 @@ import re
 from array import array
 from itertools import chain
 
+from . import common
+
 MEMO_UNITS = 2_000_000
 #: Longer units (text without spaces) are encoded but not kept.
 MEMO_CHARS = 64
@@ -114,17 +116,16 @@ class UnitEncoder:
         return out + list(map(b"".join, self.lookup(chunk)))
 
 
-_encoders: dict = {}
-
-
 def encoder(name: str) -> UnitEncoder:
     """This process's encoder for one of the public vocabularies, by file name or by path."""
-    if name not in _encoders:
+
+    def make() -> UnitEncoder:
         if os.path.sep in name:
             path = name
         else:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        _encoders[name] = UnitEncoder(path, word_units if "word_" in os.path.basename(name) else byte_units)
-    return _encoders[name]
+        return UnitEncoder(path, word_units if "word_" in os.path.basename(name) else byte_units)
+
+    return common.held(("encoder", name), make)
