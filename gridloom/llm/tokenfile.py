@@ -10,9 +10,9 @@ u64 start of the index; the blocks; the index: per block u64 start, u32 ids, u32
 compressed planes, then one u32 size for each stored plane; at last the documents: zstandard of their int64 keys and
 int64 id counts, and a null mask.
 
-Texts are encoded where they are read. Their ids, packed to two bytes where they fit, are dealt to ranges of the key, and
-each range becomes a file in the shared folder. The table of files names those whose task came to its end, so a task that
-was lost, or ran twice, leaves no file in it.
+Texts are dealt to ranges of the key, and each range is encoded and becomes a file in the shared folder: one shuffle, of
+about the size that the ids would have. The table of files names those whose task came to its end, so a task that was
+lost, or ran twice, leaves no file in it.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from .tokens import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK = 65_536
-#: ids that go into one file, about.
-FILE_IDS = 2 << 20
+#: Text bytes that go into one file, about.
+FILE_BYTES = 8 << 20
 _HEAD = struct.Struct("<4sBBHIQQQ")
 
 
@@ -130,44 +130,27 @@ class TokenFile:
         return found[start - first * self.block : stop - first * self.block]
 
 
-def encoded(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (ids with the end id), wide (four bytes an id, else two) and ids."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            packed = encoder(tokenizer).encode(batch["text"].tolist())
-            n = np.array([len(x) // 4 + 1 for x in packed], dtype=np.int64)
-            flat = np.frombuffer(tail.join([*packed, b""]), "<u4")
-            wide = bool(len(flat)) and int(flat.max()) > 65_535
-            size = 4 if wide else 2
-            whole = memoryview(flat.tobytes() if wide else flat.astype("<u2").tobytes())
-            ends = size * np.cumsum(n)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "wide": wide, "ids": [bytes(whole[e - size * k : e]) for e, k in zip(ends.tolist(), n.tolist())]})
-
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n long, wide boolean, ids binary")
-
-
-def write_token_files(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, key: str = "doc_id", text: str = "text", block: int = BLOCK, width: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
-    """Encode every text and write the ids into files of about ``file_ids`` ids. Returns the table of files, in the order
+def write_token_files(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, key: str = "doc_id", text: str = "text", block: int = BLOCK, width: int = 1, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Encode every text and write the ids into files of about ``file_bytes`` of text. Returns the table of files, in the order
     of file_no: file_no, path, n_ids, n_docs. Files and documents follow ascending keys, null keys first.
 
-    Null text counts as empty and leaves its end id alone. Rows that repeat a key stay, ordered by a hash of their ids;
+    Null text counts as empty and leaves its end id alone. Rows that repeat a key stay, ordered by a hash of their text;
     however many they are, they are spread over files. Only key and text are read.
     """
-    rows = common.shared_table(encoded(df, tokenizer, end_id, key, text), "encoded")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder = common.new_folder(df.sparkSession, "token-files")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = np.array([end_id], "<u4").tobytes()
         keys: list[int | None] = []
         counts: list[int] = []
         ids: list[np.ndarray] = []
         for batch in batches:
+            packed = encoder(tokenizer).encode(batch["text"].tolist())
             keys += [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
-            counts += batch["n"].tolist()
-            ids += [np.frombuffer(x, "<u4" if w else "<u2").astype("<u4") for x, w in zip(batch["ids"], batch["wide"])]
+            counts += [len(x) // 4 + 1 for x in packed]
+            ids.append(np.frombuffer(tail.join([*packed, b""]), "<u4"))
         if not keys:
             return
         number = TaskContext.get().partitionId()
@@ -179,8 +162,8 @@ def write_token_files(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0
         yield pd.DataFrame({"file_no": [number], "path": [path], "n_ids": [sum(counts)], "n_docs": [len(keys)]})
 
     by = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("tie")]
-    dealt = rows.withColumns({"h": F.xxhash64("ids"), "tie": F.monotonically_increasing_id()}).repartitionByRange(total // file_ids + 1, *by)
-    files = dealt.sortWithinPartitions(*by).select("doc_id", "n", "wide", "ids").mapInPandas(write, "file_no int, path string, n_ids long, n_docs long")
+    dealt = rows.withColumns({"h": F.xxhash64("text"), "tie": F.monotonically_increasing_id()}).repartitionByRange(total // file_bytes + 1, *by)
+    files = dealt.sortWithinPartitions(*by).select("doc_id", "text").mapInPandas(write, "file_no int, path string, n_ids long, n_docs long")
     return common.shared_table(files, "files")
 
 

@@ -186,7 +186,7 @@ def test_token_files(spark, sf, texts):
 def test_token_ranges_read_a_part(spark, sf, texts):
     t = tokenizer(tokenfile.TOKENIZER)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    files = tokenfile.write_token_files(docs, block=256, file_ids=40_000)
+    files = tokenfile.write_token_files(docs, block=256, file_bytes=60_000)
     paths = [r.path for r in files.orderBy("file_no").collect()]
     assert len(paths) > 2 and all(p.endswith(".gltp") for p in paths)
     whole = np.concatenate([ids_of(t, texts[k]) for k in sorted(texts)])
