@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counting, html, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
+from . import clusters, counting, html, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_jump_sharding": sharding.query,
     "op9_edit_aware_counts": counting.query,
     "op10_simhash_trie_dedup": simhash.query,
+    "op11_annulus_clustering": clusters.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_annulus_clustering": clusters.SQL}
