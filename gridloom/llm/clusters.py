@@ -93,7 +93,8 @@ def sums(vectors: DataFrame, centroids: np.ndarray) -> dict[int, tuple[int, np.n
                 total[has] += np.add.reduceat(v[order], first, axis=0)
                 n += np.bincount(number, minlength=len(n))
         has = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": has.astype(np.int32), "n": n[has], "total": list(total[has])})
+        if len(has):
+            yield pd.DataFrame({"cluster": has.astype(np.int32), "n": n[has], "total": list(total[has])})
 
     parts = vectors.select("v").mapInPandas(run, "cluster int, n long, total array<long>")
     summed = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[k]).alias(f"t{k}") for k in range(width)])
