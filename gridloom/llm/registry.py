@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusters, collocations, counting, html, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
+from . import clusters, collocations, counting, html, logbilinear, packing, quality, sampling, secrets, sharding, simhash, tokenfile, vectors
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_edit_aware_counts": counting.query,
     "op10_simhash_trie_dedup": simhash.query,
     "op11_annulus_clustering": clusters.query,
+    "op12_log_bilinear_scores": logbilinear.query,
     "op13_sketched_collocations": collocations.query,
 }
 
