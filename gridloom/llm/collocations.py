@@ -1,9 +1,9 @@
-"""Phrase collocations: count-min sketches prune, a second pass counts what survives, scores and subsumes.
+"""Phrase collocations: count-min sketches prune, a last pass counts what survives, scores and subsumes.
 
-Every task adds its words, and then its n-grams of two to four words, up in a sparse count-min sketch (Cormode and
-Muthukrishnan, 2005) of two rows of cells. Spark merges the tasks' sketches block by block. A cell holds at least the count
-of each n-gram that falls into it, so an n-gram with a cell below the threshold is not frequent, and one that is frequent is
-never lost. n-grams of a word that did not survive the words' sketch are left out of the second one.
+Every task adds its n-grams up in a sparse count-min sketch (Cormode and Muthukrishnan, 2005) of two rows of cells. Spark
+merges the tasks' sketches block by block. A cell holds at least the count of each n-gram that falls into it, so an n-gram
+with a cell below the threshold is not frequent, and one that is frequent is never lost. There are three sketches: of words,
+of pairs of words that survive, and of longer n-grams all of whose pairs survive.
 
 The exact pass reads the texts again and counts, in full, the n-grams that survive with all their parts. These counts hold
 all that a score needs, since every part of a frequent phrase is as frequent at least. Scores and subsumption are joins and
@@ -36,13 +36,15 @@ NO_LANG = "und"
 MOST_CELLS = 1 << 29
 FEWEST_CELLS = 1 << 16
 BYTES_PER_CELL = 8
-#: Cells merged together; a task sends their counts as pairs of unsigned 16-bit numbers, cut off at 65,535.
-BLOCK = 1 << 15
+#: Blocks that the cells of both rows are merged in, and cells whose offset fits 16 bits; a task sends their counts as
+#: unsigned 16-bit numbers, cut off at 65,535.
+BLOCKS = 1 << 11
+SPAN = 1 << 16
 #: Cells with counts, and phrases, that a task holds before it hands them on.
 HELD_CELLS = 3_000_000
-HELD_PHRASES = 400_000
+HELD_PHRASES = 300_000
 #: Bytes of text worked on together.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 #: Ends of pieces become a full stop, which no word holds; a tab becomes a space.
 _STOP = b"."
@@ -71,19 +73,47 @@ class Grams:
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return starts[fine], h ^ (h >> np.uint64(29))
 
+    def usable(self, words: Bits) -> np.ndarray:
+        out = words.hold(self.hashes)
+        out[0] = False
+        return out
+
+    def survivors(self, known: list[Bits]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Size, places and hashes of the n-grams of two words or more that survive the sketches ``known`` so far with all
+        their parts. The sketches: of words, of pairs, of longer n-grams."""
+        usable = self.usable(known[0])
+        starts = np.flatnonzero(usable[self.ids])
+        hashes = self.hashes[self.ids[starts]]
+        for size in range(2, WORDS + 1):
+            there = np.zeros(len(self.ids) + 1, dtype=bool)
+            there[starts] = True
+            starts, hashes = self.longer(starts, hashes, size, usable)
+            fine = there[starts + 1]
+            if (at := min(size - 1, 2)) < len(known):
+                fine &= known[at].hold(hashes)
+            starts, hashes = starts[fine], hashes[fine]
+            yield size, starts, hashes
+
 
 def chunks(batch: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
     """(lang, pieces) of a batch's texts, cut between pieces; a piece that is longer than a chunk stays whole."""
     for lang, texts in batch.groupby("lang", sort=False)["text"]:
-        data = _STOP.join([t.encode("utf-8", "replace") for t in texts]).lower().translate(_TABLE)
-        start = 0
-        while start < len(data):
-            stop = start + CHUNK_BYTES
-            if stop < len(data):
-                stop = max(data.rfind(_STOP, start, stop), start) if _STOP in data[start:stop] else data.find(_STOP, stop)
-                stop = len(data) if stop < 0 else stop + 1
-            yield lang, data[start:stop]
-            start = stop
+        held: list[bytes] = []
+        size = 0
+        for k, text in enumerate(texts):
+            held.append(text.encode("utf-8", "replace"))
+            size += len(held[-1])
+            if size < CHUNK_BYTES and k < len(texts) - 1:
+                continue
+            data, held, size = _STOP.join(held).lower().translate(_TABLE), [], 0
+            start = 0
+            while start < len(data):
+                stop = start + CHUNK_BYTES
+                if stop < len(data):
+                    stop = data.rfind(_STOP, start, stop) if _STOP in data[start:stop] else data.find(_STOP, stop)
+                    stop = len(data) if stop < 0 else stop + 1
+                yield lang, data[start:stop]
+                start = stop
 
 
 def cells_of(hashes: np.ndarray, cells: int) -> np.ndarray:
@@ -112,6 +142,8 @@ class _Cells:
         self._cells, self._parts, self._size = cells, [], 0
 
     def add(self, hashes: np.ndarray, n: np.ndarray) -> None:
+        if not len(hashes):
+            return
         self._parts.append((cells_of(hashes, self._cells).ravel(), np.tile(n, 2)))
         self._size += 2 * len(hashes)
         if self._size > HELD_CELLS:
@@ -129,38 +161,48 @@ class _Cells:
         return at[first], np.add.reduceat(n[order], first)
 
     def blocks(self) -> Iterator[pd.DataFrame]:
+        """Rows of block, spans (how many cells of each stretch of ``SPAN`` cells follow), offsets and counts."""
         if not self._parts:
             return
         at, n = self._merged()
         self._parts, self._size = [], 0
-        block, first = np.unique(at // BLOCK, return_index=True)
+        wide = 2 * self._cells // BLOCKS
+        block, first = np.unique(at // wide, return_index=True)
         ends = [*first[1:], len(at)]
-        offsets, counts = (at % BLOCK).astype("<u2"), np.minimum(n, 0xFFFF).astype("<u2")
-        for k in range(0, len(block), 1_000):
-            spans = [slice(a, b) for a, b in zip(first[k : k + 1_000], ends[k : k + 1_000])]
-            yield pd.DataFrame({"block": block[k : k + 1_000].astype(np.int64), "offsets": [offsets[s].tobytes() for s in spans], "counts": [counts[s].tobytes() for s in spans]})
+        offsets, counts, span = (at % wide % SPAN).astype("<u2"), np.minimum(n, 0xFFFF).astype("<u2"), at % wide // SPAN
+        for k in range(0, len(block), 256):
+            rows = [slice(a, b) for a, b in zip(first[k : k + 256], ends[k : k + 256])]
+            yield pd.DataFrame({
+                "block": block[k : k + 256].astype(np.int64), "spans": [np.bincount(span[r], minlength=-(-wide // SPAN)).astype("<u4").tobytes() for r in rows],
+                "offsets": [offsets[r].tobytes() for r in rows], "counts": [counts[r].tobytes() for r in rows],
+            })
+
+
+def cells_in(spans: bytes, offsets: bytes) -> np.ndarray:
+    """Places of the cells of a row inside their block."""
+    sizes = np.frombuffer(spans, "<u4")
+    return np.repeat(np.arange(len(sizes)) * SPAN, sizes) + np.frombuffer(offsets, "<u2")
 
 
-def sketch(rows: DataFrame, cells: int, least: int, words=None) -> Bits:
-    """Bits of the merged sketches over (lang, text): of words, or, given the words' bits, of longer n-grams."""
+def sketch(rows: DataFrame, cells: int, least: int, known: list) -> Bits:
+    """Bits of the merged sketches over (lang, text): of words, of pairs, or of longer n-grams, as one, two or none are ``known``."""
+    wide = 2 * cells // BLOCKS
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = _Cells(cells)
         for batch in batches:
             for lang, chunk in chunks(batch):
                 grams = Grams(chunk, xxhash.xxh32_intdigest(lang))
-                if words is None:
+                if not known:
                     held.add(grams.hashes[1:], np.bincount(grams.ids, minlength=len(grams.words))[1:])
-                else:
-                    usable = words.value.hold(grams.hashes)
-                    usable[0] = False
-                    starts = np.flatnonzero(usable[grams.ids])
-                    hashes = grams.hashes[grams.ids[starts]]
-                    for size in range(2, WORDS + 1):
-                        starts, hashes = grams.longer(starts, hashes, size, usable)
+                    continue
+                for size, _, hashes in grams.survivors([b.value for b in known]):
+                    if min(size - 1, 2) == len(known):
                         held.add(*np.unique(hashes, return_counts=True))
-                        if held.full():
-                            yield from held.blocks()
+                    elif size > len(known):
+                        break
+                if held.full():
+                    yield from held.blocks()
             if held.full():
                 yield from held.blocks()
         yield from held.blocks()
@@ -168,26 +210,25 @@ def sketch(rows: DataFrame, cells: int, least: int, words=None) -> Bits:
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, offsets, counts in zip(batch["block"], batch["offsets"], batch["counts"]):
+            for block, spans, offsets, counts in zip(batch["block"], batch["spans"], batch["offsets"], batch["counts"]):
                 if block not in held:
-                    held[block] = np.zeros(BLOCK, dtype=np.uint32)
-                dense = held[block]
-                at = np.frombuffer(offsets, "<u2")  # each cell once
+                    held[block] = np.zeros(wide, dtype=np.uint32)
+                dense, at = held[block], cells_in(spans, offsets)  # each cell once
                 dense[at] = np.minimum(dense[at] + np.frombuffer(counts, "<u2"), 1 << 30)
         for block, dense in held.items():
             yield pd.DataFrame({"block": [block], "bits": [np.packbits(dense >= least).tobytes()]})
 
-    sent = rows.mapInPandas(add, "block long, offsets binary, counts binary")
+    sent = rows.mapInPandas(add, "block long, spans binary, offsets binary, counts binary")
     merged = sent.repartition(common.tasks(rows), "block").mapInPandas(merge, "block long, bits binary")
     packed = np.zeros(2 * cells // 8, dtype=np.uint8)
     for r in merged.toLocalIterator():  # at most 2 * MOST_CELLS bits
-        packed[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
+        packed[r.block * wide // 8 : (r.block + 1) * wide // 8] = np.frombuffer(r.bits, np.uint8)
     return Bits(cells, packed)
 
 
-def exact_counts(rows: DataFrame, words, longer) -> DataFrame:
-    """(lang, phrase, n): occurrences of all n-grams that survive both sketches with all their parts; the phrase '' stands
-    for all words of a language."""
+def exact_counts(rows: DataFrame, known: list) -> DataFrame:
+    """(lang, phrase, n): occurrences of all n-grams that survive the sketches with all their parts; the phrase '' stands for
+    all words of a language."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
@@ -201,7 +242,7 @@ def exact_counts(rows: DataFrame, words, longer) -> DataFrame:
 
         for batch in batches:
             for lang, chunk in chunks(batch):
-                _count(Grams(chunk, xxhash.xxh32_intdigest(lang)), words.value, longer.value, held[lang])
+                _count(Grams(chunk, xxhash.xxh32_intdigest(lang)), [b.value for b in known], held[lang])
                 if sum(map(len, held.values())) > HELD_PHRASES:
                     yield from hand_on()
         yield from hand_on()
@@ -209,32 +250,24 @@ def exact_counts(rows: DataFrame, words, longer) -> DataFrame:
     return rows.mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _count(grams: Grams, words: Bits, longer: Bits, counts: dict[bytes, int]) -> None:
+def _count(grams: Grams, known: list[Bits], counts: dict[bytes, int]) -> None:
     ids, tokens = grams.ids, grams.tokens
-    usable = words.hold(grams.hashes)
-    usable[0] = False
+    usable = grams.usable(known[0])
     occurs = np.bincount(ids, minlength=len(grams.words))
     counts[b""] += int(occurs[1:].sum())
     for k in np.flatnonzero(usable & (occurs > 0)):
         counts[grams.words[k]] += int(occurs[k])
-    starts = np.flatnonzero(usable[ids])
-    hashes, rank = grams.hashes[ids[starts]], ids[starts]
-    for size in range(2, WORDS + 1):
-        before, rank_before = starts, rank
-        starts, hashes = grams.longer(before, hashes, size, usable)
-        fine = longer.hold(hashes)
-        if size > 2:  # the n-gram without its first word survives as well
-            there = np.zeros(len(ids) + 1, dtype=bool)
-            there[before] = True
-            fine &= there[starts + 1]
-        starts, hashes = starts[fine], hashes[fine]
+    before = np.flatnonzero(usable[ids])
+    rank = ids[before]
+    for size, starts, _ in grams.survivors(known):
         if not len(starts):
             return
         # an n-gram's number is that of the one before it and its last word: no hash decides what is equal
-        key = rank_before[np.searchsorted(before, starts)] << 32 | ids[starts + size - 1]
+        key = rank[np.searchsorted(before, starts)] << 32 | ids[starts + size - 1]
         _, first, rank, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         for at, times in zip(starts[first].tolist(), n.tolist()):
             counts[b" ".join(tokens[at : at + size])] += times
+        before = starts
 
 
 def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
@@ -242,12 +275,12 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least:
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), common.text_or_empty(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = min(MOST_CELLS, max(FEWEST_CELLS, 1 << (size // BYTES_PER_CELL).bit_length()))
-    context = df.sparkSession.sparkContext
-    words = context.broadcast(sketch(rows, cells, least))
-    longer = context.broadcast(sketch(rows, cells, least, words))
-    found = common.shared_table(exact_counts(rows, words, longer).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
-    words.destroy()
-    longer.destroy()
+    known: list = []
+    for _ in range(3):
+        known.append(df.sparkSession.sparkContext.broadcast(sketch(rows, cells, least, known)))
+    found = common.shared_table(exact_counts(rows, known).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    for bits in known:
+        bits.destroy()
     return found
 
 

@@ -39,7 +39,7 @@ STEP = 0.06
 WARM_DOCUMENTS, WARM_BATCHES = 300, 250
 SEED = 12
 #: Words whose counts every task knows, besides those that are symbols (8 bytes of hash, 8 of count, 2 of symbol each).
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 1_000_000
 #: Different words that a task counts before it hands them on, and bytes of text that it works on together.
 HELD_WORDS = 1_000_000
 CHUNK_BYTES = 4_000_000
@@ -154,15 +154,14 @@ def vocabulary(words: DataFrame, known_words: int = KNOWN_WORDS) -> Vocabulary:
         if held > known_words:
             break
         least = r.n
-    known = own.where((F.col("n") >= least) | named).select("hash", "ending", "n").toPandas()
-    hashes = known["hash"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    symbol_of = {r.hash: 1 + k for k, r in enumerate(first)}
-    ending_symbol = {r.ending: 1 + len(first) + k for k, r in enumerate(endings)}
+    known = own.where((F.col("n") >= least) | named).select("hash", "ending", "n").toArrow()
+    hashes, ending, n = (known[c].to_numpy() for c in ("hash", "ending", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    hashes, ending, n = hashes[order], ending[order], n[order]
     size = 2 + len(first) + len(endings)
-    symbols = known["ending"].map(ending_symbol).fillna(size - 1).to_numpy(np.int64)
-    top = known["hash"].map(symbol_of)
-    symbols = np.where(top.notna(), top.fillna(0).to_numpy(np.int64), symbols)
+    ending_symbol = {r.ending: 1 + len(first) + k for k, r in enumerate(endings)}
+    symbols = _replaced(ending, ending_symbol, np.full(len(hashes), size - 1, dtype=np.uint16))
+    symbols = _replaced(hashes, {r.hash: 1 + k for k, r in enumerate(first)}, symbols)
     weight, counts = np.zeros(size), np.zeros(size, dtype=np.int64)
     for r in endings:
         counts[ending_symbol[r.ending]], weight[ending_symbol[r.ending]] = r.n, r.n + 0.5 * (r.kinds + 1)
@@ -170,7 +169,16 @@ def vocabulary(words: DataFrame, known_words: int = KNOWN_WORDS) -> Vocabulary:
     weight[-1] = counts[-1] + 0.5 * (whole.kinds - sum(r.kinds for r in endings) + 1)
     counts[1 : 1 + len(first)] = [r.n for r in first]
     counts[END] = (total.n or 0) - counts.sum()
-    return Vocabulary(total.n or 0, total.kinds, least, hashes[order], known["n"].to_numpy(np.int64)[order], symbols[order], ending_symbol, weight, counts)
+    return Vocabulary(total.n or 0, total.kinds, least, hashes.view(np.uint64), n, symbols, ending_symbol, weight, counts)
+
+
+def _replaced(keys: np.ndarray, by: dict[int, int], otherwise: np.ndarray) -> np.ndarray:
+    """The value of each key; where ``by`` has none, that of ``otherwise``."""
+    if not by or not len(keys):
+        return otherwise
+    known = np.array(sorted(by), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, np.array([by[k] for k in known.tolist()], dtype=np.uint16)[at], otherwise)
 
 
 # the model -------------------------------------------------------------------------------------------------------------
