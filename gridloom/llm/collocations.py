@@ -22,6 +22,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,13 +37,13 @@ NO_LANG = "und"
 MOST_CELLS = 1 << 29
 FEWEST_CELLS = 1 << 16
 BYTES_PER_CELL = 8
-#: Blocks that the cells of both rows are merged in, and cells whose offset fits 16 bits; a task sends their counts as
-#: unsigned 16-bit numbers, cut off at 65,535.
+#: Blocks that the cells of both rows are merged in.
 BLOCKS = 1 << 11
-SPAN = 1 << 16
+#: Parts that a language's phrases are dealt to.
+BUCKETS = 256
 #: Cells with counts, and phrases, that a task holds before it hands them on.
 HELD_CELLS = 3_000_000
-HELD_PHRASES = 300_000
+HELD_PHRASES = 500_000
 #: Bytes of text worked on together.
 CHUNK_BYTES = 2_000_000
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -161,27 +162,26 @@ class _Cells:
         return at[first], np.add.reduceat(n[order], first)
 
     def blocks(self) -> Iterator[pd.DataFrame]:
-        """Rows of block, spans (how many cells of each stretch of ``SPAN`` cells follow), offsets and counts."""
+        """Rows of block, cells (each one's distance from the one before it, compressed) and their counts."""
         if not self._parts:
             return
         at, n = self._merged()
         self._parts, self._size = [], 0
         wide = 2 * self._cells // BLOCKS
         block, first = np.unique(at // wide, return_index=True)
-        ends = [*first[1:], len(at)]
-        offsets, counts, span = (at % wide % SPAN).astype("<u2"), np.minimum(n, 0xFFFF).astype("<u2"), at % wide // SPAN
-        for k in range(0, len(block), 256):
-            rows = [slice(a, b) for a, b in zip(first[k : k + 256], ends[k : k + 256])]
-            yield pd.DataFrame({
-                "block": block[k : k + 256].astype(np.int64), "spans": [np.bincount(span[r], minlength=-(-wide // SPAN)).astype("<u4").tobytes() for r in rows],
-                "offsets": [offsets[r].tobytes() for r in rows], "counts": [counts[r].tobytes() for r in rows],
-            })
+        rows = [slice(a, b) for a, b in zip(first, [*first[1:], len(at)])]
+        inner, counts = at % wide, np.minimum(n, 1 << 30).astype("<u4")
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            yield pd.DataFrame({"block": block[k : k + 256].astype(np.int64), "cells": [_packed(np.diff(inner[r], prepend=0)) for r in part], "counts": [_packed(counts[r]) for r in part]})
 
 
-def cells_in(spans: bytes, offsets: bytes) -> np.ndarray:
-    """Places of the cells of a row inside their block."""
-    sizes = np.frombuffer(spans, "<u4")
-    return np.repeat(np.arange(len(sizes)) * SPAN, sizes) + np.frombuffer(offsets, "<u2")
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
 
 
 def sketch(rows: DataFrame, cells: int, least: int, known: list) -> Bits:
@@ -210,15 +210,15 @@ def sketch(rows: DataFrame, cells: int, least: int, known: list) -> Bits:
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, spans, offsets, counts in zip(batch["block"], batch["spans"], batch["offsets"], batch["counts"]):
+            for block, at, counts in zip(batch["block"], batch["cells"], batch["counts"]):
                 if block not in held:
                     held[block] = np.zeros(wide, dtype=np.uint32)
-                dense, at = held[block], cells_in(spans, offsets)  # each cell once
-                dense[at] = np.minimum(dense[at] + np.frombuffer(counts, "<u2"), 1 << 30)
+                dense, at = held[block], np.cumsum(_unpacked(at), dtype=np.int64)  # each cell once
+                dense[at] = np.minimum(dense[at] + _unpacked(counts), 1 << 30)
         for block, dense in held.items():
             yield pd.DataFrame({"block": [block], "bits": [np.packbits(dense >= least).tobytes()]})
 
-    sent = rows.mapInPandas(add, "block long, spans binary, offsets binary, counts binary")
+    sent = rows.mapInPandas(add, "block long, cells binary, counts binary")
     merged = sent.repartition(common.tasks(rows), "block").mapInPandas(merge, "block long, bits binary")
     packed = np.zeros(2 * cells // 8, dtype=np.uint8)
     for r in merged.toLocalIterator():  # at most 2 * MOST_CELLS bits
@@ -226,18 +226,20 @@ def sketch(rows: DataFrame, cells: int, least: int, known: list) -> Bits:
     return Bits(cells, packed)
 
 
-def exact_counts(rows: DataFrame, known: list) -> DataFrame:
-    """(lang, phrase, n): occurrences of all n-grams that survive the sketches with all their parts; the phrase '' stands for
-    all words of a language."""
+def exact_counts(rows: DataFrame, known: list, least: int) -> DataFrame:
+    """(lang, phrase, n): occurrences of all n-grams that survive the sketches with all their parts, if there are ``least``;
+    the phrase '' stands for all words of a language. Tasks send many phrases in a row, dealt by the phrase's hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
         def hand_on() -> Iterator[pd.DataFrame]:
             for lang, counts in held.items():
-                phrases, n = list(counts), np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                for k in range(0, len(phrases), 50_000):
-                    yield pd.DataFrame({"lang": lang, "phrase": [p.decode("utf-8", "replace") for p in phrases[k : k + 50_000]], "n": n[k : k + 50_000]})
+                parts: dict[int, list[bytes]] = defaultdict(list)
+                for phrase in sorted(counts):
+                    parts[xxhash.xxh32_intdigest(phrase) % BUCKETS].append(phrase)
+                times = [np.fromiter(map(counts.__getitem__, phrases), dtype="<i8", count=len(phrases)) for phrases in parts.values()]
+                yield pd.DataFrame({"lang": lang, "bucket": list(parts), "phrases": [zstandard.compress(b"\n".join(x), 1) for x in parts.values()], "n": [zstandard.compress(x.tobytes(), 1) for x in times]})
             held.clear()
 
         for batch in batches:
@@ -247,7 +249,20 @@ def exact_counts(rows: DataFrame, known: list) -> DataFrame:
                     yield from hand_on()
         yield from hand_on()
 
-    return rows.mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        for batch in batches:
+            for lang, phrases, n in zip(batch["lang"], batch["phrases"], batch["n"]):
+                counts = held[lang]
+                for phrase, times in zip(zstandard.decompress(phrases).split(b"\n"), np.frombuffer(zstandard.decompress(n), "<i8").tolist()):
+                    counts[phrase] += times
+        for lang, counts in held.items():
+            kept = [(p.decode("utf-8", "replace"), n) for p, n in counts.items() if n >= least or not p]
+            for k in range(0, len(kept), 50_000):
+                yield pd.DataFrame(kept[k : k + 50_000], columns=["phrase", "n"]).assign(lang=lang)
+
+    sent = rows.mapInPandas(run, "lang string, bucket int, phrases binary, n binary")
+    return sent.repartition(common.tasks(rows), "lang", "bucket").mapInPandas(add, "lang string, phrase string, n long")
 
 
 def _count(grams: Grams, known: list[Bits], counts: dict[bytes, int]) -> None:
@@ -278,7 +293,7 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least:
     known: list = []
     for _ in range(3):
         known.append(df.sparkSession.sparkContext.broadcast(sketch(rows, cells, least, known)))
-    found = common.shared_table(exact_counts(rows, known).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    found = common.shared_table(exact_counts(rows, known, least), "phrases")
     for bits in known:
         bits.destroy()
     return found
@@ -319,8 +334,7 @@ def subsumed(counts: DataFrame, percent: int = 80) -> DataFrame:
 def mine(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases by score, then count, then bytes.
 
-    A null language counts as ``und``, a null text as empty; texts without a phrase that occurs ``least`` times (at most
-    65,535 can be asked for) give no rows. Repeated rows count as often as they occur. Only text and lang are read.
+    A null language counts as ``und``, a null text as empty; texts without a phrase that occurs ``least`` times give no rows. Repeated rows count as often as they occur. Only text and lang are read.
     """
     counts = phrase_counts(df, text, lang, least)
     kept = scored(counts).join(subsumed(counts), ["lang", "phrase"], "left_anti")

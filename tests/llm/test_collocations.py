@@ -84,8 +84,8 @@ def test_sketch_never_underestimates(monkeypatch, bits_of_cells):
         if held.full():
             blocks += held.blocks()
     for frame in [*blocks, *held.blocks()]:
-        for block, spans, offsets, counts in zip(frame["block"], frame["spans"], frame["offsets"], frame["counts"]):
-            dense[block * (2 * cells // C.BLOCKS) + C.cells_in(spans, offsets)] += np.frombuffer(counts, "<u2")
+        for block, at, counts in zip(frame["block"], frame["cells"], frame["counts"]):
+            dense[block * (2 * cells // C.BLOCKS) + np.cumsum(C._unpacked(at), dtype=np.int64)] += C._unpacked(counts)
     assert len(blocks) > 1 and dense.sum() == 2 * n.sum()
     estimate = dense[C.cells_of(keys, cells)].min(axis=0)
     assert (estimate >= n).all()
