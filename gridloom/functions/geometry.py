@@ -147,6 +147,11 @@ def ring_box(ring: Column) -> dict[str, Column]:
     return {"min_x": F.array_min(xs), "min_y": F.array_min(ys), "max_x": F.array_max(xs), "max_y": F.array_max(ys)}
 
 
+def rings_box(rings: Column) -> dict[str, Column]:
+    """The box of all rings of a figure."""
+    return ring_box(F.flatten(rings))
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd rule, half open: left and lower edges are inside, right and upper are not."""
 
@@ -158,6 +163,11 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.zip_with(ring, ring_next(ring), crosses), F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Inside an odd number of a figure's rings: in its shell and in none of its holes."""
+    return F.aggregate(F.transform(rings, lambda ring: F.when(in_ring(x, y, ring), 1).otherwise(0)), F.lit(0), lambda s, v: s + v) % 2 == 1
+
+
 def point_segment_d2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Squared distance from a point to a segment."""
     dx, dy = bx - ax, by - ay
@@ -187,6 +197,16 @@ def rings_d2(left: Column, right: Column) -> Column:
     return F.when(inside, F.lit(0.0)).otherwise(F.array_min(pairs))
 
 
+def figures_d2(left: Column, right: Column) -> Column:
+    """Squared distance between two figures, arrays of rings: 0 if they meet or one holds the other outside its holes."""
+    edges = lambda rings: F.flatten(F.transform(rings, ring_edges))
+    le, re = edges(left), edges(right)
+    near = F.array_min(F.transform(le, lambda e: F.array_min(F.transform(re, lambda f: segments_d2(e["a"], e["b"], f["a"], f["b"])))))
+    corner = lambda rings: rings[0][0]
+    inside = in_rings(corner(left)["x"], corner(left)["y"], right) | in_rings(corner(right)["x"], corner(right)["y"], left)
+    return F.when(inside, F.lit(0.0)).otherwise(near)
+
+
 def clip_half(ring: Column, inside, cut) -> Column:
     """One step of Sutherland and Hodgman's clip: the part of a ring on one side of a line."""
     pairs = F.zip_with(ring, ring_next(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
