@@ -5,7 +5,8 @@ A ring is ``array<struct<x:double,y:double>>``, not closed. Boxes are four colum
 
 from __future__ import annotations
 
-from math import cos, log, pi, radians, sin, sqrt, tan
+from dataclasses import dataclass
+from math import cos, isfinite, log, pi, radians, sin, sqrt, tan
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,6 +78,37 @@ def isometric_inverse(view: Column, sx: Column, sy: Column) -> tuple[Column, Col
     return east * NORTH_NORTH + north * NORTH_EAST, north * NORTH_NORTH - east * NORTH_EAST
 
 
+@dataclass(frozen=True)
+class Camera:
+    """An angle in degrees and the scales of width, ground and height, each between a half and two."""
+
+    angle: float = 0.0
+    x_scale: float = 1.0
+    ground_scale: float = 1.0
+    height_scale: float = 1.0
+
+    def __post_init__(self):
+        if not all(isfinite(s) and 0.5 <= s <= 2 for s in (self.x_scale, self.ground_scale, self.height_scale)) or not isfinite(self.angle):
+            raise ValueError("a camera's scales lie between 0.5 and 2, and its angle is finite")
+
+    def project(self, x: Column, y: Column, height: Column) -> tuple[Column, Column]:
+        """Screen position of a point, the street grid turned by the angle."""
+        c, s = cos(radians(self.angle)), sin(radians(self.angle))
+        east, north = x * NORTH_NORTH - y * NORTH_EAST, x * NORTH_EAST + y * NORTH_NORTH
+        e, n = east * c + north * s, north * c - east * s
+        return (e + n) * self.x_scale, (e - n) * (0.5 * self.ground_scale) - height * self.height_scale
+
+    def ground(self, sx: Column, sy: Column) -> tuple[Column, Column]:
+        """The place on the ground (height 0) that a screen position shows. The grid's north is a unit vector only to seven
+        digits, so its length is divided out."""
+        c, s = cos(radians(self.angle)), sin(radians(self.angle))
+        half, down = sx / (2 * self.x_scale), sy / self.ground_scale
+        e, n = half + down, half - down
+        east, north = e * c - n * s, e * s + n * c
+        square = NORTH_EAST**2 + NORTH_NORTH**2
+        return (east * NORTH_NORTH + north * NORTH_EAST) / square, (north * NORTH_NORTH - east * NORTH_EAST) / square
+
+
 def view_depth(view: Column, x: Column, y: Column, height: Column) -> Column:
     return isometric(view, x, y, F.lit(0.0))[1] + height
 
@@ -197,6 +229,17 @@ def rings_d2(left: Column, right: Column) -> Column:
     return F.when(inside, F.lit(0.0)).otherwise(F.array_min(pairs))
 
 
+def outward_normal(ring: Column, a: Column, b: Column, reach: float) -> Column:
+    """Unit normal (x, y) of the ring's edge from a to b that points outwards, by a probe on either side of its middle; null where
+    the edge has no length or both probes lie on the same side of the ring."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    length = F.nullif(F.hypot(dx, dy), F.lit(0.0))
+    nx, ny = -dy / length, dx / length
+    mx, my = (a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2
+    left, right = in_ring(mx + nx * reach, my + ny * reach, ring), in_ring(mx - nx * reach, my - ny * reach, ring)
+    return F.when(left & ~right, F.struct((-nx).alias("x"), (-ny).alias("y"))).when(right & ~left, F.struct(nx.alias("x"), ny.alias("y")))
+
+
 def figures_d2(left: Column, right: Column) -> Column:
     """Squared distance between two figures, arrays of rings: 0 if they meet or one holds the other outside its holes."""
     edges = lambda rings: F.flatten(F.transform(rings, ring_edges))
