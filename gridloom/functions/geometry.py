@@ -53,6 +53,21 @@ def lambert(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta) + FALSE_EASTING, F.lit(RADIUS_ORIGIN + FALSE_NORTHING) - rho * F.cos(theta)
 
 
+def lambert_inverse(x: Column, y: Column, rounds: int = 6) -> tuple[Column, Column]:
+    """Metres east and north to longitude and latitude in degrees. The latitude solves an equation in itself; each round brings it
+    nearer by a factor of some hundreds."""
+    east, down = x - FALSE_EASTING, F.lit(RADIUS_ORIGIN + FALSE_NORTHING) - y
+    t = F.pow(F.hypot(east, down) / RADIUS_SCALE, F.lit(1 / CONE))
+    start = F.lit(pi / 2) - F.atan(t) * 2
+
+    def nearer(phi: Column, _: Column) -> Column:
+        es = F.sin(phi) * ECCENTRICITY
+        return F.lit(pi / 2) - F.atan(t * F.pow((1 - es) / (1 + es), F.lit(ECCENTRICITY / 2))) * 2
+
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, nearer)
+    return F.degrees(F.atan2(east, down) / CONE) + CENTRAL_MERIDIAN, F.degrees(phi)
+
+
 VIEWS = ("SE", "SW", "NW", "NE")
 
 

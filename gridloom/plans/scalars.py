@@ -31,9 +31,13 @@ def conic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.table(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-CONIC = f"""WITH p AS (SELECT s_suppkey, s_suppkey%60*0.01-75.4 AS lon, radians(s_suppkey%37*0.01+39.8) AS phi FROM supplier),
-    t AS (SELECT s_suppkey, {geo.RADIUS_SCALE!r}*pow(tan(pi()/4-phi/2)/pow((1-{geo.ECCENTRICITY!r}*sin(phi))/(1+{geo.ECCENTRICITY!r}*sin(phi)), {geo.ECCENTRICITY / 2!r}), {geo.CONE!r}) AS rho, radians(lon-({geo.CENTRAL_MERIDIAN!r}))*{geo.CONE!r} AS th FROM p)
-    SELECT s_suppkey, round(rho*sin(th)+600000, 4) AS x, round({geo.RADIUS_ORIGIN!r}-rho*cos(th), 4) AS y FROM t"""
+# the cone, its scale and the origin's radius follow from the ellipsoid and the parallels, worked out here once more
+CONIC = """WITH z AS (SELECT 6378137.0::DOUBLE AS a, sqrt((2-1/298.257222101::DOUBLE)/298.257222101::DOUBLE) AS e, radians(39+56/60.0::DOUBLE) AS p1, radians(40+58/60.0::DOUBLE) AS p2, radians(39+20/60.0::DOUBLE) AS p0),
+    m AS (SELECT *, cos(p1)/sqrt(1-e*e*sin(p1)*sin(p1)) AS m1, cos(p2)/sqrt(1-e*e*sin(p2)*sin(p2)) AS m2, tan(pi()/4-p1/2)*pow((1+e*sin(p1))/(1-e*sin(p1)), e/2) AS t1, tan(pi()/4-p2/2)*pow((1+e*sin(p2))/(1-e*sin(p2)), e/2) AS t2, tan(pi()/4-p0/2)*pow((1+e*sin(p0))/(1-e*sin(p0)), e/2) AS t0 FROM z),
+    c AS (SELECT *, ln(m1/m2)/ln(t1/t2) AS n FROM m), k AS (SELECT *, a*m1/(n*pow(t1, n)) AS f FROM c),
+    p AS (SELECT s_suppkey, s_suppkey%60*0.01-75.4 AS lon, radians(s_suppkey%37*0.01+39.8) AS phi FROM supplier),
+    t AS (SELECT s_suppkey, f*pow(tan(pi()/4-phi/2)*pow((1+e*sin(phi))/(1-e*sin(phi)), e/2), n) AS rho, n*radians(lon+77.75) AS th, f*pow(t0, n) AS rho0 FROM p, k)
+    SELECT s_suppkey, round(600000+rho*sin(th), 4) AS x, round(rho0-rho*cos(th), 4) AS y FROM t"""
 
 
 def tag_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
