@@ -255,6 +255,18 @@ def outward_normal(ring: Column, a: Column, b: Column, reach: float) -> Column:
     return F.when(left & ~right, F.struct((-nx).alias("x"), (-ny).alias("y"))).when(right & ~left, F.struct(nx.alias("x"), ny.alias("y")))
 
 
+def rectangle_sides(ring: Column) -> Column:
+    """The four sides' lengths of a ring that is nearly a rectangle, else null: corners within 0.16 of square (as a cosine), opposite
+    sides within 0.985 of parallel and within 0.12 of equal length."""
+    edges = F.zip_with(ring, ring_next(ring), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    length = lambda k: F.hypot(edges[k]["x"], edges[k]["y"])
+    dot = lambda k, m: F.abs(edges[k]["x"] * edges[m]["x"] + edges[k]["y"] * edges[m]["y"]) / F.nullif(length(k) * length(m), F.lit(0.0))
+    alike = lambda k, m: F.abs(length(k) - length(m)) <= F.greatest(length(k), length(m)) * 0.12
+    square = (dot(0, 1) <= 0.16) & (dot(1, 2) <= 0.16) & (dot(2, 3) <= 0.16) & (dot(3, 0) <= 0.16)
+    fine = square & (dot(0, 2) >= 0.985) & (dot(1, 3) >= 0.985) & alike(0, 2) & alike(1, 3)
+    return F.when(F.size(ring) == 4, F.when(fine, F.array(*[length(k) for k in range(4)])))
+
+
 def figures_d2(left: Column, right: Column) -> Column:
     """Squared distance between two figures, arrays of rings: 0 if they meet or one holds the other outside its holes."""
     edges = lambda rings: F.flatten(F.transform(rings, ring_edges))

@@ -252,10 +252,17 @@ def _oriented(df: DataFrame, keys: list[str], rings: str, tile: float, grid: int
     return boundary(sided, [*keys, "__row"], lambda side: F.pmod(F.col(f"{side}n"), F.lit(2)) == 1).select(*keys, *EDGE)
 
 
-def union(df: DataFrame, keys: list[str], rings: str = "rings", tile: float = TILE, grid: int = GRID) -> DataFrame:
-    """(keys, rings, area): what the rows of the same keys cover together. Rows are repaired first; opposite edges of
-    neighbours cancel."""
-    edges = _upward(_oriented(df, keys, rings, tile, grid), keys, {"w": F.lit(1)})
+def _wound(df: DataFrame, keys: list[str], rings: str, grid: int) -> DataFrame:
+    """Directed edges of valid figures: the first ring, the shell, turns left, holes turn right."""
+    turn = lambda r, k: F.when((g.signed_area(r) > 0) == (k == 0), r).otherwise(F.reverse(r))
+    return edges_of(df.select(*keys, F.transform(rings, turn).alias(rings)), keys, rings, grid)
+
+
+def union(df: DataFrame, keys: list[str], rings: str = "rings", tile: float = TILE, grid: int = GRID, valid: bool = False) -> DataFrame:
+    """(keys, rings, area): what the rows of the same keys cover together. Rows are repaired first, unless they are known to be
+    ``valid``, each a shell and its holes; opposite edges of neighbours cancel."""
+    edges = _wound(df, keys, rings, grid) if valid else _oriented(df, keys, rings, tile, grid)
+    edges = _upward(edges, keys, {"w": F.lit(1)})
     return overlay(edges.where("w <> 0"), keys, ["w"], lambda side: F.col(f"{side}w") > 0, tile, grid)
 
 

@@ -26,6 +26,30 @@ def roll_up(tiles: DataFrame, fill: int = 0, value: str = "value") -> DataFrame:
     return up.groupBy("z", "x", "y").agg(F.floor((F.sum(value) + (4 - F.count(F.lit(1))) * fill) / 4).cast("long").alias(value))
 
 
+def roll_up_pixels(pixels: DataFrame, side: int, fill: dict[str, int]) -> DataFrame:
+    """The level above, as pixels (z, x, y, px, py and the channels that ``fill`` names): four tiles side by side are halved with a
+    triangle filter, whose weights are 1, 3, 3, 1 along either axis and less at the picture's border. Absent quadrants count as
+    ``fill``; a parent with no child is absent."""
+    channels = list(fill)
+    placed = pixels.select(
+        (F.col("z") - 1).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"),
+        ((F.col("x") % 2) * side + F.col("px")).alias("gx"), ((F.col("y") % 2) * side + F.col("py")).alias("gy"), *channels,
+    )
+
+    def reached(g: str) -> Column:
+        own, other = F.floor(F.col(g) / 2), F.floor(F.col(g) / 2) + F.when(F.col(g) % 2 == 1, 1).otherwise(-1)
+        return F.array(F.struct(own.alias("at"), F.lit(3).alias("w")), F.struct(other.alias("at"), F.lit(1).alias("w")))
+
+    dealt = placed.withColumn("a", F.explode(reached("gx"))).where(F.col("a.at").between(0, side - 1)).withColumn("b", F.explode(reached("gy"))).where(F.col("b.at").between(0, side - 1))
+    weight = F.col("a.w") * F.col("b.w")
+    summed = dealt.groupBy("z", "x", "y", F.col("a.at").alias("px"), F.col("b.at").alias("py")).agg(F.sum(weight).alias("w"), *[F.sum(weight * F.col(c)).alias(c) for c in channels])
+    every = placed.select("z", "x", "y").distinct().withColumn("px", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long")))).withColumn("py", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))))
+    edge = lambda p: F.when(F.col(p).isin(0, side - 1), 7).otherwise(8)
+    whole = edge("px") * edge("py")
+    joined = every.join(summed, ["z", "x", "y", "px", "py"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    return joined.select("z", "x", "y", "px", "py", *[F.round((F.coalesce(F.col(c), F.lit(0)) + (whole - F.col("w")) * fill[c]) / whole).cast("int").alias(c) for c in channels])
+
+
 def pyramid(leaves: DataFrame, to_level: int = 0, from_level: int = 8) -> DataFrame:
     """All levels. Each is at most a quarter of the one below, so the loop is bounded by the depth, not by the data."""
     level, out = leaves, leaves

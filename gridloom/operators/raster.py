@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import color as C
+
 
 def nearest_depth(fragments: DataFrame, keys: list[str], color: str, depth: str, order: str) -> DataFrame:
     """Per pixel the colour of the greatest depth; of equal depths the first written wins."""
@@ -56,6 +58,49 @@ def mode_window(df: DataFrame, keys: list[str], bin_: str, reach: int = 2, share
     return best.join(total, keys).select(*keys, "__b.mode", "__b.within", "total", (F.col("__b.within") >= share * F.col("total")).alias("dominant"))
 
 
+def wall_tone(samples: DataFrame, keys: list[str], channels: tuple[str, str, str]) -> DataFrame:
+    """(keys, channels): the upper median of each channel over the samples that are neither dark nor glaring, softened; grey where
+    none is left. A group is as large as its number of different values."""
+    r, g, b = (F.col(c) for c in channels)
+    fine = samples.where((r * 3 + g * 6 + b).between(400, 2_200))
+    out = samples.select(*keys).distinct()
+    for c in channels:
+        out = out.join(ranked_median(fine, keys, c, f"__{c}"), keys, "left")
+    soft = C.soften(tuple(F.col(f"__{c}") for c in channels))
+    return out.select(*keys, *[F.coalesce(v, F.lit(128)).cast("int").alias(c) for c, v in zip(channels, soft)])
+
+
+def neighbourhood_mode(counts: DataFrame, reach: int = 3, window: int = 2, share: float = 0.6) -> DataFrame:
+    """(row, col, mode, within, total, level) from (row, col, bin, n): for each cell that has any within ``reach`` rows and columns, the bin
+    around which, ``window`` bins either way, most of them lie, ties to the smaller; ``level``, the mean bin of those, is null unless
+    they are ``share`` of all. Rows are summed first, then columns: a cell is copied twice 2 * reach + 1 times, not its square."""
+    spread = counts.select("row", "col", "bin", "n")
+    for axis in ("row", "col"):
+        spread = spread.withColumn(axis, F.explode(F.sequence(F.col(axis) - reach, F.col(axis) + reach))).groupBy("row", "col", "bin").agg(F.sum("n").alias("n"))
+    dealt = spread.select("row", "col", F.explode(F.sequence(F.col("bin") - window, F.col("bin") + window)).alias("mode"), "n", (F.col("n") * F.col("bin")).alias("weight"), F.col("bin"))
+    around = dealt.groupBy("row", "col", "mode").agg(F.sum("n").alias("within"), F.sum("weight").alias("weight"), F.bool_or(F.col("mode") == F.col("bin")).alias("own")).where("own")
+    best = around.groupBy("row", "col").agg(F.max_by(F.struct("mode", "within", "weight"), F.struct("within", -F.col("mode"))).alias("b"))
+    total = spread.groupBy("row", "col").agg(F.sum("n").alias("total"))
+    level = F.when(F.col("b.within") >= share * F.col("total"), F.col("b.weight") / F.col("b.within"))
+    return best.join(total, ["row", "col"]).select("row", "col", "b.mode", "b.within", "total", level.alias("level"))
+
+
+def picture_audit(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Percent of neighbours, along rows and down columns, that are equal, and of 2 x 2 squares of one value. Neighbours meet in
+    one group per square: a pixel is copied to the four squares it belongs to."""
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    dealt = pixels.select(*keys, "row", "col", value).withColumn("o", corner).select(*keys, (F.col("row") - F.col("o.i")).alias("row"), (F.col("col") - F.col("o.j")).alias("col"), (F.col("o.i") * 2 + F.col("o.j")).alias("at"), value)
+    v = [F.max(F.when(F.col("at") == k, F.col(value))).alias(f"v{k}") for k in range(4)]
+    square = dealt.groupBy(*keys, "row", "col").agg(*v)
+    right, down = F.col("v0").isNotNull() & F.col("v1").isNotNull(), F.col("v0").isNotNull() & F.col("v2").isNotNull()
+    whole = right & down & F.col("v3").isNotNull()
+    one = whole & (F.col("v0") == F.col("v1")) & (F.col("v0") == F.col("v2")) & (F.col("v0") == F.col("v3"))
+    percent = lambda a, b: F.round(100.0 * F.sum(a) / F.nullif(F.sum(b), F.lit(0)), 4)
+    n = lambda c: c.cast("long")
+    equal = n(right & (F.col("v0") == F.col("v1"))) + n(down & (F.col("v0") == F.col("v2")))
+    return square.groupBy(*keys).agg(percent(equal, n(right) + n(down)).alias("equal_percent"), percent(n(one), n(whole)).alias("uniform_percent"))
+
+
 def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Bits of the histogram of ``value`` per group."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
@@ -93,6 +138,31 @@ def place_labels(labels: DataFrame, group: str, budget: int = 40) -> DataFrame:
     return labels.groupBy(group).applyInPandas(run, f"{group} {kind}, name string, place long")
 
 
+def spread_labels(labels: DataFrame, group: str, budget: int, cell: tuple[float, float] = (190.0, 84.0)) -> DataFrame:
+    """Placement in two passes over (group, rank, name, x, y and box): first one label at most for each cell of the screen, then whatever
+    fits beside those; by rank and name, no two boxes overlap, one label a name, ``budget`` at most. A viewport is one group: its
+    labels are bounded by the map, not by the data."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        placed, rows = [], []
+        names, cells = set(), set()
+        ordered = list(pdf.sort_values(["rank", "name"]).itertuples(index=False))
+        for first in (True, False):
+            for r in ordered:
+                at = (r.x // cell[0], r.y // cell[1])
+                if len(placed) >= budget or r.name in names or (first and at in cells):
+                    continue
+                if all(r.x1 <= p[0] or p[2] <= r.x0 or r.y1 <= p[1] or p[3] <= r.y0 for p in placed):
+                    placed.append((r.x0, r.y0, r.x1, r.y1))
+                    names.add(r.name)
+                    cells.add(at)
+                    rows.append((getattr(r, group), r.name, len(placed)))
+        return pd.DataFrame(rows, columns=[group, "name", "place"])
+
+    kind = labels.schema[group].dataType.simpleString()
+    return labels.groupBy(group).applyInPandas(run, f"{group} {kind}, name string, place long")
+
+
 def outside_fill(cells: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
     """Cells of each picture that the outside does not reach (covered ones and enclosed holes): keys, row, col. A picture
     has at most ``width * height`` cells, a fixed bound; pictures are spread over tasks."""

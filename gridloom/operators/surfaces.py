@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions import geometry as g
+from . import polygons as P
 from . import spatial as S
 
 # Canopy heights by clearance, in metres; the reach of a wall's probe; wall colours by kind of building.
@@ -97,3 +98,13 @@ def wall_material(facade: C.Rgb, x: Column, y: Column, seed: Column, group_seed:
     mixed = lambda other, amount: C.scale(C.mix_columns(facade, other, amount), tone)
     of = {"rowhouse": mixed(row, 0.42), "industrial": mixed(_pick(INDUSTRIAL, block), 0.3), "high": mixed(_pick(HIGH_RISE, block), 0.18), "low": mixed(_pick(LOW_RISE, block), 0.24)}
     return tuple(F.when(kind == "rowhouse", of["rowhouse"][k]).when(kind == "industrial", of["industrial"][k]).when(kind.isin("mid_rise", "tower"), of["high"][k]).otherwise(of["low"][k]) for k in range(3))
+
+
+def shadow_polygons(prisms: DataFrame, keys: list[str], dx: float, dy: float, tile: float = P.TILE) -> DataFrame:
+    """(keys, rings, area): what the shadows of the prisms (keys, ring, bottom, top) of the same keys cover together. A prism's shadow
+    is its top's, and what each edge passes over from its bottom's place to its top's. Prisms without height cast none."""
+    at = lambda h: F.transform("ring", lambda p: g.point(p["x"] + F.col(h) * dx, p["y"] + F.col(h) * dy))
+    cast = prisms.where((F.col("top") > F.col("bottom")) & (F.size("ring") >= 3)).withColumns({"low": at("bottom"), "high": at("top")})
+    sides = F.zip_with(F.zip_with("low", g.ring_next(F.col("low")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.zip_with("high", g.ring_next(F.col("high")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda l, h: F.array(l["a"], l["b"], h["b"], h["a"]))
+    pieces = cast.select(*keys, F.explode(F.concat(F.array("high"), sides)).alias("piece"))
+    return P.union(pieces.select(*keys, F.array("piece").alias("rings")), keys, tile=tile, valid=True)

@@ -38,3 +38,9 @@ def evict(df: DataFrame, group: str, size: str, order: list, cap: int) -> DataFr
     total = F.sum(size).over(W.partitionBy(group))
     before = F.coalesce(F.sum(size).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return df.withColumns({"__total": total, "__before": before}).where(F.col("__total") - F.col("__before") > cap).drop("__total", "__before")
+
+
+def nearest_reported(df: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows by ``order``, each with omitted: how many rows were left out."""
+    total = df.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("omitted"))
+    return df.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))  # one row
