@@ -59,12 +59,22 @@ def edges_of(df: DataFrame, keys: list[str], rings: str = "rings", grid: int = G
     return edge.select(*keys, *[F.col(f"e.{p}.{c}").alias(n) for p, c, n in (("a", "x", "x0"), ("a", "y", "y0"), ("b", "x", "x1"), ("b", "y", "y1"))])
 
 
-def _boxed(df: DataFrame, prefix: str, keys: list[str]) -> tuple[DataFrame, tuple]:
-    """Edges with other names and their box, for a join."""
-    named = df.select(*[F.col(c).alias(prefix + c) for c in (*keys, *EDGE)])
-    x0, y0, x1, y1 = (F.col(prefix + c) for c in EDGE)
-    box = tuple(prefix + c for c in ("left", "low", "right", "high"))
-    return named.withColumns(dict(zip(box, (F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))))), box
+def _passed(df: DataFrame, names: tuple[str, str, str, str], size: int, shift: int = 0, pad: int = 1) -> DataFrame:
+    """``df`` repeated for each tile (i, j) that the edge between two points passes within ``pad`` steps: columns of tiles first, then
+    in each the stretch of rows that the edge has there, so a long edge is dealt by its length, not by its box."""
+    x0, y0, x1, y1 = (F.col(c) - shift for c in names)
+    left, right = F.least(x0, x1), F.greatest(x0, x1)
+    span = lambda a, b: F.explode(F.sequence(F.floor((a - pad) / size), F.floor((b + pad) / size)))
+    columns = df.withColumn("i", span(left, right))
+    slope = (y1 - y0) / F.nullif(x1 - x0, F.lit(0))
+    at = lambda x: F.coalesce(y0 + slope * (F.greatest(left, F.least(right, x)) - x0), y0)
+    a, b = at(F.col("i") * size - pad), at((F.col("i") + 1) * size + pad)
+    level = x0 == x1
+    return columns.withColumn("j", span(F.when(level, F.least(y0, y1)).otherwise(F.least(a, b) - 1), F.when(level, F.greatest(y0, y1)).otherwise(F.greatest(a, b) + 1)))
+
+
+def _prefixed(df: DataFrame, prefix: str, columns: tuple | list) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in columns], *[c for c in ("i", "j") if c in df.columns])
 
 
 def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -84,13 +94,14 @@ def _line_edges(line: Column) -> Column:
 
 def crossings(edges: DataFrame, keys: list[str], tile: float = TILE, grid: int = GRID) -> DataFrame:
     """(keys, x, y): where two edges of the same keys cross inside both, rounded to the grid."""
-    (a, abox), (b, bbox) = _boxed(edges, "a_", keys), _boxed(edges, "b_", keys)
+    dealt = _passed(edges, EDGE, max(1, round(tile * grid)))
+    a, b = _prefixed(dealt, "a_", [*keys, *EDGE]), _prefixed(dealt, "b_", [*keys, *EDGE])
     ax, ay, bx, by = F.col("a_x0"), F.col("a_y0"), F.col("b_x0"), F.col("b_y0")
     adx, ady, bdx, bdy = F.col("a_x1") - ax, F.col("a_y1") - ay, F.col("b_x1") - bx, F.col("b_y1") - by
     side = lambda dx, dy, x, y, px, py: F.signum(_cross(dx, dy, F.col(px) - x, F.col(py) - y))
     apart = (side(adx, ady, ax, ay, "b_x0", "b_y0") * side(adx, ady, ax, ay, "b_x1", "b_y1") < 0) & (side(bdx, bdy, bx, by, "a_x0", "a_y0") * side(bdx, bdy, bx, by, "a_x1", "a_y1") < 0)
     once = F.struct(*[F.col(f"a_{c}") for c in EDGE]) < F.struct(*[F.col(f"b_{c}") for c in EDGE])
-    met = S.bucket_join(a, b, abox, bbox, tile * grid, refine=_same("a_", "b_", keys) & once & apart)
+    met = a.join(b, ["i", "j"]).where(_same("a_", "b_", keys) & once & apart)  # a pair may meet in several tiles; its node is one
     t = _cross(bx - ax, by - ay, bdx, bdy) / F.nullif(_cross(adx, ady, bdx, bdy), F.lit(0))
     return met.select(*[F.col(f"a_{k}").alias(k) for k in keys], F.round(ax + adx * t).cast("long").alias("x"), F.round(ay + ady * t).cast("long").alias("y"))
 
@@ -104,13 +115,15 @@ def nodes_of(edges: DataFrame, keys: list[str], tile: float = TILE, grid: int =
 
 def split(edges: DataFrame, nodes: DataFrame, keys: list[str], weights: list[str], node_keys: list[str], tile: float = TILE, grid: int = GRID) -> DataFrame:
     """Merged edges (``_upward``) cut at every node whose grid square they pass. Nodes bear ``node_keys``, some of the keys."""
-    point = nodes.select(*[F.col(k).alias(f"n_{k}") for k in node_keys], F.col("x").alias("n_x"), F.col("y").alias("n_y"))
-    boxed, box = _boxed(edges, "e_", keys)
+    size = max(1, round(tile * grid))
+    point = nodes.select(*[F.col(k).alias(f"n_{k}") for k in node_keys], F.col("x").alias("n_x"), F.col("y").alias("n_y"), F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
+    boxed = _prefixed(_passed(edges, EDGE, size), "e_", [*keys, *EDGE])
     x, y = F.col("n_x") - F.col("e_x0"), F.col("n_y") - F.col("e_y0")
     dx, dy = F.col("e_x1") - F.col("e_x0"), F.col("e_y1") - F.col("e_y0")
     passes = 2 * F.abs(_cross(dx, dy, x, y)) <= F.abs(dx) + F.abs(dy)
     inner = ((x != 0) | (y != 0)) & ((x != dx) | (y != dy))
-    met = S.bucket_join(point, boxed, ("n_x", "n_y", "n_x", "n_y"), box, tile * grid, refine=_same("n_", "e_", node_keys) & passes & inner)
+    near = F.col("n_x").between(F.least("e_x0", "e_x1"), F.greatest("e_x0", "e_x1")) & F.col("n_y").between(F.least("e_y0", "e_y1"), F.greatest("e_y0", "e_y1"))
+    met = point.join(boxed, ["i", "j"]).where(_same("n_", "e_", node_keys) & near & passes & inner)
     stop = F.struct((x * dx + y * dy).alias("at"), F.col("n_x").alias("x"), F.col("n_y").alias("y"))
     stops = met.groupBy(*[f"e_{c}" for c in (*keys, *EDGE)]).agg(F.array_sort(F.collect_list(stop)).alias("stops"))  # nodes of one edge
     renamed = stops.select(*[F.col(f"e_{c}").alias(c) for c in (*keys, *EDGE)], F.transform("stops", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("stops"))
@@ -147,9 +160,7 @@ def windings(pieces: DataFrame, keys: list[str], weights: list[str], tile: float
     before = W.partitionBy(*keys, "j").orderBy("i").rangeBetween(W.unboundedPreceding, -1)
     corners = both.select(*keys, "i", "j", "asked", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"corner_{w}") for w in weights]).where("asked").drop("asked")
     # edges in every tile that they pass
-    dealt = edge.withColumn("i", F.explode(F.sequence(index(F.least(X0, X1)), index(F.greatest(X0, X1))))).withColumn("j", F.explode(F.sequence(index(Y0), index(Y1))))
-    cx, cy = F.col("i") * size + 1 + size // 2 - X0, F.col("j") * size + 1 + size // 2 - Y0
-    dealt = dealt.where(2 * F.abs(_cross(dx, dy, cx, cy)) <= size * (F.abs(dx) + F.abs(dy)))
+    dealt = _passed(edge, tuple(f"d_{c}" for c in EDGE), size, shift=1)
     on = lambda l, r: [F.col(f"{l}.{c}").eqNullSafe(F.col(f"{r}.{c}")) for c in (*keys, "i", "j")]
     c, low_y = F.col("p.i") * size + 1, F.col("p.j") * size + 1
     qx, qy = F.col("px"), F.col("py")
