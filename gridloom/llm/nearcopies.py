@@ -26,6 +26,8 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 32, 4
 #: Shingles that are hashed together.
 CHUNK = 8_192
+#: Pairs whose sets of shingles are held together.
+TOGETHER = 250
 _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _TIMES, _FLIP = _MIX[0] | np.uint64(1), _MIX[1]
 
@@ -88,13 +90,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
-            for side in "ab":
-                for s, text in zip(batch[side], batch[f"text_{side}"]):
-                    if s not in known:
-                        known[s] = shingles(text)
-            near = [similar(known[a], known[b]) for a, b in zip(batch["a"], batch["b"])]
-            yield batch.loc[near, ["a", "b"]]
+            for start in range(0, len(batch), TOGETHER):
+                part = batch.iloc[start : start + TOGETHER]
+                known: dict[int, np.ndarray] = {}
+                for side in "ab":
+                    for s, text in zip(part[side], part[f"text_{side}"]):
+                        if s not in known:
+                            known[s] = shingles(text)
+                near = [similar(known[a], known[b]) for a, b in zip(part["a"], part["b"])]
+                yield part.loc[near, ["a", "b"]]
 
     side = lambda x: texts.select(F.col("s").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
@@ -105,6 +109,12 @@ def _alike_in_size(pairs: DataFrame) -> DataFrame:
 
 
 def _groups(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``_grouped``, with texts in small batches: all its jobs with texts are over when it returns."""
+    with common.small_batches(df.sparkSession):
+        return _grouped(df, key, text)
+
+
+def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, text_hash, root (the smallest node reachable) and component_id of each row."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
     sketches = common.shared_table(_sketches(rows), "sketches")
