@@ -10,8 +10,8 @@ one large figure is dealt like many small ones:
 * ``windings``: how often the edges wind about either side of each piece. A tile knows the winding at its lower left
   corner, from a running sum along its row of tiles; from there a path inside the tile leads to the piece's middle.
 * ``boundary``: the pieces with the wanted inside on one side only, turned so that it is on their left.
-* ``rings_of``: at each node a piece is followed by the next one clockwise, so rings that touch in a point stay apart; rings
-  are components of these links, and each is put in order by itself.
+* ``rings_of``: at each node a piece is followed by the next one clockwise, so rings that touch in a point stay apart; the rings of
+  a large figure are components of these links, and each is put in order by itself.
 
 Directions at a node are told apart by their angle in double precision: edges may be some millions of grid steps long.
 """
@@ -31,6 +31,8 @@ from . import spatial as S
 GRID = 1000
 #: Side of a tile in units of the plane.
 TILE = 64.0
+#: Edges of a figure whose rings are put in order in one row; larger figures are parted into rings first.
+TOGETHER = 1_024
 EDGE = ("x0", "y0", "x1", "y1")
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -185,7 +187,7 @@ def boundary(sided: DataFrame, keys: list[str], inside) -> DataFrame:
 
 
 def _in_order(links) -> list:
-    """The rings of one component of links (id, next, x, y), each from its lowest, then leftmost point; straight points go."""
+    """The rings of some links (id, next, x, y), each from its lowest, then leftmost point; straight points go."""
     follow = {r["id"]: (r["next"], r["x"], r["y"]) for r in links}
     out = []
     while follow:
@@ -217,9 +219,13 @@ def rings_of(edges: DataFrame, keys: list[str], grid: int = GRID) -> DataFrame:
     around = W.partitionBy(*keys, "x", "y").orderBy(F.col("angle").desc())
     following = F.coalesce(F.lead("id").over(around), F.first("id").over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     links = graph.checkpoint(out.unionByName(into).withColumn("next", following).where("not leaves").select("id", "next"))
-    found = graph.connected_components(held.select("id"), links.select(F.col("id").alias("a"), F.col("next").alias("b")), "id")
-    rows = held.join(links, "id").join(found, "id")
-    one = rows.groupBy(*keys, "component").agg(F.collect_list(F.struct("id", "next", F.col("x0").alias("x"), F.col("y0").alias("y"))).alias("links"))  # one ring
+    # the few edges of a small figure are put in order together; those of a large one by ring
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    many = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER)
+    large = graph.checkpoint(held.alias("l").join(many.alias("r"), on, "left_semi").select("id") if keys else held.select("id"))
+    found = graph.connected_components(large, links.join(large, "id", "left_semi").select(F.col("id").alias("a"), F.col("next").alias("b")), "id")
+    rows = held.join(links, "id").join(found, "id", "left")
+    one = rows.groupBy(*keys, "component").agg(F.collect_list(F.struct("id", "next", F.col("x0").alias("x"), F.col("y0").alias("y"))).alias("links"))  # one ring, or one small figure
     ring = one.select(*keys, F.explode(_order_udf()("links")).alias("ring"))
     scaled = ring.withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] / grid).alias("x"), (p["y"] / grid).alias("y"))))
     return graph.checkpoint(scaled.withColumn("area", g.signed_area(F.col("ring"))))
