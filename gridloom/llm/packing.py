@@ -30,8 +30,10 @@ from .tokens import encoder
 CAPACITY = 2048
 #: Lengths above ``capacity // LARGE_PART`` are large.
 LARGE_PART = 8
-#: Room that a sequence of large lengths may leave for small ones, which are a small part of all tokens.
-SLACK = 0
+#: Room that a planned sequence of large lengths may leave for others. A plan is made with each of these, and the one with the
+#: fewest sequences stays, of equal ones the first: where lengths are few, configurations that leave room are the best there are;
+#: where there are many lengths, those that actual lengths fill leave more to choose from.
+SLACKS = (CAPACITY, 64, 8, 0)
 GROUPS = 48
 TOKENIZER = "word_bpe_49k.json"
 
@@ -89,11 +91,11 @@ def _grouped(lengths: np.ndarray, counts: np.ndarray, groups: int) -> list[tuple
     return out
 
 
-def _fill(slots: list[int], times: int, groups_of: dict[int, list[list[int]]], left: dict[int, int], large: list[int], capacity: int) -> list[tuple[list[int], int]]:
+def _fill(slots: list[int], times: int, groups_of: dict[int, list[list[int]]], left: dict[int, int], large: list[int], capacity: int, slack: int) -> list[tuple[list[int], int]]:
     """Puts actual lengths into ``times`` sequences of one configuration. All places but the last take members of their
     group, longest first; the last takes the longest large length still there that fits, and the place before it the
     member of its group with which that leaves least room. Ends early where a group has run out, or where more than
-    ``SLACK`` would be left: those lengths go best-fit."""
+    ``slack`` would be left: those lengths go best-fit."""
     out = []
     while times:
         content: list[int] = []
@@ -126,7 +128,7 @@ def _fill(slots: list[int], times: int, groups_of: dict[int, list[list[int]]], l
                 best = room - large[k], first, large[k]
                 if not best[0]:
                     break
-        if best is None or best[0] > SLACK:
+        if best is None or best[0] > slack:
             return out
         for length in best[1:]:
             if length:
@@ -141,6 +143,10 @@ def _fill(slots: list[int], times: int, groups_of: dict[int, list[list[int]]], l
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[list[int], int]]:
     """Bin classes: (lengths in order, number of sequences). Every piece of the histogram is in exactly one."""
+    return min((_planned(histogram, capacity, groups, slack) for slack in SLACKS), key=lambda bins: sum(n for _, n in bins))
+
+
+def _planned(histogram: dict[int, int], capacity: int, groups: int, slack: int) -> list[tuple[list[int], int]]:
     left = {int(k): int(v) for k, v in histogram.items() if v}
     if any(k < 1 or k > capacity for k in left):
         raise ValueError("a piece is longer than a sequence, or empty")
@@ -160,7 +166,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         found = sorted(configurations(sizes, demand, capacity), key=lambda c: -int(c[0] @ sizes))
         for pattern, times in found:
             slots = [int(s) for s, n in zip(sizes, pattern) for _ in range(n)][::-1]
-            open_bins += _fill(slots, times, groups_of, left, large.tolist(), capacity)
+            open_bins += _fill(slots, times, groups_of, left, large.tolist(), capacity, slack)
     rooms: dict[int, list[tuple[list[int], int]]] = {}
     for content, n in open_bins:
         rooms.setdefault(capacity - sum(content), []).append((content, n))

@@ -61,9 +61,10 @@ class UnitEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._units = units
-        # the text of an added token is that token wherever it stands, and what lies between is encoded on its own
-        added = {t.content: array("I", [k]).tobytes() for k, t in self._tokenizer.get_added_tokens_decoder().items()}
-        self._added, self._at_added = added, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+        # a text that may hold an added token, spelt in whatever case, goes to the library as it is
+        added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
+        self._at_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        self._added_start = os.path.commonprefix(added).partition("|")[0] + "|" if added and all("|" in t for t in added) else ""
         self._memo: dict = {}
         self._old: dict = {}  # the memo before this one; units still in use move over
 
@@ -103,9 +104,9 @@ class UnitEncoder:
         size = 0
         for text in texts:
             text = text or ""
-            if any(x in text for x in self._added):
+            if self._added_start in text and self._at_added.search(text):
                 out += map(b"".join, self.lookup(chunk))
-                out.append(b"".join(self._added[p] if k % 2 else b"".join(self.lookup([self._units(p)])[0]) for k, p in enumerate(self._at_added.split(text))))
+                out += self._encode([text])
                 chunk, size = [], 0
                 continue
             chunk.append(self._units(text))

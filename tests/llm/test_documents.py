@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gridloom.llm import counting, packing, quality, sampling, secrets, sharding, simhash, tokenfile
+from gridloom.llm import counting, packing, quality, sampling, secrets, sharding, simhash, tokenfile, tokens
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -437,3 +437,23 @@ def test_secrets_of_any_length_and_marks(spark, forest):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
     assert got == {k: f"{a}[SECRET]{c}" for k, (a, b, c) in enumerate(planted)} | {100 + k: t for k, t in enumerate(plain)}
+
+
+def test_configurations_that_leave_room():
+    """Few lengths: the best configurations do not fill a sequence, and are used all the same."""
+    count = lambda h: sum(n for _, n in packing.plan(h))
+    assert count({600: 1000, 820: 1000}) <= 751  # 600 + 600 + 820, then 820 + 820
+    assert count({700: 3000, 1000: 1000, 350: 500}) == 2000 and count({1100: 500, 500: 500}) == 500
+
+
+def test_added_tokens_in_any_case():
+    """The library looks for added tokens before it lowers the case."""
+    import numpy as np
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        plain, ours = Tokenizer.from_file(path(name)), tokens.encoder(name)
+        texts = ["end <|EndOfText|> here", "<|endoftext|><|ENDOFTEXT|>", "Some <|startoftext|> Words <|StartOfText|>", "a <| b |> c", "", None]
+        for text, ids in zip(texts, ours.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
