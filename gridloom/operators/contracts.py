@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import checkpoint
+
 
 class ContractError(ValueError):
     """A contract does not hold."""
@@ -82,11 +84,14 @@ def enforce(violations: DataFrame) -> None:
 
 
 def table_digest(df: DataFrame, key: str, columns: list[str], span: int = 4096) -> DataFrame:
-    """One digest of a table in the order of its key, a unique whole number. Rows are digested in runs of ``span`` keys, these
-    in runs of ``span``, and the few digests of those together, so no task holds more than a run."""
+    """One digest of a table in the order of its key, a unique whole number. Rows are digested in runs of ``span`` keys, these in runs of
+    ``span``, and so on until at most ``span`` are left, which are digested together: no task holds more than a run, however
+    sparse the keys are (six steps cover 64 bits)."""
     row = F.sha2(F.to_json(F.struct(key, *columns), {"ignoreNullFields": "false"}), 256)
     level = df.select(F.col(key).alias("k"), row.alias("d"), F.lit(1).cast("long").alias("n"))
     joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]), ""), 256)
-    for _ in range(2):
-        level = level.groupBy(F.floor(F.col("k") / span).alias("k")).agg(joined.alias("d"), F.sum("n").alias("n"))
+    up = lambda rows: rows.groupBy(F.expr(f"k div {span}").alias("k")).agg(joined.alias("d"), F.sum("n").alias("n"))
+    level = checkpoint(up(up(level)))
+    while level.count() > span:
+        level = checkpoint(up(level))
     return level.agg(joined.alias("digest"), F.sum("n").alias("rows"))
