@@ -83,15 +83,20 @@ def enforce(violations: DataFrame) -> None:
         raise ContractError("; ".join(f"{r.rule}: {r.subject} {r.detail}" for r in found))
 
 
-def table_digest(df: DataFrame, key: str, columns: list[str], span: int = 4096) -> DataFrame:
+def table_digest(df: DataFrame, key: str, columns: list[str], span: int = 4096, levels: int | None = None) -> DataFrame:
     """One digest of a table in the order of its key, a unique whole number. Rows are digested in runs of ``span`` keys, these in runs of
     ``span``, and so on until at most ``span`` are left, which are digested together: no task holds more than a run, however
-    sparse the keys are (six steps cover 64 bits)."""
+    sparse the keys are (six steps cover 64 bits). ``levels`` fixes the number of these steps, whatever the number of rows, for a digest
+    that others state; what is then left, a digest for each ``span ** levels`` keys, is held together."""
     row = F.sha2(F.to_json(F.struct(key, *columns), {"ignoreNullFields": "false"}), 256)
     level = df.select(F.col(key).alias("k"), row.alias("d"), F.lit(1).cast("long").alias("n"))
     joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]), ""), 256)
     up = lambda rows: rows.groupBy(F.expr(f"k div {span}").alias("k")).agg(joined.alias("d"), F.sum("n").alias("n"))
-    level = checkpoint(up(up(level)))
+    for _ in range(2 if levels is None else levels):
+        level = up(level)
+    if levels is not None:
+        return level.agg(joined.alias("digest"), F.sum("n").alias("rows"))
+    level = checkpoint(level)
     while level.count() > span:
         level = checkpoint(up(level))
     return level.agg(joined.alias("digest"), F.sum("n").alias("rows"))
