@@ -1,6 +1,7 @@
 """Geometry as column expressions: rings, boxes, segments and projections, all inside code generation.
 
-A ring is ``array<struct<x:double,y:double>>``, not closed. Boxes are four columns.
+A ring is ``array<struct<x:double,y:double>>``, not closed. Boxes are four columns. Rings that an expression needs more than once
+are bound (``binding.let``), since a ring may itself be a long expression and steps are nested.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from math import cos, isfinite, log, pi, radians, sin, sqrt, tan
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # The GRS 80 ellipsoid and the Lambert conic zone of EPSG:32129, in metres and degrees.
 SEMI_MAJOR = 6_378_137.0
 INVERSE_FLATTENING = 298.257222101
@@ -169,20 +172,27 @@ def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def ring_next(ring: Column) -> Column:
     """The ring turned by one: each point's successor."""
-    return F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return let(ring, lambda r: F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)))
+
+
+def _around(ring: Column, use) -> Column:
+    """``use`` of each point and its successor."""
+    return let(ring, lambda r: F.zip_with(r, ring_next(r), use))
 
 
 def ring_edges(ring: Column) -> Column:
     """Edges as structs a, b; edges of no length are left out."""
-    edges = F.zip_with(ring, ring_next(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    edges = _around(ring, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.filter(edges, lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"]))
 
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area about the first point, so that large coordinates lose no digits."""
-    o = ring[0]
-    terms = F.zip_with(ring, ring_next(ring), lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))
-    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2
+
+    def terms(r: Column) -> Column:
+        return let(r[0], lambda o: _around(r, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])))
+
+    return F.aggregate(let(ring, terms), F.lit(0.0), lambda s, v: s + v) / 2
 
 
 def ring_area(ring: Column) -> Column:
@@ -202,12 +212,15 @@ def rings_box(rings: Column) -> dict[str, Column]:
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd rule, half open: left and lower edges are inside, right and upper are not."""
 
-    def crosses(a: Column, b: Column) -> Column:
-        over = (a["y"] > y) != (b["y"] > y)
-        at = (b["x"] - a["x"]) * (y - a["y"]) / F.when(over, b["y"] - a["y"]) + a["x"]
-        return F.when(over & (x < at), F.lit(1)).otherwise(F.lit(0))
+    def crossed(p: Column) -> Column:
+        def crosses(a: Column, b: Column) -> Column:
+            over = (a["y"] > p["y"]) != (b["y"] > p["y"])
+            at = (b["x"] - a["x"]) * (p["y"] - a["y"]) / F.when(over, b["y"] - a["y"]) + a["x"]
+            return F.when(over & (p["x"] < at), F.lit(1)).otherwise(F.lit(0))
+
+        return _around(ring, crosses)
 
-    return F.aggregate(F.zip_with(ring, ring_next(ring), crosses), F.lit(0), lambda s, v: s + v) % 2 == 1
+    return F.aggregate(let(F.struct(x.alias("x"), y.alias("y")), crossed), F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
 def in_rings(x: Column, y: Column, rings: Column) -> Column:
@@ -224,6 +237,23 @@ def point_segment_d2(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return ex * ex + ey * ey
 
 
+def _near_d2(p: Column, a: Column, b: Column) -> Column:
+    """``point_segment_d2`` of points inside a lambda, where nothing is computed once unless it is bound."""
+
+    def placed(d: Column) -> Column:
+        length = d["x"] * d["x"] + d["y"] * d["y"]
+        t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * d["x"] + (p["y"] - a["y"]) * d["y"]) / F.when(length != 0, length))))
+        away = let(t, lambda t: F.struct((p["x"] - (a["x"] + d["x"] * t)).alias("x"), (p["y"] - (a["y"] + d["y"] * t)).alias("y")))
+        return let(away, lambda e: e["x"] * e["x"] + e["y"] * e["y"])
+
+    return let(F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")), placed)
+
+
+def ring_d2(x: Column, y: Column, ring: Column) -> Column:
+    """Squared distance from a point to the nearest edge of a ring."""
+    return let(point(x, y), lambda p: F.array_min(F.transform(ring_edges(ring), lambda e: _near_d2(p, e["a"], e["b"]))))
+
+
 def _side(a: Column, b: Column, c: Column) -> Column:
     return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
 
@@ -232,54 +262,67 @@ def segments_d2(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Squared distance between segments ab and cd: 0 where they cross properly, else the nearest end."""
     cross = (_side(a, b, c) * _side(a, b, d) < 0) & (_side(c, d, a) * _side(c, d, b) < 0)
     ends = [(a, c, d), (b, c, d), (c, a, b), (d, a, b)]
-    near = F.least(*[point_segment_d2(p["x"], p["y"], q["x"], q["y"], r["x"], r["y"]) for p, q, r in ends])
+    near = F.least(*[_near_d2(p, q, r) for p, q, r in ends])
     return F.when(cross, F.lit(0.0)).otherwise(near)
 
 
 def rings_d2(left: Column, right: Column) -> Column:
     """Squared distance between two rings: 0 if they meet or one holds the other."""
-    le, re = ring_edges(left), ring_edges(right)
-    pairs = F.transform(le, lambda e: F.array_min(F.transform(re, lambda f: segments_d2(e["a"], e["b"], f["a"], f["b"]))))
-    inside = in_ring(left[0]["x"], left[0]["y"], right) | in_ring(right[0]["x"], right[0]["y"], left)
-    return F.when(inside, F.lit(0.0)).otherwise(F.array_min(pairs))
+
+    def apart(l: Column, r: Column) -> Column:
+        inside = in_ring(l[0]["x"], l[0]["y"], r) | in_ring(r[0]["x"], r[0]["y"], l)
+        return F.when(inside, F.lit(0.0)).otherwise(_edges_d2(ring_edges(l), ring_edges(r)))
+
+    return let(left, lambda l: let(right, lambda r: apart(l, r)))
+
+
+def _edges_d2(left: Column, right: Column) -> Column:
+    return let(right, lambda re: F.array_min(F.transform(left, lambda e: F.array_min(F.transform(re, lambda f: segments_d2(e["a"], e["b"], f["a"], f["b"]))))))
 
 
 def outward_normal(ring: Column, a: Column, b: Column, reach: float) -> Column:
     """Unit normal (x, y) of the ring's edge from a to b that points outwards, by a probe on either side of its middle; null where
     the edge has no length or both probes lie on the same side of the ring."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    length = F.nullif(F.hypot(dx, dy), F.lit(0.0))
-    nx, ny = -dy / length, dx / length
     mx, my = (a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2
-    left, right = in_ring(mx + nx * reach, my + ny * reach, ring), in_ring(mx - nx * reach, my - ny * reach, ring)
-    return F.when(left & ~right, F.struct((-nx).alias("x"), (-ny).alias("y"))).when(right & ~left, F.struct(nx.alias("x"), ny.alias("y")))
+
+    def facing(n: Column) -> Column:
+        sides = F.struct(in_ring(mx + n["x"] * reach, my + n["y"] * reach, ring).alias("left"), in_ring(mx - n["x"] * reach, my - n["y"] * reach, ring).alias("right"))
+        return let(sides, lambda s: F.when(s["left"] & ~s["right"], point(-n["x"], -n["y"])).when(s["right"] & ~s["left"], point(n["x"], n["y"])))
+
+    return let(let(F.nullif(F.hypot(dx, dy), F.lit(0.0)), lambda length: point(-dy / length, dx / length)), facing)
 
 
 def rectangle_sides(ring: Column) -> Column:
     """The four sides' lengths of a ring that is nearly a rectangle, else null: corners within 0.16 of square (as a cosine), opposite
     sides within 0.985 of parallel and within 0.12 of equal length."""
-    edges = F.zip_with(ring, ring_next(ring), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
-    length = lambda k: F.hypot(edges[k]["x"], edges[k]["y"])
-    dot = lambda k, m: F.abs(edges[k]["x"] * edges[m]["x"] + edges[k]["y"] * edges[m]["y"]) / F.nullif(length(k) * length(m), F.lit(0.0))
-    alike = lambda k, m: F.abs(length(k) - length(m)) <= F.greatest(length(k), length(m)) * 0.12
-    square = (dot(0, 1) <= 0.16) & (dot(1, 2) <= 0.16) & (dot(2, 3) <= 0.16) & (dot(3, 0) <= 0.16)
-    fine = square & (dot(0, 2) >= 0.985) & (dot(1, 3) >= 0.985) & alike(0, 2) & alike(1, 3)
-    return F.when(F.size(ring) == 4, F.when(fine, F.array(*[length(k) for k in range(4)])))
+
+    def sides(edges: Column, length: Column) -> Column:
+        dot = lambda k, m: F.abs(edges[k]["x"] * edges[m]["x"] + edges[k]["y"] * edges[m]["y"]) / F.nullif(length[k] * length[m], F.lit(0.0))
+        alike = lambda k, m: F.abs(length[k] - length[m]) <= F.greatest(length[k], length[m]) * 0.12
+        square = (dot(0, 1) <= 0.16) & (dot(1, 2) <= 0.16) & (dot(2, 3) <= 0.16) & (dot(3, 0) <= 0.16)
+        fine = square & (dot(0, 2) >= 0.985) & (dot(1, 3) >= 0.985) & alike(0, 2) & alike(1, 3)
+        return F.when(F.size(edges) == 4, F.when(fine, length))
+
+    edges = _around(ring, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    return let(edges, lambda edges: let(F.transform(edges, lambda e: F.hypot(e["x"], e["y"])), lambda length: sides(edges, length)))
 
 
 def figures_d2(left: Column, right: Column) -> Column:
     """Squared distance between two figures, arrays of rings: 0 if they meet or one holds the other outside its holes."""
     edges = lambda rings: F.flatten(F.transform(rings, ring_edges))
-    le, re = edges(left), edges(right)
-    near = F.array_min(F.transform(le, lambda e: F.array_min(F.transform(re, lambda f: segments_d2(e["a"], e["b"], f["a"], f["b"])))))
     corner = lambda rings: rings[0][0]
-    inside = in_rings(corner(left)["x"], corner(left)["y"], right) | in_rings(corner(right)["x"], corner(right)["y"], left)
-    return F.when(inside, F.lit(0.0)).otherwise(near)
+
+    def apart(l: Column, r: Column) -> Column:
+        inside = in_rings(corner(l)["x"], corner(l)["y"], r) | in_rings(corner(r)["x"], corner(r)["y"], l)
+        return F.when(inside, F.lit(0.0)).otherwise(_edges_d2(edges(l), edges(r)))
+
+    return let(left, lambda l: let(right, lambda r: apart(l, r)))
 
 
 def clip_half(ring: Column, inside, cut) -> Column:
     """One step of Sutherland and Hodgman's clip: the part of a ring on one side of a line."""
-    pairs = F.zip_with(ring, ring_next(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = _around(ring, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     kept = F.transform(
         pairs,
         lambda e: F.when(inside(e["a"]) & inside(e["b"]), F.array(e["b"]))

@@ -62,7 +62,8 @@ def walls(buildings: DataFrame, key: str, cell: float, ring: str = "ring", reach
     without a normal are left out."""
     base = buildings.select(F.col(key).alias("__id"), F.col(ring).alias("__ring"))
     edge = base.select("__id", "__ring", F.posexplode(g.ring_edges(F.col("__ring"))).alias("edge", "e"))
-    faced = edge.withColumn("n", g.outward_normal(F.col("__ring"), F.col("e.a"), F.col("e.b"), reach)).where("n is not null")
+    normal = F.array(g.outward_normal(F.col("__ring"), F.col("e.a"), F.col("e.b"), reach))
+    faced = edge.select("*", F.explode(F.array_compact(normal)).alias("n"))  # as a condition it would be computed twice
     probe = lambda c: (F.col(f"e.a.{c}") + F.col(f"e.b.{c}")) / 2 + F.col(f"n.{c}") * reach
     asked = faced.select(F.col("__id").alias(key), "edge", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), probe("x").alias("px"), probe("y").alias("py"))
     others = base.withColumns({f"o_{k}": v for k, v in g.ring_box(F.col("__ring")).items()})

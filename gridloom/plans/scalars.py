@@ -83,7 +83,7 @@ GROUND = """WITH c AS (SELECT p_partkey, round(p_partkey*3%256*0.75+86*0.25)::IN
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ring measures by higher-order expressions: area, clipped area, containment, distance to the next plot's ring."""
-    b = L.buildings(spark, sf_dir)
+    b = L.spread(L.buildings(spark, sf_dir), "building_id")
     ring = geo.box_ring(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")])
     clipped = geo.clip_to_box(F.col("ring"), F.col("min_x") + 2, F.col("min_y") - 1, F.col("min_x") + 6, F.col("min_y") + 5)
     right = geo.box_ring(F.col("min_x") + 16, F.col("min_y"), F.col("min_x") + 20, F.col("min_y") + 4)

@@ -96,7 +96,7 @@ TURNED_COVER = f"""WITH {_CAMERAS}, b AS (SELECT s_suppkey AS area_id, (s_suppke
 
 def wall_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outward normals of the lots' walls, and which walls stand free."""
-    lots = L.lots(spark, sf_dir).select("lot_id", g.box_ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("ring"))
+    lots = L.spread(L.lots(spark, sf_dir), "lot_id").select("lot_id", g.box_ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("ring"))
     return U.walls(lots, "lot_id", 64.0).select("lot_id", "edge", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"), "free")
 
 

@@ -113,7 +113,7 @@ EARTH_PLACES = """WITH c AS (SELECT 6378137.0::DOUBLE AS a, 1/298.257223563::DOU
 def well_known_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprints as well-known text, their identity as its digest, and the text read back to an area."""
     ring = g.box_ring(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")])
-    said = L.buildings(spark, sf_dir).select("building_id", V.polygon_text(ring).alias("wkt"))
+    said = L.spread(L.buildings(spark, sf_dir), "building_id").select("building_id", V.polygon_text(ring).alias("wkt"))
     return said.select("building_id", F.sha2("wkt", 256).alias("footprint_id"), F.round(g.ring_area(V.text_polygon(F.col("wkt"))), 3).alias("area"))
 
 

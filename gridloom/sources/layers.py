@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by its key, for work that takes long per row: tables of a few columns are small files, and a small file
+    is one task."""
+    return df.repartition(key)
+
+
 def div(a: Column, n: int) -> Column:
     return F.floor(a / n)
 
