@@ -33,6 +33,13 @@ def clear_winner(df: DataFrame, keys: list[str], candidate: str, distance: str,
     return first.select(*keys, F.when(clear, F.col(candidate)).alias(candidate), distance, F.when(clear, "accepted").otherwise("ambiguous").alias("status"))
 
 
+def nearest_two(df: DataFrame, keys: list[str], candidate: str, distance: str) -> DataFrame:
+    """(keys, candidate, distance): the two candidates of each group that ``clear_winner`` can need, by distance and candidate."""
+    best = df.groupBy(*keys, candidate).agg(F.min(distance).alias(distance))
+    order = W.partitionBy(*keys).orderBy(distance, candidate)
+    return best.withColumn("__n", F.row_number().over(order)).where("__n <= 2").drop("__n")
+
+
 def evict(df: DataFrame, group: str, size: str, order: list, cap: int) -> DataFrame:
     """Rows of each store to delete, oldest first, until what stays is within ``cap``."""
     total = F.sum(size).over(W.partitionBy(group))

@@ -32,15 +32,17 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every address with its outcome: unparsed, unmatched, ambiguous or accepted with its segment. The join's key is the
     street's label, the parity and a block of ``BLOCK`` numbers: a segment is dealt to its blocks, an address lies in the
-    block of its first number, so that a long street is no single key. Addresses are parsed once, before a shuffle."""
+    block of its first number, so that a long street is no single key. Addresses are parsed once, before a shuffle. A number is
+    matched once however many addresses have it, and of segments with one range only the two nearest can decide."""
     parsed = addresses(spark, sf_dir).withColumn("p", text.address(F.col("said"))).repartition("c_custkey")
-    numbers = parsed.where("p is not null").withColumns({"block": F.floor(F.col("p.first") / BLOCK), "odd": F.col("p.first") % 2})
-    dealt = streets(spark, sf_dir).select("*", (F.col("a") % 2).alias("odd"), F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor(F.col("b") / BLOCK))).alias("block"))
-    numbers = numbers.withColumn("label", F.col("p.label"))
-    met = numbers.join(dealt, ["label", "block", "odd"]).where(text.range_fits(F.col("a"), F.col("b"), F.col("p.first"), F.col("p.last")))
-    won = O.clear_winner(met, ["c_custkey"], "s_suppkey", "away", 1.0)
-    outcome = F.when(F.col("p").isNull(), "unparsed").when(F.col("status").isNull(), "unmatched").otherwise(F.col("status"))
-    return parsed.join(won, "c_custkey", "left").select("c_custkey", F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("p.label").alias("label"), "s_suppkey", outcome.alias("outcome"))
+    parsed = parsed.select("c_custkey", F.col("p").isNotNull().alias("known"), "p.label", "p.first", "p.last")
+    numbers = parsed.where("known").select("label", "first", "last").distinct().withColumns({"block": F.floor(F.col("first") / BLOCK), "odd": F.col("first") % 2})
+    nearest = O.nearest_two(streets(spark, sf_dir), ["label", "a", "b"], "s_suppkey", "away")
+    dealt = nearest.select("*", (F.col("a") % 2).alias("odd"), F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor(F.col("b") / BLOCK))).alias("block"))
+    met = numbers.join(dealt, ["label", "block", "odd"]).where(text.range_fits(F.col("a"), F.col("b"), F.col("first"), F.col("last")))
+    won = O.clear_winner(met, ["label", "first", "last"], "s_suppkey", "away", 1.0)
+    outcome = F.when(~F.col("known"), "unparsed").when(F.col("status").isNull(), "unmatched").otherwise(F.col("status"))
+    return parsed.join(won, ["label", "first", "last"], "left").select("c_custkey", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "label", "s_suppkey", outcome.alias("outcome"))
 
 
 _SQL = """WITH k AS (SELECT c_custkey, 2+c_custkey%40*10+c_custkey%3 AS f, c_custkey%5 AS s FROM customer),

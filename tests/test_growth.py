@@ -29,3 +29,11 @@ def test_fixed_levels_of_a_digest(spark):
     assert len(level) > 4
     want = hashlib.sha256("".join(d for _, d in level).encode()).hexdigest()
     assert tuple(K.table_digest(rows, "k", ["v"], span=4, levels=2).first()) == (want, 1_000)
+
+
+def test_the_two_nearest_decide(spark):
+    rows = spark.range(600).select((F.col("id") % 5).alias("k"), (F.col("id") * 7 % 11).alias("c"), (F.col("id") * 13 % 17 * 0.25).alias("d"))
+    two = O.nearest_two(rows, ["k"], "c", "d")
+    assert two.groupBy("k").count().agg(F.max("count")).first()[0] == 2
+    won = lambda df: sorted(map(tuple, O.clear_winner(df, ["k"], "c", "d", 0.5).collect()), key=repr)
+    assert won(two) == won(rows)
