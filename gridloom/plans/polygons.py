@@ -133,10 +133,12 @@ FRAME_POINTS = L.ctes("points") + """, f AS (SELECT s_suppkey AS frame_id, s_sup
 
 def frame_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meshes within three units of a frame's rings or in what they enclose, and how near; those deep in its hole are not."""
-    boxed = frames(spark, sf_dir).withColumns({f"f_{n}": v for n, v in g.rings_box(F.col("rings")).items()})
+    shapes, members = S.shapes(frames(spark, sf_dir), "frame_id", ["rings"])
+    boxed = shapes.withColumns({f"f_{n}": v for n, v in g.rings_box(F.col("rings")).items()})
     d2 = g.figures_d2(F.col("rings"), F.array(g.box_ring(*[F.col(c) for c in MESH])))
     met = S.bucket_join(L.meshes(spark, sf_dir), boxed, MESH, ("f_min_x", "f_min_y", "f_max_x", "f_max_y"), 64.0, 3.0)
-    return met.select("mesh_id", "frame_id", F.round(d2, 6).alias("d2")).where("d2 <= 9")
+    near = L.spread(met, "mesh_id").select("mesh_id", "shape", F.explode(F.filter(F.array(d2), lambda v: v <= 9)).alias("d2"))
+    return near.join(members, "shape").select("mesh_id", "frame_id", F.round("d2", 6).alias("d2"))
 
 
 FRAME_MESHES = L.ctes("meshes") + """, f AS (SELECT s_suppkey AS frame_id, s_suppkey*37%1000*16 AS fx, s_suppkey%2*20 AS fy, s_suppkey%5*12+20 AS w, s_suppkey%3*9+13 AS h FROM supplier),

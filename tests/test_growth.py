@@ -31,6 +31,13 @@ def test_fixed_levels_of_a_digest(spark):
     assert tuple(K.table_digest(rows, "k", ["v"], span=4, levels=2).first()) == (want, 1_000)
 
 
+def test_equal_figures_are_met_once(spark):
+    df = spark.range(1_000).select(F.col("id").alias("k"), (F.col("id") % 3 * 10.0).alias("x"))
+    one, members = S.shapes(df, "k", ["x"])
+    assert sorted(map(tuple, one.select("shape", "x").collect())) == [(0, 0.0), (1, 10.0), (2, 20.0)]
+    assert members.where("shape = k % 3").count() == members.count() == 1_000
+
+
 def test_the_two_nearest_decide(spark):
     rows = spark.range(600).select((F.col("id") % 5).alias("k"), (F.col("id") * 7 % 11).alias("c"), (F.col("id") * 13 % 17 * 0.25).alias("d"))
     two = O.nearest_two(rows, ["k"], "c", "d")
