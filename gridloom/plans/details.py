@@ -22,6 +22,10 @@ from .frontage import _LABELS
 from .raster import _FRAGMENTS, fragments
 
 
+#: House numbers to a block.
+NUMBERS = 20
+
+
 def nearby_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each house, the segments of its street within 30 metres of its box whose range holds its number on its side."""
     k, j = F.col("c_custkey"), F.col("s_suppkey")
@@ -30,8 +34,11 @@ def nearby_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     house = L.table(spark, sf_dir, "customer", "c_custkey").select(k.alias("house_id"), label(k).alias("label"), (k % 60 * 2 + k % 2).alias("number"), *[v.cast("double").alias(c) for c, v in (("x0", x), ("y0", y), ("x1", x + 9), ("y1", y + 14))])
     sx, sy = j * 61 % 4000, j * 31 % 97
     street = L.table(spark, sf_dir, "supplier", "s_suppkey").select(j.alias("segment_id"), label(j).alias("street"), (j % 3 * 40 + j % 2).alias("first"), (j % 3 * 40 + j % 2 + 60).alias("last"), *[v.cast("double").alias(c) for c, v in (("u0", sx), ("v0", sy), ("u1", sx + 120), ("v1", sy + j % 5))])
-    fits = (F.col("label") == F.col("street")) & text.range_fits(F.col("first"), F.col("last"), F.col("number"), F.col("number"))
-    return S.bucket_join(house, street, ("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), 128.0, 30.0, fits).select("house_id", "segment_id")
+    # the join's key has the street and a block of numbers beside the cell, so that a dense cell is many keys
+    house = house.withColumn("block", F.floor(F.col("number") / NUMBERS))
+    street = street.withColumn("numbers", F.explode(F.sequence(F.floor(F.col("first") / NUMBERS), F.floor(F.col("last") / NUMBERS)))).hint("merge")
+    fits = (F.col("label") == F.col("street")) & (F.col("block") == F.col("numbers")) & text.range_fits(F.col("first"), F.col("last"), F.col("number"), F.col("number"))
+    return S.bucket_join(house, street, ("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), 64.0, 30.0, fits).select("house_id", "segment_id")
 
 
 NEARBY_STREETS = """WITH h AS (SELECT c_custkey AS house_id, c_custkey%4 AS l, c_custkey%60*2+c_custkey%2 AS n, c_custkey*29%4000 AS x, c_custkey*13%97 AS y FROM customer),
@@ -45,7 +52,7 @@ def inferred_roofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     w, d, lean, short = k % 13 + 4, k % 9 + 5, (k * 7 % 11) * 0.31, (k * 3 % 5) * 0.41
     ring = F.array(g.point(F.lit(0), F.lit(0)), g.point(w, F.lit(0)), g.point(w + lean, d - short), g.point(lean, d))
-    rows = L.table(spark, sf_dir, "part", "p_partkey").select(k.alias("building_id"), ring.alias("ring"), (k % 29 * 0.75 + 2).alias("h"), (k % 3 != 0).alias("detached"), (k % 5).alias("edge"))
+    rows = L.spread(L.table(spark, sf_dir, "part", "p_partkey"), "p_partkey").select(k.alias("building_id"), ring.alias("ring"), (k % 29 * 0.75 + 2).alias("h"), (k % 3 != 0).alias("detached"), (k % 5).alias("edge"))
     sides, area = g.rectangle_sides(F.col("ring")), g.ring_area(F.col("ring"))
     sized = rows.withColumns({"s": sides, "area": area})
     low, high, h = F.array_min("s"), F.array_max("s"), F.col("h")
@@ -57,7 +64,7 @@ def inferred_roofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = lambda k, c: (F.col("ring")[k][c] + F.col("ring")[(k + 1) % 4][c]) / 2
     end = lambda one, two, c: F.round(F.when(form == "gabled", F.when(b > a, middle(one, c)).otherwise(middle(two, c))), 6)
     edge = F.try_element_at(F.transform(g.ring_edges(F.col("ring")), lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])), (F.col("edge") + 1).cast("int"))
-    front = F.coalesce(F.col("detached") & h.between(5, 18) & F.col("area").between(36, 300) & edge.between(4.8, 15), F.lit(False))
+    front = F.coalesce(F.col("detached") & h.between(5, 18) & F.col("area").between(36, 300) & text.let(edge, lambda v: v.between(4.8, 15)), F.lit(False))
     return sized.select("building_id", form.alias("form"), F.round(F.when(form.isNotNull(), h - rise), 6).alias("wall_top"), end(0, 1, "x").alias("ridge_x"), end(0, 1, "y").alias("ridge_y"), front.alias("front"))
 
 
