@@ -27,6 +27,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle. Spark takes a table's size from its file and leaves out what rows were unfolded to, and a
+    checkpoint keeps that estimate: tables made of a small file would be collected by the driver and broadcast, however large."""
+    return df.hint("merge")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 100) -> DataFrame:
     """(key, component): the smallest key reachable over undirected ``edges`` (a, b). Large-star and small-star steps, each
     ended by a reliable checkpoint; nothing is collected but a count and a checksum."""
@@ -36,12 +42,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str, rounds: i
         seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen[0] == 0 or seen == sign:
             roots = now.select(F.col("a").alias(key), F.col("b").alias("__root"))
-            return nodes.select(key).join(roots, key, "left").select(key, F.coalesce("__root", key).alias("component"))
+            return nodes.select(key).join(by_shuffle(roots), key, "left").select(key, F.coalesce("__root", key).alias("component"))
         sign = seen
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = now.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = now.select(F.col("b").alias("a"), F.col("a").alias("v")).join(by_shuffle(least), "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = large.join(by_shuffle(small), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpoint(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
     raise RuntimeError("components did not settle")

@@ -103,7 +103,7 @@ def crossings(edges: DataFrame, keys: list[str], tile: float = TILE, grid: int =
     side = lambda dx, dy, x, y, px, py: F.signum(_cross(dx, dy, F.col(px) - x, F.col(py) - y))
     apart = (side(adx, ady, ax, ay, "b_x0", "b_y0") * side(adx, ady, ax, ay, "b_x1", "b_y1") < 0) & (side(bdx, bdy, bx, by, "a_x0", "a_y0") * side(bdx, bdy, bx, by, "a_x1", "a_y1") < 0)
     once = F.struct(*[F.col(f"a_{c}") for c in EDGE]) < F.struct(*[F.col(f"b_{c}") for c in EDGE])
-    met = a.join(b, ["i", "j"]).where(_same("a_", "b_", keys) & once & apart)  # a pair may meet in several tiles; its node is one
+    met = a.join(graph.by_shuffle(b), ["i", "j"]).where(_same("a_", "b_", keys) & once & apart)  # a pair may meet in several tiles; its node is one
     t = _cross(bx - ax, by - ay, bdx, bdy) / F.nullif(_cross(adx, ady, bdx, bdy), F.lit(0))
     return met.select(*[F.col(f"a_{k}").alias(k) for k in keys], F.round(ax + adx * t).cast("long").alias("x"), F.round(ay + ady * t).cast("long").alias("y"))
 
@@ -125,12 +125,12 @@ def split(edges: DataFrame, nodes: DataFrame, keys: list[str], weights: list[str
     passes = 2 * F.abs(_cross(dx, dy, x, y)) <= F.abs(dx) + F.abs(dy)
     inner = ((x != 0) | (y != 0)) & ((x != dx) | (y != dy))
     near = F.col("n_x").between(F.least("e_x0", "e_x1"), F.greatest("e_x0", "e_x1")) & F.col("n_y").between(F.least("e_y0", "e_y1"), F.greatest("e_y0", "e_y1"))
-    met = point.join(boxed, ["i", "j"]).where(_same("n_", "e_", node_keys) & near & passes & inner)
+    met = point.join(graph.by_shuffle(boxed), ["i", "j"]).where(_same("n_", "e_", node_keys) & near & passes & inner)
     stop = F.struct((x * dx + y * dy).alias("at"), F.col("n_x").alias("x"), F.col("n_y").alias("y"))
     stops = met.groupBy(*[f"e_{c}" for c in (*keys, *EDGE)]).agg(F.array_sort(F.collect_list(stop)).alias("stops"))  # nodes of one edge
     renamed = stops.select(*[F.col(f"e_{c}").alias(c) for c in (*keys, *EDGE)], F.transform("stops", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("stops"))
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, *EDGE)]
-    held = edges.alias("l").join(renamed.alias("r"), on, "left").select(*[f"l.{c}" for c in (*keys, *EDGE, *weights)], "stops")
+    held = edges.alias("l").join(graph.by_shuffle(renamed.alias("r")), on, "left").select(*[f"l.{c}" for c in (*keys, *EDGE, *weights)], "stops")
     first, last = (F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))) for a, b in (("x0", "y0"), ("x1", "y1")))
     line = F.concat(first, F.coalesce("stops", F.slice(first, 1, 0)), last)
     piece = held.select(*keys, *weights, F.explode(_line_edges(line)).alias("e")).select(*keys, *weights, "e.*")
@@ -171,10 +171,10 @@ def windings(pieces: DataFrame, keys: list[str], weights: list[str], tile: float
     run = dx * (qy - Y0)
     passes = (Y0 <= qy) & (qy < Y1) & (run < (qx - X0) * dy) & ((run > (c - X0) * dy) | ((run == (c - X0) * dy) & (dx > 0)))
     turn = F.when(rises, sign).otherwise(0) - F.when(passes, 1).otherwise(0)
-    met = middles.alias("p").join(dealt.alias("e"), on("p", "e")).select(*[f"p.{k}" for k in keys], *EDGE, "p.i", "p.j", *[(turn * F.col(f"e.{w}")).alias(w) for w in weights])
+    met = middles.alias("p").join(graph.by_shuffle(dealt.alias("e")), on("p", "e")).select(*[f"p.{k}" for k in keys], *EDGE, "p.i", "p.j", *[(turn * F.col(f"e.{w}")).alias(w) for w in weights])
     path = met.groupBy(*keys, *EDGE, "i", "j").agg(*[F.sum(w).alias(f"path_{w}") for w in weights])
-    sides = path.alias("p").join(corners.alias("c"), on("p", "c")).select(*[f"p.{k}" for k in (*keys, *EDGE)], *[(F.col(f"path_{w}") + F.col(f"corner_{w}")).alias(f"left_{w}") for w in weights])
-    joined = pieces.alias("p").join(sides.alias("s"), [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, *EDGE)])
+    sides = path.alias("p").join(graph.by_shuffle(corners.alias("c")), on("p", "c")).select(*[f"p.{k}" for k in (*keys, *EDGE)], *[(F.col(f"path_{w}") + F.col(f"corner_{w}")).alias(f"left_{w}") for w in weights])
+    joined = pieces.alias("p").join(graph.by_shuffle(sides.alias("s")), [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, *EDGE)])
     return joined.select(*[f"p.{c}" for c in (*keys, *EDGE, *weights)], *[F.col(f"left_{w}") for w in weights], *[(F.col(f"left_{w}") - F.col(f"p.{w}")).alias(f"right_{w}") for w in weights])
 
 
@@ -222,9 +222,9 @@ def rings_of(edges: DataFrame, keys: list[str], grid: int = GRID) -> DataFrame:
     # the few edges of a small figure are put in order together; those of a large one by ring
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     many = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER)
-    large = graph.checkpoint(held.alias("l").join(many.alias("r"), on, "left_semi").select("id") if keys else held.select("id"))
-    found = graph.connected_components(large, links.join(large, "id", "left_semi").select(F.col("id").alias("a"), F.col("next").alias("b")), "id")
-    rows = held.join(links, "id").join(found, "id", "left")
+    large = graph.checkpoint(held.alias("l").join(graph.by_shuffle(many.alias("r")), on, "left_semi").select("id") if keys else held.select("id"))
+    found = graph.connected_components(large, links.join(graph.by_shuffle(large), "id", "left_semi").select(F.col("id").alias("a"), F.col("next").alias("b")), "id")
+    rows = held.join(graph.by_shuffle(links), "id").join(graph.by_shuffle(found), "id", "left")
     one = rows.groupBy(*keys, "component").agg(F.collect_list(F.struct("id", "next", F.col("x0").alias("x"), F.col("y0").alias("y"))).alias("links"))  # one ring, or one small figure
     ring = one.select(*keys, F.explode(_order_udf()("links")).alias("ring"))
     scaled = ring.withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] / grid).alias("x"), (p["y"] / grid).alias("y"))))
@@ -241,10 +241,10 @@ def with_holes(rings: DataFrame, keys: list[str], tile: float = TILE) -> DataFra
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"h_{k}").eqNullSafe(F.col(k))
-    held = S.bucket_join(hole, shells, ("hx", "hy", "hx", "hy"), ("min_x", "min_y", "max_x", "max_y"), tile, refine=same & g.in_ring(F.col("hx"), F.col("hy"), F.col("ring")) & (-F.col("hole_area") < F.col("area")))
+    held = S.bucket_join(hole, graph.by_shuffle(shells), ("hx", "hy", "hx", "hy"), ("min_x", "min_y", "max_x", "max_y"), tile, refine=same & g.in_ring(F.col("hx"), F.col("hy"), F.col("ring")) & (-F.col("hole_area") < F.col("area")))
     best = held.groupBy("hole").agg(F.min(F.struct("area", "shell", "hole_ring", "hole_area")).alias("b")).select("b.shell", "b.hole_ring", "b.hole_area")
     inner = best.groupBy("shell").agg(F.array_sort(F.collect_list("hole_ring")).alias("holes"), F.sum("hole_area").alias("hole_area"))
-    joined = shells.join(inner, "shell", "left")
+    joined = shells.join(graph.by_shuffle(inner), "shell", "left")
     return joined.select(*keys, F.concat(F.array("ring"), F.coalesce("holes", F.slice(F.array("ring"), 1, 0))).alias("rings"), (F.col("area") + F.coalesce("hole_area", F.lit(0.0))).alias("area"))
 
 
@@ -302,7 +302,7 @@ def clip_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, c
         return df.select(key, F.col(rings).alias(f"{prefix}rings"), *[v.alias(n) for n, v in zip(box, g.rings_box(F.col(rings)).values())]), box
 
     (a, abox), (b, bbox) = boxed(left, "a_", left_id), boxed(right, "b_", right_id)
-    pairs = graph.checkpoint(S.bucket_join(a, b, abox, bbox, cell).select(left_id, right_id, "a_rings", "b_rings"))
+    pairs = graph.checkpoint(S.bucket_join(a, graph.by_shuffle(b), abox, bbox, cell).select(left_id, right_id, "a_rings", "b_rings"))
     keys = [left_id, right_id]
     return clip(pairs.select(*keys, F.col("a_rings").alias(rings)), pairs.select(*keys, F.col("b_rings").alias(rings)), keys, rings, "both", tile, grid)
 
@@ -379,13 +379,13 @@ def simplify(df: DataFrame, key: str, tolerance: float, rings: str = "rings", ti
     ends = pieces.select("id", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p"))
     two = ends.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2 and a <> b").select("a", "b")
     arc_of = graph.connected_components(pieces.select("id"), two, "id")
-    arcs = pieces.join(arc_of, "id").groupBy(F.col("component").alias("arc")).agg(F.collect_list(F.struct(*EDGE)).alias("edges"))  # one border line
+    arcs = pieces.join(graph.by_shuffle(arc_of), "id").groupBy(F.col("component").alias("arc")).agg(F.collect_list(F.struct(*EDGE)).alias("edges"))  # one border line
     lines = graph.checkpoint(arcs.select("arc", _arc_udf(tolerance * grid)("edges").alias("t")).select("arc", "t.whole", F.col("t.thin").alias("line")))
     for _ in range(rounds):
         bad = _conflicts(lines, tile, grid)
         if bad.isEmpty():
             break
-        lines = graph.checkpoint(lines.join(bad.withColumn("bad", F.lit(True)), "arc", "left").select("arc", "whole", F.when(F.col("bad"), F.col("whole")).otherwise(F.col("line")).alias("line")))
+        lines = graph.checkpoint(lines.join(graph.by_shuffle(bad.withColumn("bad", F.lit(True))), "arc", "left").select("arc", "whole", F.when(F.col("bad"), F.col("whole")).otherwise(F.col("line")).alias("line")))
     else:
         raise RuntimeError("arcs did not settle")
     # who uses an arc, and which way: by its first edge, since all edges of an arc lie between the same polygons
@@ -394,7 +394,7 @@ def simplify(df: DataFrame, key: str, tolerance: float, rings: str = "rings", ti
     up = (F.col("p.y") < F.col("q.y")) | ((F.col("p.y") == F.col("q.y")) & (F.col("p.x") < F.col("q.x")))
     low, high = F.when(up, F.col("p")).otherwise(F.col("q")), F.when(up, F.col("q")).otherwise(F.col("p"))
     first = first.select("arc", "line", up.alias("up"), low["x"].alias("x0"), low["y"].alias("y0"), high["x"].alias("x1"), high["y"].alias("y1"))
-    used = first.join(own, list(EDGE)).select(key, F.when((F.col("w") > 0) == F.col("up"), F.col("line")).otherwise(F.reverse("line")).alias("line"))
+    used = first.join(graph.by_shuffle(own), list(EDGE)).select(key, F.when((F.col("w") > 0) == F.col("up"), F.col("line")).otherwise(F.reverse("line")).alias("line"))
     directed = used.select(key, F.explode(_line_edges(F.col("line"))).alias("e")).select(key, "e.*")
     return with_holes(rings_of(directed, [key], grid), [key], tile)
 
@@ -417,6 +417,6 @@ def _conflicts(lines: DataFrame, tile: float, grid: int) -> DataFrame:
     same = lambda first, last: (ax == F.col(f"b_x{first}")) & (ay == F.col(f"b_y{first}")) & (F.col("a_x1") == F.col(f"b_x{last}")) & (F.col("a_y1") == F.col(f"b_y{last}"))
     equal = same(0, 1) | same(1, 0)
     other = (F.col("a_arc") < F.col("b_arc")) | ((F.col("a_arc") == F.col("b_arc")) & (F.col("a_at") < F.col("b_at")))
-    met = S.bucket_join(a, b, names("a_"), names("b_"), tile * grid, refine=other & (((a0 * a1 < 0) & (b0 * b1 < 0)) | touch | equal))
+    met = S.bucket_join(a, graph.by_shuffle(b), names("a_"), names("b_"), tile * grid, refine=other & (((a0 * a1 < 0) & (b0 * b1 < 0)) | touch | equal))
     thinned = lines.where(F.size("line") < F.size("whole")).select("arc")
-    return graph.checkpoint(met.select(F.explode(F.array("a_arc", "b_arc")).alias("arc")).distinct().join(thinned, "arc", "left_semi"))
+    return graph.checkpoint(met.select(F.explode(F.array("a_arc", "b_arc")).alias("arc")).distinct().join(graph.by_shuffle(thinned), "arc", "left_semi"))

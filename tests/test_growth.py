@@ -68,6 +68,13 @@ def test_the_two_nearest_decide(spark):
     assert won(two) == won(rows)
 
 
+def test_edges_are_joined_by_shuffle(spark):
+    figure = spark.range(1).select(F.col("id").alias("k"), F.array(g.box_ring(F.lit(0), F.lit(0), F.lit(4), F.lit(4))).alias("rings"))
+    edges = P.edges_of(figure, ["k"]).withColumn("n", F.lit(1))
+    assert "Broadcast" not in _plan(P.crossings(edges, ["k"]))
+    assert "Broadcast" not in _plan(P.windings(edges, ["k"], ["n"]))
+
+
 def test_dense_joins_are_dealt_by_shuffle(spark, sf):
     for name in ("nearby_streets", "area_overlaps"):
         assert "Broadcast" not in _plan(registry.QUERIES[name](spark, sf)), name
