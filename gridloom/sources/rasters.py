@@ -45,13 +45,17 @@ def pack(cells: DataFrame, grid: Grid) -> DataFrame:
     blocks = cells.sparkSession.range(-(-grid.height // grid.rows)).select(F.col("id").alias("block"))
     size = F.least(F.lit(grid.rows), F.lit(grid.height) - F.col("block") * grid.rows).cast("int") * grid.width
     held = blocks.join(given, "block", "left").withColumn("cells", F.coalesce("cells", F.expr("cast(array() as array<struct<at:int,code:string>>)")))
-    before = F.concat(F.array(F.lit(-1)), F.transform("cells", lambda c: c["at"]))
-    gap = lambda c, k: c["at"] - F.get(before, k) - 1
-    checked = lambda c, k: F.when(gap(c, k) >= 0, gap(c, k)).otherwise(F.raise_error(F.lit("a cell is given twice")).cast("int"))
-    texts = F.transform("cells", lambda c, k: F.concat(F.repeat(fill, checked(c, k)), c["code"]))
-    rest = F.repeat(fill, size - 1 - F.element_at(before, -1))
-    digits = F.concat(F.array_join(texts, ""), rest)
-    even = F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
+    # the place before each cell's own: an array of its own beside the cells, since a lambda would make it again for each cell
+    held = held.withColumn("before", F.concat(F.array(F.lit(-1)), F.transform("cells", lambda c: c["at"])))
+
+    def text(c: Column, b: Column) -> Column:
+        gap = c["at"] - b - 1
+        return F.concat(F.repeat(fill, F.when(gap >= 0, gap).otherwise(F.raise_error(F.lit("a cell is given twice")).cast("int"))), c["code"])
+
+    texts = F.zip_with("cells", F.slice("before", F.lit(1), F.size("cells")), text)
+    rest = F.repeat(fill, size - 1 - F.element_at("before", -1))
+    odd = F.when(size * grid.digits % 2 == 1, "0").otherwise("")
+    even = F.concat(F.array_join(texts, ""), rest, odd)
     return held.select("block", F.unhex(even).alias("payload")).withColumn("sha256", F.sha2("payload", 256))
 
 

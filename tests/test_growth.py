@@ -12,6 +12,7 @@ from gridloom.operators import spatial as S
 from gridloom.operators import views as V
 from gridloom.operators import windows as O
 from gridloom.plans import registry
+from gridloom.sources import rasters
 
 
 def _plan(df):
@@ -78,3 +79,13 @@ def test_edges_are_joined_by_shuffle(spark):
 def test_dense_joins_are_dealt_by_shuffle(spark, sf):
     for name in ("nearby_streets", "area_overlaps"):
         assert "Broadcast" not in _plan(registry.QUERIES[name](spark, sf)), name
+
+
+def test_a_dense_block_of_a_raster_costs_what_its_cells_do(spark):
+    """65,536 cells in one block: an array made again for each cell would be four billion steps."""
+    grid = rasters.Grid(width=1_024, height=64)
+    cells = spark.range(1_024 * 64).select(F.floor(F.col("id") / 1_024).alias("row"), (F.col("id") % 1_024).alias("col"), (F.col("id") % 15 + 1).alias("value"))
+    packed = rasters.pack(cells, grid)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(concat(array(-1)" not in plan
+    assert rasters.unpack(packed, grid).exceptAll(cells).count() == 0 and packed.count() == 1
