@@ -12,6 +12,8 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
+
 from . import common
 
 MEMO_UNITS = 800_000
@@ -40,16 +42,16 @@ def word_units(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-_STOPS = {str: ".,;:!?", bytes: b".,;:!?"}
-
-
-def _ends_in_letter(unit) -> bool:
-    """The unit's last character is a letter of ASCII or Latin-1."""
-    if isinstance(unit, str):
-        last = unit[-1]
-        return last < "\u0100" and last.isalpha()
-    last = unit[-1:]
-    return last.isalpha() or (unit[-2:-1] == b"\xc3" and last not in (b"\x97", b"\xb7"))
+#: Letters of ASCII and Latin-1, and other signs of ASCII: how plain units, made of these alone, fall into pre-tokens is told here.
+_LETTERS, _SIGNS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "!-/:-@[-`{-~"
+_PLAIN = re.compile(f" ?[0-9{_LETTERS}{_SIGNS}]+")
+#: Pre-tokens of plain units. The word vocabulary has each digit apart.
+_PRETOKENS = {
+    byte_units: re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+"),
+    word_units: re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[0-9]|[{_SIGNS}]+"),
+}
+#: Pre-tokens in one text for the library.
+JOINED = 1_000
 
 
 class UnitEncoder:
@@ -57,10 +59,16 @@ class UnitEncoder:
 
     def __init__(self, path: str, units):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._units = units
+        self._units, self._pretokens = units, _PRETOKENS[units]
+        # the same merges over pre-tokens that are cut already: finding them costs the library more than merging
+        self._merges = Tokenizer(self._tokenizer.model)
+        self._merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\0")
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str  # how both vocabularies spell bytes
+        self._spelling = {k: spelt(chr(k))[0][0] for k in (10, *range(32, 127), *range(160, 256))} | {0: "\0"}
+        self._line_end = self._merges.encode(self._spelling[10]).ids
         # a text that may hold an added token, spelt in whatever case, goes to the library as it is
         added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
         self._at_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
@@ -68,34 +76,39 @@ class UnitEncoder:
         self._memo: dict = {}
         self._old: dict = {}  # the memo before this one; units still in use move over
 
-    def _encode(self, units: list) -> list[bytes]:
-        texts = [u.decode("utf-8") if isinstance(u, bytes) else u for u in units]
+    def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _encode_units(self, units: list) -> dict:
+        """The ids of different units. The pre-tokens of plain ones go as lines of a text, each of them once; the one token of a
+        line's end tells their ids apart."""
+        texts = {u: u.decode("utf-8").lower() if isinstance(u, bytes) else u for u in units}
+        plain = [u for u, text in texts.items() if _PLAIN.fullmatch(text)] if len(self._line_end) == 1 else []
+        parts = list(map(self._pretokens.findall, map(texts.pop, plain)))
+        known = {x: ids for x in dict.fromkeys(chain.from_iterable(parts)) if (ids := self._memo.get(x)) is not None}
+        new = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in known]
+        for k in range(0, len(new), JOINED):
+            lines = new[k : k + JOINED]
+            ids = array("I", self._merges.encode_batch_fast(["\0\n\0".join(lines).translate(self._spelling)])[0].ids).tobytes()
+            ends = (np.flatnonzero(np.frombuffer(ids, "<u4") == self._line_end[0]) * 4).tolist()
+            known.update(zip(lines, [ids[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(ids)], strict=True)], strict=True))
+        found = {u: known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for u, p in zip(plain, parts)}
+        found.update(zip(texts, self._encode(list(texts.values()))))
+        return found
+
     def lookup(self, lists: list[list]) -> list[list[bytes]]:
-        """The ids of each unit of each list. The lists' units are few beside the memo's: they are fetched once into a
-        small table that stays in the processor's cache."""
-        local = dict.fromkeys(chain.from_iterable(lists))
-        local = dict(zip(local, map(self._memo.get, local)))
-        if new := [u for u, ids in local.items() if ids is None]:
-            if len(self._memo) + len(new) > MEMO_UNITS // 2:
-                self._old, self._memo = self._memo, {}
-            fresh = {u: ids for u in new if (ids := self._old.get(u)) is not None}
-            new = [u for u in new if u not in fresh]
-            # letters never share a pre-token with the stops after them, so "word," is made of "word" and ","
-            apart = {u: core for u in new if (core := u.rstrip(_STOPS[type(u)])) and len(core) < len(u) and _ends_in_letter(core)}
-            parts = {u for u in new if u not in apart}.union(apart.values(), (u[len(core) :] for u, core in apart.items()))
-            known = {u: ids for u in parts if (ids := local.get(u) or self._memo.get(u) or fresh.get(u)) is not None}
-            parts = list(parts.difference(known))
-            known.update(zip(parts, self._encode(parts)))
-            fresh |= {u: known[u] for u in parts}
-            for u in new:
-                if u in apart:
-                    fresh[u] = known[apart[u]] + known[u[len(apart[u]) :]]
-            local |= fresh
-            self._memo.update((u, ids) for u, ids in fresh.items() if len(u) <= MEMO_CHARS)
-        return [list(map(local.__getitem__, units)) for units in lists]
+        """The ids of each unit of each list."""
+        found = [list(map(self._memo.get, units)) for units in lists]
+        new = {u for units, ids in zip(lists, found) if None in ids for u, x in zip(units, ids) if x is None}
+        if not new:
+            return found
+        if len(self._memo) + len(new) > MEMO_UNITS // 2:
+            self._old, self._memo = self._memo, {}
+        fresh = {u: ids for u in new if (ids := self._old.get(u)) is not None}
+        fresh |= self._encode_units(list(new.difference(fresh)))
+        self._memo.update((u, ids) for u, ids in fresh.items() if len(u) <= MEMO_CHARS)
+        return [[fresh[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids for units, ids in zip(lists, found)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts; null counts as empty."""

@@ -457,3 +457,25 @@ def test_added_tokens_in_any_case():
         texts = ["end <|EndOfText|> here", "<|endoftext|><|ENDOFTEXT|>", "Some <|startoftext|> Words <|StartOfText|>", "a <| b |> c", "", None]
         for text, ids in zip(texts, ours.encode(texts)):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_new_units_reach_the_library_in_few_calls():
+    """Plain pre-tokens are cut here and merged by the library many at a time, each of them once; ids are the library's own."""
+    import random
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    draw = random.Random(5)
+    signs = "abcXYZ\xaa\xb5\xba\xc0\xd6\xd7\xdf\xe9\xff0123456789'.,;:!?$&|<>-_`~\\\u0153\u0301\x01\xad\xa0\u4e2d"
+    words = ["".join(draw.choices(signs, k=draw.randint(1, 9))) for _ in range(3_000)] + ["it's", "'S", "DON'T", "we'll'll", "x'", "12'345", "\xc9T\xc9'S"]
+    texts = ["".join(x + draw.choice([" ", " ", "\n", "  ", " \n", "\t"]) for x in draw.choices(words, k=200)) for _ in range(40)]
+    many = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}q," for k in range(600))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain, ours = Tokenizer.from_file(path(name)), tokens.encoder(path(name))
+        for text, ids in zip(texts, ours.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        asked, whole = [], ours._encode
+        ours._encode = lambda x: asked.extend(x) or whole(x)
+        assert np.frombuffer(ours.encode(many)[0], "<u4").tolist() == plain.encode(many[0], add_special_tokens=False).ids
+        assert len(asked) < 10
