@@ -45,12 +45,12 @@ def word_units(text: str) -> list[bytes]:
 #: Letters of ASCII and Latin-1, and other signs of ASCII: how plain units, made of these alone, fall into pre-tokens is told here.
 _LETTERS, _SIGNS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "!-/:-@[-`{-~"
 _PLAIN = re.compile(f" ?[0-9{_LETTERS}{_SIGNS}]+")
-#: Pre-tokens of plain units. The word vocabulary has each digit apart.
+#: Pre-tokens of plain units in lines, a line's end being one of its own. The word vocabulary has each digit apart.
 _PRETOKENS = {
-    byte_units: re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+"),
-    word_units: re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[0-9]|[{_SIGNS}]+"),
+    byte_units: re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n"),
+    word_units: re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[0-9]|[{_SIGNS}]+|\n"),
 }
-#: Pre-tokens in one text for the library.
+#: Units in one text for the library.
 JOINED = 1_000
 
 
@@ -81,19 +81,16 @@ class UnitEncoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _encode_units(self, units: list) -> dict:
-        """The ids of different units. The pre-tokens of plain ones go as lines of a text, each of them once; the one token of a
-        line's end tells their ids apart."""
+        """The ids of different units. Plain ones go as lines of a text; the one token of a line's end tells their ids apart."""
         texts = {u: u.decode("utf-8").lower() if isinstance(u, bytes) else u for u in units}
         plain = [u for u, text in texts.items() if _PLAIN.fullmatch(text)] if len(self._line_end) == 1 else []
-        parts = list(map(self._pretokens.findall, map(texts.pop, plain)))
-        known = {x: ids for x in dict.fromkeys(chain.from_iterable(parts)) if (ids := self._memo.get(x)) is not None}
-        new = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in known]
-        for k in range(0, len(new), JOINED):
-            lines = new[k : k + JOINED]
-            ids = array("I", self._merges.encode_batch_fast(["\0\n\0".join(lines).translate(self._spelling)])[0].ids).tobytes()
+        found: dict = {}
+        for k in range(0, len(plain), JOINED):
+            part = plain[k : k + JOINED]
+            lines = "\n".join(map(texts.pop, part))
+            ids = array("I", self._merges.encode_batch_fast(["\0".join(self._pretokens.findall(lines)).translate(self._spelling)])[0].ids).tobytes()
             ends = (np.flatnonzero(np.frombuffer(ids, "<u4") == self._line_end[0]) * 4).tolist()
-            known.update(zip(lines, [ids[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(ids)], strict=True)], strict=True))
-        found = {u: known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for u, p in zip(plain, parts)}
+            found.update(zip(part, [ids[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(ids)], strict=True)], strict=True))
         found.update(zip(texts, self._encode(list(texts.values()))))
         return found
 
