@@ -1,5 +1,6 @@
 """The pipeline's near-duplicate stage against brute-force Jaccard similarity of five-word shingles."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -57,3 +58,25 @@ def test_rows_of_one_key_and_other_texts_stay(spark):
         got = keep(frame)
         assert got.columns == frame.columns
         assert sorted(((r.doc_id or 0), (r.text or "").lower()) for r in got.collect()) == [(0, rows[0][1]), (1, rows[0][1]), (1, rows[1][1]), (3, "")]
+
+
+def test_large_group_of_near_copies_and_of_one_passage(spark, monkeypatch):
+    draw = random.Random(7)
+    words = [f"w{k}" for k in range(140)]
+    texts = {1_000: " ".join(words)}
+    for k in range(300):  # copies of one text, some of them alike only by way of another, some not at all
+        own = words[: draw.randint(120, 140)]
+        for at in draw.sample(range(len(own)), draw.randint(1, 6)):
+            own[at] = f"x{k}-{at}"
+        texts[k] = " ".join(own)
+    for k in range(300, 420):  # half of each text is the same passage
+        texts[k] = " ".join([f"y{k}-{j}" for j in range(45)] + [f"p{j}" for j in range(60)])
+    monkeypatch.setattr(nearcopies, "CROWD", 8, raising=False)
+    pairs = []
+    confirmed = nearcopies._confirmed
+    monkeypatch.setattr(nearcopies, "_confirmed", lambda p, t: pairs.append(p.count()) or confirmed(p, t))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.groups(frame).collect()}
+    want = brute(texts)
+    assert got == want and 250 < len(set(want.values())) < 350
+    assert sum(pairs) < 10 * len(texts)  # 2,910; 42,308 when bands gave all their pairs
