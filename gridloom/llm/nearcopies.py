@@ -32,7 +32,7 @@ BANDS, ROWS = 32, 4
 #: Shingles that are hashed together.
 CHUNK = 8_192
 #: Nodes of a band that may be paired with each other; those of a larger band meet by their rarest shingles.
-CROWD = 32
+CROWD = 16
 #: Pairs whose sets of shingles are held together.
 TOGETHER = 250
 _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
@@ -166,9 +166,10 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     every = sketches.select("s", "n", F.posexplode("bands").alias("place", "band")).drop("place").distinct()
     heads = every.groupBy("band").agg(F.min(F.struct("s", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = common.shared_table(every.join(heads, "band").select("band", "s", "n", "head", "size"), "bands")
-    with_texts = lambda some: rows.join(some.join(nodes.select("s", "h"), "s"), "h").select("s", "text").dropDuplicates(["s"])
+    with_texts = lambda some: rows.join(some, "h").select("s", "text").dropDuplicates(["s"])
     crowded = met.where(F.col("size") > CROWD)
-    rarest = None if crowded.isEmpty() else _rarest(with_texts(crowded.select("s").distinct()))
+    crowd = common.shared_table(crowded.select("s").distinct().join(nodes.select("s", "h"), "s"), "crowd")
+    rarest = None if crowd.isEmpty() else _rarest(with_texts(common.bounded(crowd)))
     met = met.where(F.col("size") <= CROWD)
     # nodes of one fingerprint are paired with the first of them, and so are those of two that the trie join links
     prints = common.shared_table(nodes.groupBy("fp").agg(F.min(F.struct("s", "n")).alias("head")), "prints")
@@ -186,7 +187,7 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     first = common.shared_table(first, "first")
     needed = met.select("s").union(first.select("a")).union(first.select("b")).distinct()
     needed = needed if rarest is None else needed.union(rarest.select("s")).distinct()
-    texts = common.shared_table(with_texts(needed), "texts")
+    texts = common.shared_table(with_texts(needed.join(nodes.select("s", "h"), "s")), "texts")
     links = common.shared_table(_confirmed(first, texts), "links")
     roots = components(links).withColumnRenamed("node", "s")
     placed = common.shared_table(met.select("band", "s", "n").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "placed")
