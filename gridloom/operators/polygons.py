@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.binding import let
 from . import graph
 from . import spatial as S
 
@@ -52,15 +53,37 @@ def _upward(df: DataFrame, keys: list[str], weights: dict[str, Column]) -> DataF
     return kept.select(*keys, *[c.alias(n) for n, c in swap.items()], *[c.alias(n) for n, c in values.items()]).groupBy(*keys, *EDGE).agg(*_sum(list(weights)))
 
 
+def _on_grid(ring: Column, grid: int) -> Column:
+    whole = lambda v: F.round(v * grid).cast("long")
+    return F.transform(ring, lambda p: F.struct(whole(p["x"]).alias("x"), whole(p["y"]).alias("y")))
+
+
 def edges_of(df: DataFrame, keys: list[str], rings: str = "rings", grid: int = GRID) -> DataFrame:
     """(keys, x0, y0, x1, y1): the directed edges of all rings on the grid. Null rings and rings of less than two points have none."""
-    whole = lambda v: F.round(v * grid).cast("long")
     ring = df.select(*keys, F.explode(rings).alias("ring")).where(F.size("ring") >= 2)
-    on_grid = ring.select(*keys, F.transform("ring", lambda p: F.struct(whole(p["x"]).alias("x"), whole(p["y"]).alias("y"))).alias("ring"))
+    on_grid = ring.select(*keys, _on_grid(F.col("ring"), grid).alias("ring"))
     edge = on_grid.select(*keys, F.explode(g.ring_edges(F.col("ring"))).alias("e"))
     return edge.select(*keys, *[F.col(f"e.{p}.{c}").alias(n) for p, c, n in (("a", "x", "x0"), ("a", "y", "y0"), ("b", "x", "x1"), ("b", "y", "y1"))])
 
 
+def _convex(ring: Column) -> Column:
+    """1 if a ring on the grid turns left at every point, 1 in all round, -1 if right, 0 for any other and for one so thin that a point
+    lies in reach of an edge it does not end (snap rounding would move it). No point of a convex ring is nearer to an edge
+    than the edge's neighbours are."""
+
+    def met(e: Column, f: Column) -> Column:
+        ex, ey, fx, fy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"], f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"]
+        up = lambda x, y: (y > 0) | ((y == 0) & (x > 0))
+        reach = F.greatest(F.abs(ex) + F.abs(ey), F.abs(fx) + F.abs(fy))
+        return F.struct((2 * _cross(ex, ey, fx, fy)).alias("turn"), reach.alias("reach"), (up(ex, ey) & ~up(fx, fy)).alias("falls"))
+
+    def turned(turns: Column) -> Column:
+        once = F.size(F.filter(turns, lambda t: t["falls"])) == 1
+        return F.when(once & F.forall(turns, lambda t: t["turn"] > t["reach"]), 1).when(once & F.forall(turns, lambda t: -t["turn"] > t["reach"]), -1).otherwise(0)
+
+    return let(let(g.ring_edges(ring), lambda e: F.zip_with(e, g.ring_next(e), met)), turned)
+
+
 def _passed(df: DataFrame, names: tuple[str, str, str, str], size: int, shift: int = 0, pad: int = 1) -> DataFrame:
     """``df`` repeated for each tile (i, j) that the edge between two points passes within ``pad`` steps: columns of tiles first, then
     in each the stretch of rows that the edge has there, so a long edge is dealt by its length, not by its box."""
@@ -100,19 +123,19 @@ def crossings(edges: DataFrame, keys: list[str], tile: float = TILE, grid: int =
     a, b = _prefixed(dealt, "a_", [*keys, *EDGE]), _prefixed(dealt, "b_", [*keys, *EDGE])
     ax, ay, bx, by = F.col("a_x0"), F.col("a_y0"), F.col("b_x0"), F.col("b_y0")
     adx, ady, bdx, bdy = F.col("a_x1") - ax, F.col("a_y1") - ay, F.col("b_x1") - bx, F.col("b_y1") - by
-    side = lambda dx, dy, x, y, px, py: F.signum(_cross(dx, dy, F.col(px) - x, F.col(py) - y))
-    apart = (side(adx, ady, ax, ay, "b_x0", "b_y0") * side(adx, ady, ax, ay, "b_x1", "b_y1") < 0) & (side(bdx, bdy, bx, by, "a_x0", "a_y0") * side(bdx, bdy, bx, by, "a_x1", "a_y1") < 0)
-    once = F.struct(*[F.col(f"a_{c}") for c in EDGE]) < F.struct(*[F.col(f"b_{c}") for c in EDGE])
-    met = a.join(graph.by_shuffle(b), ["i", "j"]).where(_same("a_", "b_", keys) & once & apart)  # a pair may meet in several tiles; its node is one
-    t = _cross(bx - ax, by - ay, bdx, bdy) / F.nullif(_cross(adx, ady, bdx, bdy), F.lit(0))
+    turn, along, across = _cross(adx, ady, bdx, bdy), _cross(bdx, bdy, ax - bx, ay - by), _cross(adx, ady, ax - bx, ay - by)
+    inner = (turn > 0) & (along > 0) & (along < turn) & (across > 0) & (across < turn)  # b turns left from a, so a pair is met once
+    met = a.join(graph.by_shuffle(b), ["i", "j"]).where(_same("a_", "b_", keys) & inner)  # a pair may meet in several tiles; its node is one
+    t = along / F.nullif(turn, F.lit(0))
     return met.select(*[F.col(f"a_{k}").alias(k) for k in keys], F.round(ax + adx * t).cast("long").alias("x"), F.round(ay + ady * t).cast("long").alias("y"))
 
 
 def nodes_of(edges: DataFrame, keys: list[str], tile: float = TILE, grid: int = GRID) -> DataFrame:
-    """(keys, x, y): the ends of edges, and where they cross."""
+    """(keys, x, y): the ends of edges, and where they cross. Crossings are written first: planned in one with what reads
+    them, their join was some twenty times slower."""
     end = lambda k: F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
     ends = edges.select(*keys, F.explode(F.array(end(0), end(1))).alias("p")).select(*keys, "p.x", "p.y")
-    return ends.unionByName(crossings(edges, keys, tile, grid)).distinct()
+    return ends.unionByName(graph.checkpoint(crossings(edges, keys, tile, grid))).distinct()
 
 
 def split(edges: DataFrame, nodes: DataFrame, keys: list[str], weights: list[str], node_keys: list[str], tile: float = TILE, grid: int = GRID) -> DataFrame:
@@ -127,12 +150,12 @@ def split(edges: DataFrame, nodes: DataFrame, keys: list[str], weights: list[str
     near = F.col("n_x").between(F.least("e_x0", "e_x1"), F.greatest("e_x0", "e_x1")) & F.col("n_y").between(F.least("e_y0", "e_y1"), F.greatest("e_y0", "e_y1"))
     met = point.join(graph.by_shuffle(boxed), ["i", "j"]).where(_same("n_", "e_", node_keys) & near & passes & inner)
     stop = F.struct((x * dx + y * dy).alias("at"), F.col("n_x").alias("x"), F.col("n_y").alias("y"))
-    stops = met.groupBy(*[f"e_{c}" for c in (*keys, *EDGE)]).agg(F.array_sort(F.collect_list(stop)).alias("stops"))  # nodes of one edge
-    renamed = stops.select(*[F.col(f"e_{c}").alias(c) for c in (*keys, *EDGE)], F.transform("stops", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("stops"))
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, *EDGE)]
-    held = edges.alias("l").join(graph.by_shuffle(renamed.alias("r")), on, "left").select(*[f"l.{c}" for c in (*keys, *EDGE, *weights)], "stops")
+    stops = met.select(*[F.col(f"e_{c}").alias(c) for c in (*keys, *EDGE)], *[F.lit(None).cast("long").alias(w) for w in weights], stop.alias("stop"))
+    both = edges.select(*keys, *EDGE, *[F.col(w).cast("long").alias(w) for w in weights], F.lit(None).cast(stops.schema["stop"].dataType).alias("stop")).unionByName(stops)
+    held = both.groupBy(*keys, *EDGE).agg(*_sum(weights), F.array_sort(F.collect_list("stop")).alias("stops"))  # nodes of one edge
+    held = held.withColumn("stops", F.transform("stops", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))))
     first, last = (F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))) for a, b in (("x0", "y0"), ("x1", "y1")))
-    line = F.concat(first, F.coalesce("stops", F.slice(first, 1, 0)), last)
+    line = F.concat(first, "stops", last)
     piece = held.select(*keys, *weights, F.explode(_line_edges(line)).alias("e")).select(*keys, *weights, "e.*")
     return graph.checkpoint(_upward(piece, keys, {w: F.col(w) for w in weights}))
 
@@ -156,7 +179,7 @@ def windings(pieces: DataFrame, keys: list[str], weights: list[str], tile: float
     column = F.expr("(along - pmod(along, across)) div across - if(pmod(along, across) = 0 and dx < 0, 1, 0)")  # just above the border
     low = measured.select(*keys, "j", column.alias("i"), *[(-F.col(w)).alias(w) for w in weights])
     px, py = F.col("x0") + F.col("x1"), F.col("y0") + F.col("y1")
-    middles = pieces.select(*keys, *EDGE, px.alias("px"), py.alias("py"), index(px).alias("i"), index(py).alias("j"))
+    middles = pieces.select(*keys, *EDGE, *weights, px.alias("px"), py.alias("py"), index(px).alias("i"), index(py).alias("j"))
     asked = middles.select(*keys, "i", "j").distinct()
     both = low.groupBy(*keys, "j", "i").agg(*_sum(weights)).withColumn("asked", F.lit(False)).unionByName(asked.select(*keys, "j", "i", *[F.lit(0).cast("long").alias(w) for w in weights], F.lit(True).alias("asked")))
     before = W.partitionBy(*keys, "j").orderBy("i").rangeBetween(W.unboundedPreceding, -1)
@@ -171,11 +194,12 @@ def windings(pieces: DataFrame, keys: list[str], weights: list[str], tile: float
     run = dx * (qy - Y0)
     passes = (Y0 <= qy) & (qy < Y1) & (run < (qx - X0) * dy) & ((run > (c - X0) * dy) | ((run == (c - X0) * dy) & (dx > 0)))
     turn = F.when(rises, sign).otherwise(0) - F.when(passes, 1).otherwise(0)
-    met = middles.alias("p").join(graph.by_shuffle(dealt.alias("e")), on("p", "e")).select(*[f"p.{k}" for k in keys], *EDGE, "p.i", "p.j", *[(turn * F.col(f"e.{w}")).alias(w) for w in weights])
-    path = met.groupBy(*keys, *EDGE, "i", "j").agg(*[F.sum(w).alias(f"path_{w}") for w in weights])
-    sides = path.alias("p").join(graph.by_shuffle(corners.alias("c")), on("p", "c")).select(*[f"p.{k}" for k in (*keys, *EDGE)], *[(F.col(f"path_{w}") + F.col(f"corner_{w}")).alias(f"left_{w}") for w in weights])
-    joined = pieces.alias("p").join(graph.by_shuffle(sides.alias("s")), [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, *EDGE)])
-    return joined.select(*[f"p.{c}" for c in (*keys, *EDGE, *weights)], *[F.col(f"left_{w}") for w in weights], *[(F.col(f"left_{w}") - F.col(f"p.{w}")).alias(f"right_{w}") for w in weights])
+    held = [*keys, *EDGE, *weights]
+    met = middles.alias("p").join(graph.by_shuffle(dealt.alias("e")), on("p", "e")).select(*[f"p.{c}" for c in (*held, "i", "j")], *[(turn * F.col(f"e.{w}")).alias(f"path_{w}") for w in weights])
+    path = met.groupBy(*held, "i", "j").agg(*_sum([f"path_{w}" for w in weights]))
+    left = lambda w: F.col(f"path_{w}") + F.col(f"corner_{w}")
+    sides = path.alias("p").join(graph.by_shuffle(corners.alias("c")), on("p", "c"))
+    return sides.select(*[f"p.{c}" for c in held], *[left(w).alias(f"left_{w}") for w in weights], *[(left(w) - F.col(f"p.{w}")).alias(f"right_{w}") for w in weights])
 
 
 def boundary(sided: DataFrame, keys: list[str], inside) -> DataFrame:
@@ -248,10 +272,20 @@ def with_holes(rings: DataFrame, keys: list[str], tile: float = TILE) -> DataFra
     return joined.select(*keys, F.concat(F.array("ring"), F.coalesce("holes", F.slice(F.array("ring"), 1, 0))).alias("rings"), (F.col("area") + F.coalesce("hole_area", F.lit(0.0))).alias("area"))
 
 
-def overlay(edges: DataFrame, keys: list[str], weights: list[str], inside, tile: float = TILE, grid: int = GRID) -> DataFrame:
-    """(keys, rings, area): the polygons, one a row, of the points that ``inside`` holds for. ``edges``: merged and weighted."""
-    pieces = noded(edges, keys, weights, tile, grid)
-    return with_holes(rings_of(boundary(windings(pieces, keys, weights, tile, grid), keys, inside), keys, grid), keys, tile)
+def _fitted(edges: DataFrame, tile: float, grid: int) -> float:
+    """Side of tiles in which short edges of crowded figures meet near ones only: twice the mean extent of an edge, ``tile`` at most. On
+    average an edge is dealt to two tiles or less, however many share a figure."""
+    extent = edges.agg(F.avg(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0")))).first()[0]
+    return min(tile, 2 * extent / grid) if extent else tile
+
+
+def overlay(edges: DataFrame, keys: list[str], weights: list[str], inside, tile: float = TILE, grid: int = GRID, crowded: bool = False) -> DataFrame:
+    """(keys, rings, area): the polygons, one a row, of the points that ``inside`` holds for. ``edges``: merged and weighted; they are
+    written first, since each step reads them anew. Tiles are fitted to edges if figures are ``crowded`` with short ones."""
+    edges = graph.checkpoint(edges)
+    fine = _fitted(edges, tile, grid) if crowded else tile
+    pieces = noded(edges, keys, weights, fine, grid)
+    return with_holes(rings_of(boundary(windings(pieces, keys, weights, fine, grid), keys, inside), keys, grid), keys, tile)
 
 
 def repair(df: DataFrame, keys: list[str], rings: str = "rings", tile: float = TILE, grid: int = GRID) -> DataFrame:
@@ -262,11 +296,17 @@ def repair(df: DataFrame, keys: list[str], rings: str = "rings", tile: float = T
 
 
 def _oriented(df: DataFrame, keys: list[str], rings: str, tile: float, grid: int) -> DataFrame:
-    """Directed edges of each row's repaired figure, the inside on their left."""
-    each = graph.checkpoint(df.select(*keys, rings).withColumn("__row", F.monotonically_increasing_id()))
+    """Directed edges of each row's repaired figure, the inside on their left. A figure that is one convex ring is valid as it is."""
+    turn = F.when(F.size(rings) == 1, _convex(_on_grid(F.col(rings)[0], grid)))
+    each = graph.checkpoint(df.select(*keys, rings).withColumns({"__turn": F.coalesce(turn, F.lit(0)), "__row": F.monotonically_increasing_id()}))
+    ring = F.col(rings)[0]
+    plain = edges_of(each.where("__turn <> 0").select(*keys, F.array(F.when(F.col("__turn") > 0, ring).otherwise(F.reverse(ring))).alias(rings)), keys, rings, grid)
+    each = each.where("__turn = 0")
+    if each.isEmpty():
+        return plain
     edges = _upward(edges_of(each, [*keys, "__row"], rings, grid), [*keys, "__row"], {"n": F.lit(1)})
-    sided = windings(noded(edges, [*keys, "__row"], ["n"], tile, grid), [*keys, "__row"], ["n"], tile, grid)
-    return boundary(sided, [*keys, "__row"], lambda side: F.pmod(F.col(f"{side}n"), F.lit(2)) == 1).select(*keys, *EDGE)
+    sided = windings(noded(graph.checkpoint(edges), [*keys, "__row"], ["n"], tile, grid), [*keys, "__row"], ["n"], tile, grid)
+    return plain.unionByName(boundary(sided, [*keys, "__row"], lambda side: F.pmod(F.col(f"{side}n"), F.lit(2)) == 1).select(*keys, *EDGE))
 
 
 def _wound(df: DataFrame, keys: list[str], rings: str, grid: int) -> DataFrame:
@@ -280,7 +320,7 @@ def union(df: DataFrame, keys: list[str], rings: str = "rings", tile: float = TI
     ``valid``, each a shell and its holes; opposite edges of neighbours cancel."""
     edges = _wound(df, keys, rings, grid) if valid else _oriented(df, keys, rings, tile, grid)
     edges = _upward(edges, keys, {"w": F.lit(1)})
-    return overlay(edges.where("w <> 0"), keys, ["w"], lambda side: F.col(f"{side}w") > 0, tile, grid)
+    return overlay(edges.where("w <> 0"), keys, ["w"], lambda side: F.col(f"{side}w") > 0, tile, grid, crowded=True)
 
 
 def clip(left: DataFrame, right: DataFrame, keys: list[str], rings: str = "rings", rule: str = "both", tile: float = TILE, grid: int = GRID) -> DataFrame:

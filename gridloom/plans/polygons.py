@@ -63,7 +63,7 @@ def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polygon_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, corners, and polygons less holes, of what each district's boxes cover together."""
-    found = _measured(P.union(districts(spark, sf_dir), ["district_id"]), "district_id")
+    found = _measured(P.union(L.spread(districts(spark, sf_dir), "district_id"), ["district_id"]), "district_id")
     return found.select("district_id", "area", "corners", (F.col("polygons") - F.col("holes")).alias("balance"))
 
 

@@ -118,3 +118,28 @@ def test_figures_with_holes(spark):
     df = table(spark, [(1, frame)]).selectExpr("*", "explode(array(1D, 5D, 9D, 12D)) as x").withColumn("y", F.lit(5.0))
     held = {r.x: (r.held, r.d2) for r in df.select("x", g.in_rings(F.col("x"), F.col("y"), F.col("rings")).alias("held"), g.figures_d2(F.col("rings"), F.array(g.box_ring(F.col("x"), F.col("y"), F.col("x") + 0.5, F.col("y") + 0.5))).alias("d2")).collect()}
     assert held == {1.0: (True, 0.0), 5.0: (False, 6.25), 9.0: (True, 0.0), 12.0: (False, 4.0)}
+
+
+def test_convex_rings_go_without_noding(spark):
+    """A figure with an empty ring besides is noded: both ways give the same directed edges."""
+    rng = np.random.default_rng(4)
+    shapes = {
+        "left": [(0, 0), (4, 0), (4, 3), (0, 3)], "right": [(0, 3), (4, 3), (4, 0), (0, 0)], "point twice": [(0, 0), (4, 0), (4, 0), (0, 3)],
+        "twice round": [(0, 0), (10, 7), (0, 7), (10, 0), (5, 12)], "bay": [(0, 0), (6, 0), (6, 6), (3, 1), (0, 6)], "tie": [(0, 0), (4, 4), (4, 0), (0, 4)],
+        "straight point": [(0, 0), (2, 0), (4, 0), (4, 3)], "sliver": [(0, 0), (0.01, 0.001), (0.02, 0.001)], "flat": [(0, 0), (4, 0), (2, 0)],
+    }
+    turns = {r.k: r.t for r in table(spark, [(k, [v]) for k, v in shapes.items()], "k string").select("k", P._convex(P._on_grid(F.col("rings")[0], P.GRID)).alias("t")).collect()}
+    assert {k: v for k, v in turns.items() if v} == {"left": 1, "right": -1, "point twice": 1}
+    rows = [(k, [ring]) for k, ring in enumerate([*shapes.values(), *[star(rng, 0, 0, 9, n) for n in (3, 3, 3, 4, 4, 5)]])]
+    edges = lambda given: sorted(map(tuple, P._oriented(table(spark, given), ["k"], "rings", 16.0, P.GRID).collect()))
+    assert edges(rows) == edges([(k, [*rings, []]) for k, rings in rows])
+    plain = [(k, rings) for k, rings in rows if k < 2]
+    assert "Join" not in P._oriented(table(spark, plain), ["k"], "rings", 16.0, P.GRID)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crossings_are_planned_apart_and_tiles_fit_short_edges(spark):
+    boxes = [(x % 2, [[(x, y), (x + 3, y), (x + 3, y + 3), (x, y + 3)]]) for x in range(0, 20, 2) for y in range(0, 20, 2)]
+    edges = P._upward(P.edges_of(table(spark, boxes), ["k"]), ["k"], {"w": F.lit(1)})
+    assert P._fitted(edges, P.TILE, P.GRID) == 6.0 and P._fitted(edges, 2.0, P.GRID) == 2.0 and P._fitted(edges.where("false"), P.TILE, P.GRID) == P.TILE
+    assert "Join" not in P.nodes_of(edges, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.area for r in P.union(table(spark, boxes), ["k"]).collect()} == {0: 21 * 21.0}
